@@ -266,30 +266,22 @@ def top_terms_by_juncture(claims: DataFrame, n: int = 10) -> DataFrame:
 
 def yearly_trend(claims: DataFrame) -> DataFrame:
     """Claims, documents and dimensions per year, without undated claims."""
-    return _counted_distinct(
-        claims.where(F.col("year").isNotNull()),
-        "year",
-        {"n_documents": "doc_id", "n_categories": "category"},
+    return (
+        claims.where(F.col("year").isNotNull())
+        .groupBy("year")
+        .agg(
+            F.count("*").alias("n_claims"),
+            F.count_distinct("doc_id").alias("n_documents"),
+            F.count_distinct("category").alias("n_categories"),
+        )
     )
 
 
 def category_summary(claims: DataFrame) -> DataFrame:
-    return _counted_distinct(
-        claims, "category", {"n_documents": "doc_id", "n_unique_terms": "matched_term"}
-    )
-
-
-def _counted_distinct(df: DataFrame, key: str, distinct: Mapping[str, str]) -> DataFrame:
-    """Row count and distinct counts per key.
-
-    The rows are reduced to one per combination first, so a key with most of
-    the rows is spread over its combinations instead of meeting in one task.
-    """
-    columns = list(distinct.values())
-    cells = df.groupBy(key, *columns).agg(F.count("*").alias("_n"))
-    return cells.groupBy(key).agg(
-        F.sum("_n").alias("n_claims"),
-        *[F.count_distinct(column).alias(name) for name, column in distinct.items()],
+    return claims.groupBy("category").agg(
+        F.count("*").alias("n_claims"),
+        F.count_distinct("doc_id").alias("n_documents"),
+        F.count_distinct("matched_term").alias("n_unique_terms"),
     )
 
 
