@@ -6,6 +6,8 @@ The corpus is a table.  Writing goes to a new path that replaces the old one
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,9 +220,9 @@ def override_dates(corpus: DataFrame, manual: DataFrame) -> DataFrame:
     )
 
 
-def tag_speakers(corpus: DataFrame, source: str = "risu.ua") -> DataFrame:
+def tag_speakers(corpus: DataFrame, source: str = "risu.ua", **rules) -> DataFrame:
     """Mark the articles of a source that carry speech of the tracked speaker."""
-    speech = T.is_speech_by(F.col("url"), F.col("title"), F.col("body_text"))
+    speech = T.is_speech_by(F.col("url"), F.col("title"), F.col("body_text"), **rules)
     kept = (
         F.col("speaker_attribution")
         if "speaker_attribution" in corpus.columns
@@ -245,22 +247,28 @@ def override_speakers(corpus: DataFrame, manual: DataFrame) -> DataFrame:
     )
 
 
-def diagnose(corpus: DataFrame, source: str = "rada.gov.ua") -> DataFrame:
+def diagnose(
+    corpus: DataFrame,
+    source: str = "rada.gov.ua",
+    markers: Sequence[str] = fixed.BOILERPLATE_MARKERS,
+    session_markers: Sequence[str] = fixed.SESSION_MARKERS,
+) -> DataFrame:
     """Session records with the verdict whether their text is page furniture."""
+    body = F.coalesce("body_text", F.lit(""))
     return corpus.where(F.col("source") == source).select(
         "id",
         "url",
         T.preview(F.col("title"), 60).alias("title"),
         "word_count",
         T.preview(F.col("body_text"), 100).alias("body_preview"),
-        T.is_boilerplate(F.coalesce("body_text", F.lit(""))).alias("is_broken"),
+        T.is_boilerplate(body, markers, session_markers).alias("is_broken"),
     )
 
 
 def urls_to_refetch(
-    corpus: DataFrame, source: str = "rada.gov.ua", only_broken: bool = True
+    corpus: DataFrame, source: str = "rada.gov.ua", only_broken: bool = True, **markers
 ) -> DataFrame:
-    rows = diagnose(corpus, source).where(F.col("url").isNotNull())
+    rows = diagnose(corpus, source, **markers).where(F.col("url").isNotNull())
     return (rows.where("is_broken") if only_broken else rows).select("url")
 
 
@@ -270,7 +278,14 @@ def in_period(docs: DataFrame, start: str = fixed.DATE_START, end: str = fixed.D
     return docs.where(day.isNull() | day.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def prepared_for_coding(corpus: DataFrame, sources: list[str] | None = None) -> DataFrame:
+def prepared_for_coding(
+    corpus: DataFrame,
+    sources: Sequence[str] | None = None,
+    stems: Sequence[str] = fixed.RELEVANCE_STEMS,
+    curated: Sequence[str] = fixed.CURATED_SOURCES,
+    line_patterns: Sequence[str] = fixed.NAVIGATION_LINES,
+    max_words: int = fixed.MAX_WORDS,
+) -> DataFrame:
     """Clean, filter by topic and shorten the documents given to coders.
 
     Every step is an expression on the row: the corpus is read once and not
@@ -287,17 +302,17 @@ def prepared_for_coding(corpus: DataFrame, sources: list[str] | None = None) ->
         optional("source", "unknown").alias("source"),
         optional("content_type", "unknown").alias("content_type"),
         optional("speaker_attribution", "").alias("speaker_attribution"),
-        T.clean_body(F.col("body_text")).alias("cleaned"),
+        T.clean_body(F.col("body_text"), line_patterns).alias("cleaned"),
     )
     if sources is not None:
         rows = rows.where(F.col("source").isin(*sources))
     return (
         rows.where(F.length("cleaned") >= 100)
         .where(
-            F.col("source").isin(*fixed.CURATED_SOURCES)
-            | T.is_relevant(F.col("cleaned"), F.col("title"))
+            F.col("source").isin(*curated)
+            | T.is_relevant(F.col("cleaned"), F.col("title"), stems)
         )
-        .withColumn("body", T.relevant_sections(F.col("cleaned")))
+        .withColumn("body", T.relevant_sections(F.col("cleaned"), stems, max_words))
         .withColumn("original_words", T.word_count(F.col("cleaned")))
         .withColumn("truncated_words", T.word_count(F.col("body")))
         .withColumn(

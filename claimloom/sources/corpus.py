@@ -91,15 +91,20 @@ def read_map(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
-    """Sloppily quoted ``url,title`` lines; the source is taken from the file name.
+    """Link lists of a folder, with the source taken from the file names."""
+    return link_lines(spark.read.text(path).select("value", "_metadata.file_name"))
+
+
+def link_lines(lines: DataFrame) -> DataFrame:
+    """Sloppily quoted ``url,title`` lines of ``lines(value, file_name)``.
 
     Lines without an address, the header among them, are dropped.
     """
-    raw = spark.read.text(path).select(
+    raw = lines.select(
         F.regexp_replace(
             F.regexp_replace("value", r'\\"', ""), r'^"|"$', ""
         ).alias("line"),
-        F.col("_metadata.file_name").alias("file_name"),
+        "file_name",
     )
     whole = F.col("line").rlike(r"^https?://[^,]+,.*$")
     address = r'https?://[^,"\s]+'

@@ -51,8 +51,14 @@ def read_coded_csv(spark: SparkSession, path: str, schema: str | StructType) ->
 
 
 def read_coder_results(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all coder result files, fenced or not; unreadable files drop out."""
+    """Entries of all coder result files of a folder."""
     raw = spark.read.option("wholetext", True).text(path, pathGlobFilter="*.json")
+    return coder_entries(raw.select("value", F.col("_metadata.file_name").alias("batch_file")))
+
+
+def coder_entries(replies: DataFrame) -> DataFrame:
+    """Entries of ``replies(value, batch_file)``: a JSON array or object, fenced or
+    not; unreadable replies drop out."""
     body = strip_code_fence(F.col("value"))
     as_array = F.when(body.startswith("["), body).otherwise(
         F.concat(F.lit("["), body, F.lit("]"))
@@ -61,9 +67,8 @@ def read_coder_results(spark: SparkSession, path: str) -> DataFrame:
         f"{n}:{t}" for n, t in (p.split() for p in RESULT_SCHEMA.split(", "))
     ) + ">>"
     return (
-        raw.select(
-            F.col("_metadata.file_name").alias("batch_file"),
-            F.posexplode_outer(F.from_json(as_array, entry)).alias("seq", "_e"),
+        replies.select(
+            "batch_file", F.posexplode_outer(F.from_json(as_array, entry)).alias("seq", "_e")
         )
         .where(F.col("_e").isNotNull())
         .select("_e.*", "batch_file", "seq")
