@@ -101,55 +101,51 @@ def paragraph_text(paragraphs: Column, longer_than: int) -> Column:
 # --- topic relevance ---------------------------------------------------------
 
 
-def _starts_only_once(stems: Sequence[str]) -> bool:
-    """True if no two stems can start at one place and none overlaps itself."""
-    distinct = set(stems)
-    for stem in distinct:
-        if any(other != stem and other.startswith(stem) for other in distinct):
-            return False
-        if any(stem.startswith(stem[k:]) for k in range(1, len(stem))):
-            return False
-    return True
-
-
-def stem_hits(text: Column, stems: Sequence[str]) -> Column:
-    """Every occurrence of every stem, found in one pass over the text."""
-    if not _starts_only_once(stems):
-        raise ValueError("stems must not be prefixes of one another or overlap themselves")
-    distinct = list(dict.fromkeys(stems))
-    first = "".join(dict.fromkeys(escape_literal(s[0]) for s in distinct))
-    body = "|".join(escape_literal(s) for s in distinct)
-    return F.regexp_extract_all(text, F.lit(f"(?=[{first}])(?=({body}))"), F.lit(1))
+def _one_pass(stems: Sequence[str]) -> list[str]:
+    """Stems of which at most one starts at any place and none overlaps itself."""
+    chosen: list[str] = []
+    for stem in dict.fromkeys(stems):
+        overlaps_itself = any(stem.startswith(stem[k:]) for k in range(1, len(stem)))
+        clashes = any(o.startswith(stem) or stem.startswith(o) for o in chosen)
+        if not overlaps_itself and not clashes:
+            chosen.append(stem)
+    return chosen
 
 
 def stem_density(text: Column, stems: Sequence[str] = fixed.RELEVANCE_STEMS) -> Column:
     """``struct(n_distinct, n_total)`` of stem occurrences, case-sensitive.
 
     A stem listed twice counts twice, both as distinct stem and in the total.
+    Stems that cannot hide one another are found in one pass over the text, the
+    others one by one.
     """
-    repeats = {}
-    for stem in stems:
-        repeats[stem] = repeats.get(stem, 0) + 1
-    extra = {stem: n - 1 for stem, n in repeats.items() if n > 1}
-
-    def weigh(hits: Column) -> Column:
-        if not extra:
-            return F.size(hits)
-        bonus = F.size(hits)
-        for n in sorted(set(extra.values())):
-            again = [F.lit(s) for s, k in extra.items() if k == n]
-            bonus = bonus + n * F.size(
-                F.filter(hits, lambda hit: hit.isin(*again))
-            )
-        return bonus
-
-    return let(
-        stem_hits(text, stems),
-        lambda hits: F.struct(
-            weigh(F.array_distinct(hits)).alias("n_distinct"),
-            weigh(hits).alias("n_total"),
-        ),
-    )
+    weight = {stem: list(stems).count(stem) for stem in dict.fromkeys(stems)}
+    together = _one_pass(stems)
+    first = "".join(dict.fromkeys(escape_literal(s[0]) for s in together))
+    body = "|".join(escape_literal(s) for s in together)
+    hits = F.regexp_extract_all(text, F.lit(f"(?=[{first}])(?=({body}))"), F.lit(1))
+    apart = [s for s in weight if s not in together]
+    counts = [F.regexp_count(text, F.lit(escape_literal(s))) for s in apart]
+
+    def weigh(found: Column) -> Column:
+        total = F.size(found)
+        for extra in sorted({weight[s] - 1 for s in together} - {0}):
+            repeated = [F.lit(s) for s in together if weight[s] - 1 == extra]
+            total = total + extra * F.size(F.filter(found, lambda hit: hit.isin(*repeated)))
+        return total
+
+    def density(bound: Column) -> Column:
+        distinct, total = weigh(F.array_distinct(bound["hits"])), weigh(bound["hits"])
+        for i, stem in enumerate(apart):
+            n = F.get(bound["counts"], F.lit(i))
+            distinct = distinct + F.when(n > 0, weight[stem]).otherwise(0)
+            total = total + weight[stem] * n
+        return F.struct(distinct.alias("n_distinct"), total.alias("n_total"))
+
+    found = [hits.alias("hits")]
+    if apart:
+        found.append(F.array(*counts).alias("counts"))
+    return let(F.struct(*found), density)
 
 
 def is_relevant(

@@ -114,28 +114,27 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     coded = cells.select(
         F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), "n"
     )
+    same = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)
     by_code = (
-        coded.select(F.col("a").alias("code"), F.col("n").alias("n_a"), F.lit(0).alias("n_b"))
-        .unionAll(coded.select("b", F.lit(0), "n"))
+        coded.select(
+            F.col("a").alias("code"), F.col("n").alias("n_a"), F.lit(0).alias("n_b"), same.alias("same")
+        )
+        .unionAll(coded.select("b", F.lit(0), "n", F.lit(0)))
         .groupBy("code")
-        .agg(F.sum("n_a").cast("double").alias("n_a"), F.sum("n_b").cast("double").alias("n_b"))
+        .agg(*[F.sum(c).cast("double").alias(c) for c in ("n_a", "n_b", "same")])
     )
     margins = by_code.agg(
         F.sum("n_a").alias("total"),
+        F.sum("same").alias("same"),
         F.sum(F.col("n_a") * F.col("n_b")).alias("s1"),
         F.sum(F.col("n_a") * F.col("n_b") * (F.col("n_a") + F.col("n_b"))).alias("s2"),
         F.count("*").alias("n_codes"),
     )
-    agreed = coded.agg(
-        F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0))
-        .cast("double")
-        .alias("same")
-    )
     t = F.col("total")
     po = F.col("same") / t
     pe = F.col("s1") / (t * t)
     variance = (pe + pe * pe - F.col("s2") / (t * t * t)) / (t * (1 - pe) * (1 - pe))
-    stats = margins.join(F.broadcast(agreed)).select(
+    stats = margins.select(
         t.cast("bigint").alias("n"),
         F.col("n_codes"),
         po.alias("agreement"),

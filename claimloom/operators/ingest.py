@@ -259,7 +259,9 @@ def diagnose(
         "id",
         "url",
         T.preview(F.col("title"), 60).alias("title"),
-        "word_count",
+        (F.col("word_count") if "word_count" in corpus.columns else T.word_count(body)).alias(
+            "word_count"
+        ),
         T.preview(F.col("body_text"), 100).alias("body_preview"),
         T.is_boilerplate(body, markers, session_markers).alias("is_broken"),
     )

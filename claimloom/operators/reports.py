@@ -66,8 +66,9 @@ def overview(results: DataFrame, claims: DataFrame) -> DataFrame:
         F.coalesce(F.sum("match_count"), F.lit(0)).cast("bigint").alias("total_claims"),
     )
     unique = claims.agg(F.countDistinct("sentence").alias("unique_sentences"))
-    # Both sides are a single row.
-    return documents.join(F.broadcast(unique))
+    # Two single rows, put side by side by adding them up.
+    both = documents.unionByName(unique, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 def claims_by_category(claims: DataFrame) -> DataFrame:
