@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Sequence
 
@@ -20,6 +19,7 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
 
 
@@ -39,16 +39,16 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read on from there.
 
-    The folder is the one the cluster names; only where it names none, as in
-    tests, a folder of our own is used.
+    The folder is the one the cluster names.  Only a local session that names
+    none, as in tests, gets a folder of its own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(
-            named or os.path.join(tempfile.gettempdir(), "claimloom-checkpoints")
-        )
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
