@@ -56,6 +56,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, spread over the cores where it is small."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def study_date(doc_id: Column) -> Column:
     day = F.date_add(F.lit("2018-01-01").cast("date"), ((doc_id * 37) % 2922).cast("int"))
     return F.when(doc_id % 23 != 0, F.date_format(day, "yyyy-MM-dd"))
@@ -65,7 +70,7 @@ def study_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table in the shape of a corpus."""
     number = F.col("doc_id")
     kind = F.substring("source", 4, 10).cast("int") % 5
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return texts(spark, sf_dir).select(
         number.cast("string").alias("id"),
         F.concat(F.lit("https://corpus.example.org/news/"), number.cast("string")).alias("url"),
         F.concat(F.lit("Document "), number.cast("string")).alias("title"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.catalog.base import STEMS, query, study_corpus, study_date, table
+from claimloom.catalog.base import STEMS, query, study_corpus, study_date, table, texts
 from claimloom.functions import dates
 from claimloom.functions import text as T
 from claimloom.operators import ingest, packing
@@ -34,7 +34,7 @@ _NAV_SQL = " OR ".join(f"regexp_matches(l, '{p}')" for p in NAVIGATION)
 )
 def word_counts(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", T.word_count(text).alias("n_words"), T.estimate_tokens(text).alias("tokens_est")
     )
 
@@ -58,7 +58,7 @@ def tidy_whitespace(spark, sf):
         ' ' || chr(10) || chr(9) || chr(13)) AS cleaned FROM documents""",
 )
 def clean_lines(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", T.clean_body(F.col("text"), NAVIGATION).alias("cleaned")
     )
 
@@ -71,7 +71,7 @@ def clean_lines(spark, sf):
 )
 def relevance_density(spark, sf):
     combined = F.concat("source", F.lit(" "), "text")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id",
         T.stem_density(combined, STEMS).alias("d"),
         T.is_relevant(F.col("text"), F.col("source"), STEMS).alias("is_relevant"),
@@ -89,7 +89,7 @@ _BROKEN = f"""(body IS NULL OR length(body) < 200 OR ({_MARKERS_SQL}) >= 3
     f"SELECT doc_id, {_BROKEN} AS is_broken FROM (SELECT doc_id, text AS body FROM documents)",
 )
 def boilerplate(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", T.is_boilerplate(F.col("text"), MARKERS, SESSION).alias("is_broken")
     )
 
@@ -235,7 +235,7 @@ def _dated_texts(spark, sf):
     text = F.when(n % 3 == 0, F.concat_ws(" ", spelled, "text")).otherwise(
         F.concat_ws(" ", "text", spelled)
     )
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", text.alias("body_text"), spelled.alias("spelled"), "source"
     )
 
@@ -468,7 +468,7 @@ def truncation_totals(spark, sf):
 
 def _sized(spark, sf):
     tokens = T.estimate_tokens(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         F.col("doc_id").cast("string").alias("id"),
         F.coalesce(study_date(F.col("doc_id")), F.lit("unknown")).alias("date"),
         tokens.alias("tokens_est"),

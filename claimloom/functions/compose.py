@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace as Python's str.strip() and R's trimws() understand it.
@@ -25,6 +25,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_computed(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add expensive columns that later filters use.
+
+    A filter on a plain column moves below it and computes the column again for
+    itself; a generator's output is computed once and filtered afterwards.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
+
+
 def strip(text: Column, chars: str = WIDE_SPACE) -> Column:
     return F.btrim(text, F.lit(chars))
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimloom.functions.compose import NARROW_SPACE, choose, strip
+from claimloom.functions.compose import NARROW_SPACE, choose, let, strip
 from claimloom.settings import fixed
 
 VARIANTS = ("strict", "prefix", "article", "session", "browser", "scraper")
@@ -23,23 +23,28 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
     return F.concat(year, F.lit("-"), month, F.lit("-"), day)
 
 
-def _blank_to_null(value: Column) -> Column:
-    return F.when(value != "", value)
+def _first_match(text: Column, pattern: str, build) -> Column:
+    """Search once; ``build`` takes the groups from the short matched text."""
+    return let(
+        F.regexp_extract(text, pattern, 0),
+        lambda found: F.when(found != "", build(lambda g: F.regexp_extract(found, pattern, g))),
+    )
 
 
 def _named_month(text: Column, pattern: str, months: Mapping[str, str]) -> Column:
     """ISO date from the first ``day month year`` match, null otherwise."""
-    day = _blank_to_null(F.regexp_extract(text, pattern, 1))
-    month = choose(F.lower(F.regexp_extract(text, pattern, 2)), dict(months))
-    year = F.regexp_extract(text, pattern, 3)
-    return _iso(year, month, F.lpad(day, 2, "0"))
+    return _first_match(
+        text,
+        pattern,
+        lambda group: _iso(
+            group(3), choose(F.lower(group(2)), dict(months)), F.lpad(group(1), 2, "0")
+        ),
+    )
 
 
 def _rebuild(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
     """ISO date from the groups of the first match, null without a match."""
-    found = _blank_to_null(F.regexp_extract(text, pattern, 0))
-    year, month, day = (F.regexp_extract(text, pattern, g) for g in order)
-    return F.when(found.isNotNull(), _iso(year, month, day))
+    return _first_match(text, pattern, lambda group: _iso(*(group(g) for g in order)))
 
 
 def parse_date(text: Column, variant: str = "prefix") -> Column:
@@ -121,13 +126,12 @@ def date_in_opening(text: Column, chars: int = 500) -> Column:
     named = rf"(\d{{1,2}})\s+({months})\s+(\d{{4}})"
     dotted = r"(\d{2})\.(\d{2})\.(\d{4})"
 
-    def in_scope(pattern: str) -> Column:
-        year = F.regexp_extract(opening, pattern, 3)
-        return year.between("2018", "2025")
+    def in_scope(date: Column) -> Column:
+        return let(date, lambda d: F.when(F.substring(d, 1, 4).between("2018", "2025"), d))
 
     return F.coalesce(
-        F.when(in_scope(named), _named_month(opening, named, fixed.MONTHS_UK)),
-        F.when(in_scope(dotted), _rebuild(opening, dotted, (3, 2, 1))),
+        in_scope(_named_month(opening, named, fixed.MONTHS_UK)),
+        in_scope(_rebuild(opening, dotted, (3, 2, 1))),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import dates, labels
 from claimloom.functions import text as T
+from claimloom.functions.compose import with_computed
 from claimloom.settings import fixed
 
 
@@ -304,23 +305,26 @@ def prepared_for_coding(
         optional("source", "unknown").alias("source"),
         optional("content_type", "unknown").alias("content_type"),
         optional("speaker_attribution", "").alias("speaker_attribution"),
-        T.clean_body(F.col("body_text"), line_patterns).alias("cleaned"),
+        "body_text",
     )
     if sources is not None:
         rows = rows.where(F.col("source").isin(*sources))
-    return (
-        rows.where(F.length("cleaned") >= 100)
-        .where(
-            F.col("source").isin(*curated)
-            | T.is_relevant(F.col("cleaned"), F.col("title"), stems)
-        )
-        .withColumn("body", T.relevant_sections(F.col("cleaned"), stems, max_words))
-        .withColumn("original_words", T.word_count(F.col("cleaned")))
-        .withColumn("truncated_words", T.word_count(F.col("body")))
-        .withColumn(
-            "tokens_est", (F.col("truncated_words") * F.lit(fixed.TOKENS_PER_WORD)).cast("int")
-        )
-        .drop("cleaned")
+    cleaned = with_computed(
+        rows, {"cleaned": T.clean_body(F.col("body_text"), line_patterns)}
+    ).drop("body_text")
+    relevant = cleaned.where(F.length("cleaned") >= 100).where(
+        F.col("source").isin(*curated) | T.is_relevant(F.col("cleaned"), F.col("title"), stems)
+    )
+    shortened = with_computed(
+        relevant, {"body": T.relevant_sections(F.col("cleaned"), stems, max_words)}
+    )
+    counted = shortened.select(
+        "*",
+        T.word_count(F.col("cleaned")).alias("original_words"),
+        T.word_count(F.col("body")).alias("truncated_words"),
+    ).drop("cleaned")
+    return counted.withColumn(
+        "tokens_est", (F.col("truncated_words") * F.lit(fixed.TOKENS_PER_WORD)).cast("int")
     )
 
 

@@ -95,15 +95,16 @@ def coding_sample(
     seed: int = 42,
 ) -> DataFrame:
     """Stratified coding sheet: per dimension, topped up per period."""
-    drawn = per_stratum(claims, ["category"], "claim_id", n_per_category, seed)
+    # Keys only are ranked; the drawn rows, a few per stratum, are fetched after.
+    keys = claims.select("claim_id", "category")
+    drawn = per_stratum(keys, ["category"], "claim_id", n_per_category, seed).select("claim_id")
     if n_per_juncture:
-        # At most n_per_category rows per dimension are excluded here.
-        rest = claims.where(F.col("juncture").isNotNull()).join(
-            drawn.select("claim_id"), "claim_id", "left_anti"
-        )
+        dated = claims.select("claim_id", "juncture").where(F.col("juncture").isNotNull())
+        rest = dated.join(F.broadcast(drawn), "claim_id", "left_anti")
         top_up = per_stratum(rest, ["juncture"], "claim_id", n_per_juncture, seed + 1)
-        drawn = drawn.unionByName(top_up)
-    return empty_columns(drawn.select(*SHEET_COLUMNS), CODER_COLUMNS)
+        drawn = drawn.unionByName(top_up.select("claim_id"))
+    sheet = claims.select(*SHEET_COLUMNS).join(F.broadcast(drawn), "claim_id", "left_semi")
+    return empty_columns(sheet, CODER_COLUMNS)
 
 
 AUDIT_COLUMNS = {
