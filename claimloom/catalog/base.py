@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions.compose import choose
+from claimloom.functions.compose import choose, with_computed
 from claimloom.functions.inflect import same
 from claimloom.operators import matching, reports
 from claimloom.operators.lexicon import lemma_lexicon, surface_lexicon
@@ -129,9 +129,12 @@ def claim_key() -> Column:
 
 def study_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims with codes of two coders, derived from lengths and offsets."""
-    size = F.length("sentence")
-    start = F.col("match_start")
-    return study_prepared(spark, sf_dir).withColumns(
+    size, start = F.col("_size"), F.col("_start")
+    measured = with_computed(
+        study_prepared(spark, sf_dir),
+        {"_size": F.length("sentence"), "_start": F.col("match_start")},
+    )
+    return measured.withColumns(
         {
             "claim_id": claim_key(),
             "is_securitising": F.when(size % 7 != 0, size % 3 == 0),
@@ -145,7 +148,7 @@ def study_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
             "human_category_correct": start % 4 != 0,
             "human_securitisation_type": _code(size + start % 2, "securitisation_type"),
         }
-    )
+    ).drop("_size", "_start")
 
 
 def _code(number: Column, name: str) -> Column:

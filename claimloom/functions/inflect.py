@@ -9,7 +9,7 @@ The rules run on the driver over the few hundred words of a lexicon.
 from __future__ import annotations
 
 # Per language: ending of the dictionary form -> endings of the inflected forms.
-# The longest ending that fits is used.
+# The longest ending that fits is used; "-" is the bare stem.
 RULES: dict[str, dict[str, str]] = {
     "uk": {
         "ість": "ість ості істю остей остям остями остях",
@@ -25,14 +25,14 @@ RULES: dict[str, dict[str, str]] = {
         "ка": "ка ки ці ку кою ко ок кам ками ках",
         "га": "га ги зі гу гою го г гам гами гах",
         "на": "на ни ні ну ною но н нам нами нах ної ній",
-        "а": "а и і у ою о ам ами ах ої ій ів",
+        "а": "а и і у ою о - ам ами ах ої ій ів",
         "я": "я і ю ею є е й ь ям ями ях",
         "ни": "ни нів нам ними нами нах",
-        "о": "о а у ом і ам ами ах",
+        "о": "о а у ом і - ам ами ах",
         "ити": "ити ить ив ила ило или имо ите ять иш лю ю ено ений ена ені",
         "вати": "вати ує ував увала увало ували уємо уєте ують уєш ую овано ований увати",
         "ати": "ати е ав ала ало али емо ете уть еш у ано",
-        "": " а у ові ом і е и ів ам ами ах",
+        "": "- а у ові ом і е и ів ам ами ах",
     },
     "ru": {
         "ость": "ость ости остью остей остям остями остях",
@@ -47,15 +47,15 @@ RULES: dict[str, dict[str, str]] = {
         "ырь": "ырь ыря ырю ырем ырём ыре ыри ырей ырям ырями ырях",
         "ка": "ка ки ке ку кой кою ок кам ками ках",
         "га": "га ги ге гу гой гою г гам гами гах",
-        "а": "а ы и е у ой ою ам ами ах",
+        "а": "а ы и е у ой ою - ам ами ах",
         "я": "я и е ю ей ею ь ям ями ях",
         "ство": "ство ства ству ством стве ств ствам ствами ствах",
-        "о": "о а у ом е ам ами ах",
+        "о": "о а у ом е - ам ами ах",
         "ы": "ы ов ам ами ах",
         "ить": "ить ит ил ила ило или им ите ят ишь лю ю ен ено",
         "овать": "овать ует овал овала овало овали уем уете уют уешь ую ован",
         "ать": "ать ет ал ала ало али ем ете ут ешь у ан",
-        "": " а у ом е ы и ов ам ами ах",
+        "": "- а у ом е ы и ов ам ами ах",
     },
 }
 INVARIABLE = frozenset({"зсередини", "изнутри", "мп", "упц", "пцу", "сбу"})
@@ -78,7 +78,7 @@ def inflect(word: str, lang: str) -> frozenset[str]:
     rules = RULES[lang]
     ending = max((e for e in rules if e and lowered.endswith(e)), key=len, default="")
     stem = lowered[: len(lowered) - len(ending)] if ending else lowered
-    forms = {stem + suffix for suffix in rules[ending].split(" ")}
+    forms = {stem + suffix.strip("-") for suffix in rules[ending].split()}
     return frozenset(forms | {lowered})
 
 

@@ -193,9 +193,7 @@ def relevant_sections(
         window = F.slice(hits, start + 1, i + context - start + 1)
         return F.exists(window, lambda hit: hit)
 
-    def render(sents: Column, keep: Column) -> Column:
-        first = F.array_position(keep, F.lit(True))
-
+    def render(sents: Column, keep: Column, first: Column) -> Column:
         def piece(sentence: Column, i: Column) -> Column:
             before = F.coalesce(F.get(keep, i - 1), F.lit(False))
             after = F.coalesce(F.get(keep, i + 1), F.lit(False))
@@ -226,7 +224,10 @@ def relevant_sections(
                 let(
                     let(
                         F.transform(hits, lambda _, i: is_kept(hits, i)),
-                        lambda keep: render(sents, keep),
+                        lambda keep: let(
+                            F.array_position(keep, F.lit(True)),
+                            lambda first: render(sents, keep, first),
+                        ),
                     ),
                     capped,
                 ),

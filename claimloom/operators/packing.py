@@ -144,7 +144,7 @@ def manifest(assigned: DataFrame, order: list[str]) -> DataFrame:
     ``est_tokens`` adds up the uncapped sizes, ``packed_tokens`` the capped
     ones.  A batch is bounded by the limit, so are its ids.
     """
-    entry = F.struct(*order, "id")
+    entry = F.struct(*dict.fromkeys([*order, "id"]))
     return assigned.groupBy("batch").agg(
         F.count("*").alias("n_docs"),
         F.sum("tokens_est").cast("double").alias("est_tokens"),
@@ -172,7 +172,7 @@ def rendered_batches(assigned: DataFrame, order: list[str]) -> DataFrame:
         F.lit("=== DOC "), F.col("id"), F.lit(" | "), F.col("date"), F.lit(" | "),
         F.col("source"), speaker, F.lit(" | "), F.col("title"), F.lit(" ===\n"), F.col("body"),
     )
-    entry = F.struct(*order, "id", block.alias("block"))
+    entry = F.struct(*dict.fromkeys([*order, "id"]), block.alias("block"))
     per_batch = assigned.groupBy("batch").agg(
         F.count("*").alias("n_docs"), F.array_sort(F.collect_list(entry)).alias("_docs")
     )
