@@ -6,10 +6,11 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from claimloom.operators import coding, ingest
 from claimloom.operators.lexicon import lemma_lexicon, surface_lexicon
 from claimloom.operators.sampling import sample_claims
 from claimloom.plans import analysis, console
-from claimloom.plans.layout import configure
+from claimloom.plans.layout import configure, spread
 from claimloom.sources import corpus, tables
 
 
@@ -20,7 +21,8 @@ def _session() -> SparkSession:
 def _analyse(args: argparse.Namespace) -> None:
     spark = _session()
     lexicon = surface_lexicon() if args.matcher == "surface" else lemma_lexicon()
-    done = analysis.analyse_corpus(corpus.read_corpus(spark, args.corpus_dir), lexicon)
+    docs = spread(corpus.read_corpus(spark, args.corpus_dir), "id")
+    done = analysis.analyse_corpus(docs, lexicon)
     if args.output_dir:
         analysis.write_analysis(done, args.output_dir)
     print(console.summary_text(done.summary))
@@ -55,6 +57,29 @@ def _verify(args: argparse.Namespace) -> None:
     print(f"\n{doc['body_text']}")
 
 
+def _batches(args: argparse.Namespace) -> None:
+    docs = spread(corpus.read_corpus(_session(), args.corpus_dir), "id")
+    built = analysis.prepare_batches(docs, args.output_dir, args.source, args.max_tokens)
+    print(console.table_text("batches", built["manifest"].drop("doc_ids").orderBy("batch")))
+
+
+def _merge(args: argparse.Namespace) -> None:
+    spark = _session()
+    merged = analysis.merge_results(
+        tables.read_coder_results(spark, args.results_dir),
+        corpus.read_corpus(spark, args.corpus_dir),
+        args.output_dir,
+    )
+    print(console.table_text("by period", coding.results_by_juncture(merged)))
+    print(console.table_text("by source", coding.results_by_source(merged)))
+
+
+def _diagnose(args: argparse.Namespace) -> None:
+    docs = corpus.read_corpus(_session(), args.corpus_dir)
+    found = ingest.diagnose(docs).groupBy("is_broken").count()
+    print(console.table_text("session records", found))
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="claimloom", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -84,6 +109,23 @@ def main(argv: list[str] | None = None) -> None:
     verify.add_argument("--corpus-dir", default="output/corpus")
     verify.set_defaults(run=_verify)
 
+    batches = commands.add_parser("batches", help="pack relevant documents for a coder")
+    batches.add_argument("--corpus-dir", default="output/corpus")
+    batches.add_argument("--output-dir", default="output/batches")
+    batches.add_argument("--source", action="append")
+    batches.add_argument("--max-tokens", type=int, default=80000)
+    batches.set_defaults(run=_batches)
+
+    merge = commands.add_parser("merge", help="merge the results of a coder")
+    merge.add_argument("--results-dir", default="output/results")
+    merge.add_argument("--corpus-dir", default="output/corpus")
+    merge.add_argument("--output-dir", default="output/coded")
+    merge.set_defaults(run=_merge)
+
+    diagnose = commands.add_parser("diagnose", help="count unusable session records")
+    diagnose.add_argument("--corpus-dir", default="output/corpus")
+    diagnose.set_defaults(run=_diagnose)
+
     args = parser.parse_args(argv)
     args.run(args)
 

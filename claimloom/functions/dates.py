@@ -174,6 +174,31 @@ def _not_ahead(date: Column) -> Column:
     return F.when(~date.rlike("^202[6-9]"), date)
 
 
+def page_date(parts: Column) -> Column:
+    """Date of a page from ``page_parts``: publication field, dated element, time
+    element, info line, then the text."""
+
+    def given(value: Column) -> Column:
+        return F.when(value != "", value)
+
+    published = F.try_element_at(parts["meta"], F.lit("article:published_time"))
+    return F.coalesce(
+        given(F.substring(published, 1, 10)),
+        parse_date(parts["item_date"], "browser"),
+        given(F.substring(parts["time"], 1, 10)),
+        parse_date(parts["info"], "browser"),
+        parse_date(parts["text"], "browser"),
+    )
+
+
+def date_beside_link(title: Column, around: Column) -> Column:
+    """Date of a link from its text and the text around it."""
+    both = F.concat(title, F.lit(" "), around)
+    return F.coalesce(
+        parse_date(both, "strict"), _rebuild(both, r"(\d{2})\.(\d{2})\.(\d{4})", (3, 2, 1))
+    )
+
+
 def resolve_date(json_date: Column, map_date: Column, body: Column) -> Column:
     """Best date: mapping, then the exported field, then the opening of the text."""
 

@@ -239,6 +239,65 @@ def listing_links(page: Column, base: str, fallback_marker: str = "/news/") -> C
     return parse(page)
 
 
+def linked_items(page: Column, base: str, pattern: str, min_chars: int = 0) -> Column:
+    """Links whose address fits a pattern, each once, with the text around them:
+    ``array<struct(title, url, around, date_text)>``."""
+    wanted = re.compile(pattern, re.I)
+
+    def items(page_text: str) -> list[dict]:
+        found: dict[str, dict] = {}
+        for node in _select(_Tree(page_text).root, "a[href]"):
+            href, title = node.attrs["href"], _text(node, " ")
+            if wanted.search(href) and len(title) >= min_chars:
+                url = href if href.startswith("http") else base + href
+                date = _first(node.parent, ["time", "[class*='date']"])
+                found.setdefault(
+                    url,
+                    {
+                        "title": title,
+                        "url": url,
+                        "around": _text(node.parent, " "),
+                        "date_text": _date_text(date),
+                    },
+                )
+        return list(found.values())
+
+    @F.pandas_udf("array<struct<title:string,url:string,around:string,date_text:string>>")
+    def parse(pages: pd.Series) -> pd.Series:
+        return pd.Series([items(p or "") for p in pages])
+
+    return parse(page)
+
+
+def next_page(page: Column, base: str) -> Column:
+    """Address of the next listing page: a link marked as next, else the link
+    after the active one in the pager."""
+
+    def address(page_text: str) -> str | None:
+        root = _Tree(page_text).root
+        link = _first(root, ["a[class*='next']", "li.next a"])
+        if link is None:
+            pager = _first(root, ["[class*='pag']"])
+            current = None if pager is None else _first(pager, [".active", ".current"])
+            if current is not None:
+                inside = list(current.walk())
+                after = False
+                for node in pager.walk():
+                    if node in inside:
+                        after = True
+                    elif after and node.tag == "a":
+                        link = node
+                        break
+        href = "" if link is None else link.attrs.get("href", "")
+        return None if not href else href if href.startswith("http") else base + href
+
+    @F.pandas_udf("string")
+    def parse(pages: pd.Series) -> pd.Series:
+        return pd.Series([address(p or "") for p in pages], dtype="object")
+
+    return parse(page)
+
+
 def page_parts(page: Column) -> Column:
     """What the collectors' own cascades need of a page: its links, paragraphs,
     meta fields and dated elements."""

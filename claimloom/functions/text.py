@@ -262,6 +262,13 @@ def is_boilerplate(
     )
 
 
+def is_session_page(page: Column) -> Column:
+    """Large enough a page, or a middling one that speaks of a session."""
+    named = page.rlike("(?iu)стеногр|засідання|stenogr")
+    size = F.length(page)
+    return F.coalesce((size >= 5000) | ((size >= 1000) & named), F.lit(False))
+
+
 def is_speech_by(
     url: Column,
     title: Column,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import dates, labels
@@ -176,8 +176,12 @@ def apply_date_mapping(corpus: DataFrame, mapping: DataFrame, clean: bool = True
     of other kinds are untouched.
     """
     session = F.col("content_type") == "rada_stenogram"
-    joined = corpus.join(mapping, corpus["rada_id"].cast("string") == mapping["rada_id"], "left")
-    joined = joined.drop(mapping["rada_id"])
+    # Most documents have no session id; a key of their own keeps them from
+    # meeting in the task of the null key.
+    own = F.concat(F.lit("document "), F.col("id"))
+    key = F.when(session, F.coalesce(F.col("rada_id").cast("string"), own)).otherwise(own)
+    dated = mapping.select(F.col("rada_id").alias("_key"), "map_date")
+    joined = corpus.withColumn("_key", key).join(dated, "_key", "left").drop("_key")
     if clean:
         joined = joined.where(~session | F.col("map_date").isNotNull())
     return joined.withColumn(
@@ -275,6 +279,20 @@ def urls_to_refetch(
     return (rows.where("is_broken") if only_broken else rows).select("url")
 
 
+def session_work_list(spark: SparkSession, first: int = 6700, last: int = 9000) -> DataFrame:
+    """Addresses of session records to ask for, one per consecutive number."""
+    return spark.range(first, last + 1).select(
+        F.col("id").cast("int").alias("rada_id"),
+        F.format_string("https://www.rada.gov.ua/meeting/stenogr/show/%d.html", "id").alias("url"),
+    )
+
+
+def not_yet_held(work: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Addresses whose document the corpus does not hold."""
+    wanted = work.withColumn("id", labels.doc_id(F.col("url")))
+    return wanted.join(corpus.select("id"), "id", "left_anti")
+
+
 def in_period(docs: DataFrame, start: str = fixed.DATE_START, end: str = fixed.DATE_END) -> DataFrame:
     """Documents within the collection period; undated ones stay."""
     day = dates.typed_date(F.col("date"))

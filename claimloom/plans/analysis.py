@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import coding, figures, ingest, matching, packing, reports
 from claimloom.operators.lexicon import Lexicon
-from claimloom.plans.layout import number_rows, spread
+from claimloom.plans.layout import number_rows
 from claimloom.settings import fixed
 from claimloom.sources import corpus as corpus_io
 from claimloom.sources import tables
@@ -27,10 +27,9 @@ class Analysis:
 def analyse_corpus(docs: DataFrame, lexicon: Lexicon, numbered: bool = True) -> Analysis:
     """Match the lexicon against every document.
 
-    Numbering writes the claims to the checkpoint folder, and every report then
-    reads them from there instead of matching again.
+    Numbering writes the claims to the shared folder, and every report then reads
+    the columns it needs from there instead of matching again.
     """
-    docs = spread(docs, "id")
     found = matching.claims(docs, lexicon)
     if numbered:
         found = number_rows(found, matching.claim_order(lexicon), "claim_id")
@@ -49,10 +48,12 @@ def summarise(results: DataFrame, claims: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_analysis(analysis: Analysis, path: str) -> None:
+def write_analysis(analysis: Analysis, path: str, as_json: bool = True) -> None:
+    """Claims, results and summary blocks; JSON to exchange, Parquet to keep."""
     helper = ("cat_ord", "term_ord", "token_index", "seen_at")
-    tables.write_json(analysis.claims.drop(*helper), f"{path}/claims")
-    tables.write_json(analysis.results, f"{path}/results")
+    write = tables.write_json if as_json else corpus_io.store
+    write(analysis.claims.drop(*helper), f"{path}/claims")
+    write(analysis.results, f"{path}/results")
     for name, block in analysis.summary.items():
         tables.write_json(block.coalesce(1), f"{path}/summary/{name}")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,9 +27,10 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread a small input over the cores; leave a large one as it was read.
 
-    A scan of many splits already keeps every core busy, and shuffling whole
-    texts would cost more than it gives.  A scan of fewer splits than cores is
-    small, so moving it is cheap.
+    Give it a plain scan: the partitions of a scan are known from planning, those
+    of a shuffled frame only after running it.  A scan of many splits already
+    keeps every core busy, and shuffling whole texts would cost more than it
+    gives.  A scan of fewer splits than cores is small, so moving it is cheap.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 4 * cores:
@@ -36,22 +38,36 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(cores, key) if key else df.repartition(cores)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and read on from there.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate results.
 
-    The folder is the one the cluster names.  Only a local session that names
-    none, as in tests, gets a folder of its own.
+    Only a local session that names none, as in tests, gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint the rows; partitions and the order within them stay."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared folder and read on from it.
+
+    Later steps read only the columns they need.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[str | Column],
@@ -61,8 +77,9 @@ def number_rows(
     """Number the rows 1..N in the given order without a single-task sort.
 
     Rows are range-partitioned and sorted; each partition's row count gives the
-    next partition's offset.  The ranges are written out first, so a lost
-    executor cannot change them between counting and numbering.
+    next partition's offset.  The rows are written out with their place first, so
+    a lost executor cannot change it between counting and numbering, and reports
+    on the numbered rows read them from that table.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -71,7 +88,7 @@ def number_rows(
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
     )
-    fixed = cut_lineage(ranged)
+    fixed = written(ranged)
     part = F.shiftright("_slot", _SLOT_BITS)
     # One row per partition, whatever the number of rows.
     counts = fixed.groupBy(part.alias("part")).count().collect()

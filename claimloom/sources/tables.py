@@ -116,6 +116,16 @@ def lemma_forms(dictionary: DataFrame, words: list[str], langs: tuple[str, ...])
     return {(lang, w): frozenset(f) or frozenset({"\0"}) for lang in langs for w, f in forms.items()}
 
 
+def lemmatised(words: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
+    """Words with their lemma; a word the dictionary lacks is its own.
+
+    The dictionary broadcasts only if its size allows.
+    """
+    known = dictionary.select(F.lower("form").alias("_form"), F.col("lemma").alias("_lemma"))
+    joined = words.join(known, F.lower(word) == F.col("_form"), "left")
+    return joined.withColumn("lemma", F.coalesce("_lemma", F.lower(word))).drop("_form", "_lemma")
+
+
 # --- sinks -------------------------------------------------------------------
 
 
