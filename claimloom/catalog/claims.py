@@ -209,11 +209,11 @@ def top_terms(spark, sf):
 @query(
     "summary_overview",
     """-- uses: results, claims
-    SELECT count(*) AS total_documents, count_if(content_type = 'speech') AS total_speeches,
-        count_if(content_type = 'press_release') AS total_press,
-        count_if(is_relevant) AS relevant_docs,
-        count_if(is_relevant AND content_type = 'speech') AS relevant_speeches,
-        count_if(is_relevant AND content_type = 'press_release') AS relevant_press,
+    SELECT count(*) AS total_documents, count(CASE WHEN content_type = 'speech' THEN 1 END) AS total_speeches,
+        count(CASE WHEN content_type = 'press_release' THEN 1 END) AS total_press,
+        count(CASE WHEN is_relevant THEN 1 END) AS relevant_docs,
+        count(CASE WHEN is_relevant AND content_type = 'speech' THEN 1 END) AS relevant_speeches,
+        count(CASE WHEN is_relevant AND content_type = 'press_release' THEN 1 END) AS relevant_press,
         CAST(sum(match_count) AS BIGINT) AS total_claims,
         (SELECT count(DISTINCT sentence) FROM claims) AS unique_sentences
     FROM results""",
@@ -224,10 +224,10 @@ def summary_overview(spark, sf):
 
 _YEARLY = """-- uses: results
     SELECT coalesce(substr(date, 1, 4), 'unknown') AS year, count(*) AS total_docs,
-        count_if(content_type = 'speech') AS speeches,
-        count_if({press}) AS press_releases, count_if(is_relevant) AS relevant_docs,
-        count_if(is_relevant AND content_type = 'speech') AS relevant_speeches,
-        count_if(is_relevant AND {press}) AS relevant_press,
+        count(CASE WHEN content_type = 'speech' THEN 1 END) AS speeches,
+        count(CASE WHEN {press} THEN 1 END) AS press_releases, count(CASE WHEN is_relevant THEN 1 END) AS relevant_docs,
+        count(CASE WHEN is_relevant AND content_type = 'speech' THEN 1 END) AS relevant_speeches,
+        count(CASE WHEN is_relevant AND {press} THEN 1 END) AS relevant_press,
         CAST(sum(match_count) AS BIGINT) AS total_claims
     FROM results GROUP BY 1"""
 
@@ -250,7 +250,7 @@ _PERIODS = ", ".join(f"('{n}', '{s} to {e}')" for n, (s, e) in fixed.JUNCTURES.i
     f"""-- uses: results
     , periods AS (SELECT * FROM (VALUES {_PERIODS}) AS t(juncture, date_range))
     SELECT p.juncture, p.date_range, count(r.id) AS total_docs,
-        count_if(r.is_relevant) AS relevant_docs,
+        count(CASE WHEN r.is_relevant THEN 1 END) AS relevant_docs,
         CAST(coalesce(sum(r.match_count), 0) AS BIGINT) AS total_claims
     FROM periods p LEFT JOIN results r ON r.date BETWEEN split_part(p.date_range, ' to ', 1)
         AND split_part(p.date_range, ' to ', 2)
@@ -356,11 +356,11 @@ def cooccurrence(spark, sf):
 @query(
     "cooccurrence_matrix",
     """-- uses: perdoc
-    SELECT c AS cat_a, count_if(list_contains(cats, 'church_actors')) AS church_actors,
-        count_if(list_contains(cats, 'material_security')) AS material_security,
-        count_if(list_contains(cats, 'ontological_security')) AS ontological_security,
-        count_if(list_contains(cats, 'decolonisation')) AS decolonisation,
-        count_if(list_contains(cats, 'urgency')) AS urgency
+    SELECT c AS cat_a, count(CASE WHEN list_contains(cats, 'church_actors') THEN 1 END) AS church_actors,
+        count(CASE WHEN list_contains(cats, 'material_security') THEN 1 END) AS material_security,
+        count(CASE WHEN list_contains(cats, 'ontological_security') THEN 1 END) AS ontological_security,
+        count(CASE WHEN list_contains(cats, 'decolonisation') THEN 1 END) AS decolonisation,
+        count(CASE WHEN list_contains(cats, 'urgency') THEN 1 END) AS urgency
     FROM (SELECT cats, unnest(cats) AS c FROM perdoc) GROUP BY c""",
 )
 def cooccurrence_matrix(spark, sf):
@@ -370,11 +370,11 @@ def cooccurrence_matrix(spark, sf):
 @query(
     "claims_by_juncture",
     """-- uses: prepared
-    SELECT juncture, count_if(category = 'church_actors') AS church_actors,
-        count_if(category = 'material_security') AS material_security,
-        count_if(category = 'ontological_security') AS ontological_security,
-        count_if(category = 'decolonisation') AS decolonisation,
-        count_if(category = 'urgency') AS urgency
+    SELECT juncture, count(CASE WHEN category = 'church_actors' THEN 1 END) AS church_actors,
+        count(CASE WHEN category = 'material_security' THEN 1 END) AS material_security,
+        count(CASE WHEN category = 'ontological_security' THEN 1 END) AS ontological_security,
+        count(CASE WHEN category = 'decolonisation' THEN 1 END) AS decolonisation,
+        count(CASE WHEN category = 'urgency' THEN 1 END) AS urgency
     FROM prepared WHERE juncture IS NOT NULL GROUP BY juncture""",
 )
 def claims_by_juncture(spark, sf):
@@ -385,8 +385,8 @@ def claims_by_juncture(spark, sf):
     "intensity_by_juncture",
     f"""-- uses: scores, tcorpus
     SELECT {sql_juncture('c.date')} AS juncture, count(*) AS n_documents,
-        count_if(s.is_securitising) AS n_securitising,
-        round(100.0 * count_if(s.is_securitising) / count(*), 1)::DOUBLE AS pct_securitising,
+        count(CASE WHEN s.is_securitising THEN 1 END) AS n_securitising,
+        round(100.0 * count(CASE WHEN s.is_securitising THEN 1 END) / count(*), 1)::DOUBLE AS pct_securitising,
         round(avg(s.sec_score), 2) AS mean_score, quantile_cont(s.sec_score, 0.5)::DOUBLE AS median_score,
         max(s.sec_score) AS max_score
     FROM scores s JOIN tcorpus c ON s.doc_id = c.id
@@ -432,8 +432,8 @@ def category_summary(spark, sf):
 @query(
     "material_vs_ontological",
     """-- uses: prepared
-    SELECT year, count_if(category = 'material_security') AS material_security,
-        count_if(category = 'ontological_security') AS ontological_security
+    SELECT year, count(CASE WHEN category = 'material_security' THEN 1 END) AS material_security,
+        count(CASE WHEN category = 'ontological_security' THEN 1 END) AS ontological_security
     FROM prepared WHERE year IS NOT NULL AND category IN ('material_security', 'ontological_security')
     GROUP BY year""",
 )

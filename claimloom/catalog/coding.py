@@ -302,10 +302,10 @@ def json_extract(spark, sf):
 @query(
     "category_quality",
     """-- uses: coded
-    SELECT category, count(*) AS total, count_if(category_correct) AS cat_correct,
-        count_if(is_securitising) AS securitising,
-        round(100.0::DOUBLE * count_if(category_correct) / count(*), 1) AS pct_correct,
-        round(100.0::DOUBLE * count_if(is_securitising) / count(*), 1) AS pct_securitising
+    SELECT category, count(*) AS total, count(CASE WHEN category_correct THEN 1 END) AS cat_correct,
+        count(CASE WHEN is_securitising THEN 1 END) AS securitising,
+        round(100.0::DOUBLE * count(CASE WHEN category_correct THEN 1 END) / count(*), 1) AS pct_correct,
+        round(100.0::DOUBLE * count(CASE WHEN is_securitising THEN 1 END) / count(*), 1) AS pct_securitising
     FROM coded WHERE is_securitising IS NOT NULL GROUP BY category""",
 )
 def category_quality(spark, sf):
@@ -316,8 +316,8 @@ def category_quality(spark, sf):
     "coding_totals",
     """-- uses: coded
     SELECT count(*) AS n_claims, count(is_securitising) AS n_coded,
-        count_if(category_correct AND is_securitising IS NOT NULL) AS n_correct,
-        count_if(is_securitising) AS n_securitising FROM coded""",
+        count(CASE WHEN category_correct AND is_securitising IS NOT NULL THEN 1 END) AS n_correct,
+        count(CASE WHEN is_securitising THEN 1 END) AS n_securitising FROM coded""",
 )
 def coding_totals(spark, sf):
     return coding.coding_totals(study_coded(spark, sf))
@@ -327,7 +327,7 @@ def coding_totals(spark, sf):
     "coding_log",
     """-- uses: coded
     SELECT 'stored replies' AS model, count(*) AS n_claims, count(is_securitising) AS n_coded,
-        count_if(is_securitising) AS n_securitising, '{}' AS config,
+        count(CASE WHEN is_securitising THEN 1 END) AS n_securitising, '{}' AS config,
         left(md5('codebook'), 12) AS system_prompt_hash FROM coded""",
 )
 def coding_log(spark, sf):
@@ -351,8 +351,8 @@ _CHECKED = "(SELECT * FROM coded WHERE category_correct IS NOT NULL)"
 @query(
     "coding_check",
     f"""-- uses: coded
-    SELECT category, count(*) AS n, count_if(category_correct) AS correct,
-        count_if(is_securitising) AS securitising FROM {_CHECKED} GROUP BY category""",
+    SELECT category, count(*) AS n, count(CASE WHEN category_correct THEN 1 END) AS correct,
+        count(CASE WHEN is_securitising THEN 1 END) AS securitising FROM {_CHECKED} GROUP BY category""",
 )
 def coding_check(spark, sf):
     return sampling.coding_check(study_coded(spark, sf))["by_category"]
@@ -361,8 +361,8 @@ def coding_check(spark, sf):
 @query(
     "coding_check_totals",
     """-- uses: coded
-    SELECT count(*) AS in_sample, count(category_correct) AS coded, count_if(category_correct) AS correct,
-        count_if(is_securitising AND category_correct IS NOT NULL) AS securitising FROM coded""",
+    SELECT count(*) AS in_sample, count(category_correct) AS coded, count(CASE WHEN category_correct THEN 1 END) AS correct,
+        count(CASE WHEN is_securitising AND category_correct IS NOT NULL THEN 1 END) AS securitising FROM coded""",
 )
 def coding_check_totals(spark, sf):
     return sampling.coding_check(study_coded(spark, sf))["totals"]
@@ -381,10 +381,10 @@ def false_positive_terms(spark, sf):
 # --- agreement ---------------------------------------------------------------
 
 _CONFUSION = """, r AS (SELECT * FROM coded WHERE human_is_securitising IS NOT NULL),
-    c AS (SELECT count(*) AS n, count_if(is_securitising AND human_is_securitising) AS tp,
-        count_if(is_securitising AND NOT human_is_securitising) AS fp,
-        count_if(NOT is_securitising AND human_is_securitising) AS fn,
-        count_if(NOT is_securitising AND NOT human_is_securitising) AS tn FROM r)"""
+    c AS (SELECT count(*) AS n, count(CASE WHEN is_securitising AND human_is_securitising THEN 1 END) AS tp,
+        count(CASE WHEN is_securitising AND NOT human_is_securitising THEN 1 END) AS fp,
+        count(CASE WHEN NOT is_securitising AND human_is_securitising THEN 1 END) AS fn,
+        count(CASE WHEN NOT is_securitising AND NOT human_is_securitising THEN 1 END) AS tn FROM r)"""
 
 
 @query(
@@ -406,10 +406,10 @@ def agreement_binary(spark, sf):
 @query(
     "agreement_on_type",
     """-- uses: coded
-    SELECT count(*) AS n, count_if(category_correct = human_category_correct) AS category_agree,
-        count_if(is_securitising AND human_is_securitising) AS both_securitising,
-        count_if(is_securitising AND human_is_securitising
-            AND securitisation_type = human_securitisation_type) AS type_agree
+    SELECT count(*) AS n, count(CASE WHEN category_correct = human_category_correct THEN 1 END) AS category_agree,
+        count(CASE WHEN is_securitising AND human_is_securitising THEN 1 END) AS both_securitising,
+        count(CASE WHEN is_securitising AND human_is_securitising
+            AND securitisation_type = human_securitisation_type THEN 1 END) AS type_agree
     FROM coded WHERE human_is_securitising IS NOT NULL""",
 )
 def agreement_on_type(spark, sf):
@@ -420,7 +420,7 @@ def agreement_on_type(spark, sf):
     "confidence_calibration",
     """-- uses: coded
     SELECT confidence, count(*) AS n, round(100.0::DOUBLE
-        * count_if(is_securitising = human_is_securitising) / count(*), 1) AS pct_agreement
+        * count(CASE WHEN is_securitising = human_is_securitising THEN 1 END) / count(*), 1) AS pct_agreement
     FROM coded WHERE human_is_securitising IS NOT NULL AND confidence BETWEEN 1 AND 3 GROUP BY 1""",
 )
 def confidence_calibration(spark, sf):
@@ -546,11 +546,11 @@ def doc_meta_lookup(spark, sf):
     "results_by_juncture",
     """-- uses: merged
     SELECT juncture, count(*) AS n_moves, count(DISTINCT doc_id) AS n_docs,
-        round(100.0::DOUBLE * count_if(securitisation_type = 'material') / nullif(count(securitisation_type), 0), 1)
+        round(100.0::DOUBLE * count(CASE WHEN securitisation_type = 'material' THEN 1 END) / nullif(count(securitisation_type), 0), 1)
             AS pct_material,
-        round(100.0::DOUBLE * count_if(securitisation_type = 'ontological') / nullif(count(securitisation_type), 0), 1)
+        round(100.0::DOUBLE * count(CASE WHEN securitisation_type = 'ontological' THEN 1 END) / nullif(count(securitisation_type), 0), 1)
             AS pct_ontological,
-        round(100.0::DOUBLE * count_if(securitisation_type = 'both') / nullif(count(securitisation_type), 0), 1)
+        round(100.0::DOUBLE * count(CASE WHEN securitisation_type = 'both' THEN 1 END) / nullif(count(securitisation_type), 0), 1)
             AS pct_both,
         round(avg(confidence), 2) AS avg_confidence
     FROM merged WHERE is_securitising GROUP BY juncture""",
@@ -603,8 +603,8 @@ def _stage_counts(spark, sf):
 _FUNNEL = """, stage AS (SELECT source, scraped, CASE WHEN source <> 'DESS' THEN relevant END AS relevant
         FROM (SELECT CASE content_type WHEN 'speech' THEN 'Zelensky' WHEN 'rada_stenogram' THEN 'Rada'
             WHEN 'sbu_press_release' THEN 'SBU' WHEN 'dess_statement' THEN 'DESS' ELSE 'Other' END AS source,
-            count(*) AS scraped, count_if(length(body_text) > 1000) AS relevant FROM tcorpus GROUP BY 1)),
-    fun AS (SELECT s.source, s.scraped, count(f.doc_id) AS claims, count_if(f.is_securitising) AS sec_claims,
+            count(*) AS scraped, count(CASE WHEN length(body_text) > 1000 THEN 1 END) AS relevant FROM tcorpus GROUP BY 1)),
+    fun AS (SELECT s.source, s.scraped, count(f.doc_id) AS claims, count(CASE WHEN f.is_securitising THEN 1 END) AS sec_claims,
             count(DISTINCT f.doc_id) AS docs_coded,
             count(DISTINCT CASE WHEN f.is_securitising THEN f.doc_id END) AS sec_docs,
             coalesce(s.relevant, count(DISTINCT f.doc_id)) AS relevant

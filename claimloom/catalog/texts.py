@@ -457,7 +457,7 @@ def prepared_documents(spark, sf):
     "truncation_totals",
     f"""-- uses: tcorpus
     , {_SECTIONS}
-    SELECT count(*) AS n_docs, count_if(original_words > truncated_words) AS n_truncated,
+    SELECT count(*) AS n_docs, count(CASE WHEN original_words > truncated_words THEN 1 END) AS n_truncated,
         CAST(sum(original_words) AS BIGINT) AS original_words,
         CAST(sum(truncated_words) AS BIGINT) AS truncated_words,
         CAST(sum(tokens_est) AS BIGINT) AS tokens_est FROM prep""",

@@ -164,6 +164,64 @@ def parse_article(page: Column, profile: str = "office") -> Column:
     return parse(page)
 
 
+def parse_by_source(page: Column, source: Column) -> Column:
+    """As ``parse_article``, with the profile of each row's source."""
+
+    @F.pandas_udf("title string, date_text string, body_text string")
+    def parse(pages: pd.Series, sources: pd.Series) -> pd.DataFrame:
+        profiles = selectors.ARTICLE_PROFILES
+        return pd.DataFrame(
+            [
+                _article(p or "", profiles.get(s, profiles["generic"]))
+                for p, s in zip(pages, sources)
+            ],
+            columns=["title", "date_text", "body_text"],
+        )
+
+    return parse(page, source)
+
+
+def record_text(page: Column) -> Column:
+    """Text of a session record: its first known container, else the page."""
+
+    def text(page_text: str) -> str:
+        root = _Tree(page_text).root
+        return _text(_first(root, selectors.SESSION_RECORD) or root, "\n")
+
+    @F.pandas_udf("string")
+    def parse(pages: pd.Series) -> pd.Series:
+        return pd.Series([text(p or "") for p in pages], dtype="object")
+
+    return parse(page)
+
+
+def statement_body(page: Column) -> Column:
+    """Body of a statement page: the paragraphs of the first container with some
+    text, else that text, else all paragraphs of the page."""
+
+    def paragraphs(node: _Node, longer_than: int) -> str:
+        texts = ("".join(p.strings()).strip() for p in _select(node, "p"))
+        return "\n\n".join(t for t in texts if len(t) > longer_than)
+
+    def body(page_text: str) -> str:
+        root = _Tree(page_text).root
+        found = ""
+        for selector in selectors.STATEMENT_BODY:
+            node = _first(root, [selector])
+            whole = "" if node is None else "".join(node.strings()).strip()
+            if len(whole) > 100:
+                joined = paragraphs(node, 10)
+                found = joined if len(joined) > 80 else whole
+                break
+        return found if len(found) >= 80 else paragraphs(root, 15)
+
+    @F.pandas_udf("string")
+    def parse(pages: pd.Series) -> pd.Series:
+        return pd.Series([body(p or "") for p in pages], dtype="object")
+
+    return parse(page)
+
+
 def parse_session(page: Column, min_chars: int = 500) -> Column:
     """``struct(title, body_text)`` of a session record: the first body element
     with more than ``min_chars`` characters, else the whole page."""

@@ -331,7 +331,7 @@ def prepared_for_coding(
         rows, {"cleaned": T.clean_body(F.col("body_text"), line_patterns)}
     ).drop("body_text")
     relevant = cleaned.where(F.length("cleaned") >= 100).where(
-        F.col("source").isin(*curated) | T.is_relevant(F.col("cleaned"), F.col("title"), stems)
+        labels.normalised_source(F.col("source")).isin(*curated) | T.is_relevant(F.col("cleaned"), F.col("title"), stems)
     )
     shortened = with_computed(
         relevant, {"body": T.relevant_sections(F.col("cleaned"), stems, max_words)}

@@ -87,12 +87,12 @@ def surface_claims(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         raise ValueError("surface_claims needs a surface lexicon")
     # Per sentence, once: its words, each word with the gap after it, and the
     # length of what stands before the first word.
-    unit = F.lit(f"({T.WORD})[^\\p{{L}}\\p{{N}}_]*")
+    other = r"[^\p{L}\p{N}_]*"
     sents = sentence_rows(_with_missing(docs)).withColumns(
         {
-            "_tokens": F.regexp_extract_all("sentence", unit, F.lit(1)),
-            "_units": F.regexp_extract_all("sentence", unit, F.lit(0)),
-            "_lead": F.length(F.regexp_extract("sentence", r"^[^\p{L}\p{N}_]*", 0)),
+            "_tokens": F.regexp_extract_all("sentence", F.lit(T.WORD), F.lit(0)),
+            "_units": F.regexp_extract_all("sentence", F.lit(T.WORD + other), F.lit(0)),
+            "_lead": F.length(F.regexp_extract("sentence", "^" + other, 0)),
         }
     )
     hits = _probe(sents, lexicon)

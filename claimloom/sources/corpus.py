@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.functions.labels import normalised_source
+
 CORPUS_SCHEMA = (
     "id string, url string, title string, date string, content_type string, source string, "
     "body_text string, word_count int, scraped_at string, updated_at string, speaker string, "
@@ -124,7 +126,7 @@ def link_lines(lines: DataFrame) -> DataFrame:
     return raw.select(
         F.btrim(F.regexp_replace(url, '"', "")).alias("url"),
         F.regexp_replace(F.btrim(F.regexp_replace(title, '"', "")), stamp, "").alias("title"),
-        source.alias("source"),
+        normalised_source(source).alias("source"),
     ).where(F.col("url").rlike("^https?://"))
 
 

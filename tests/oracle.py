@@ -13,6 +13,15 @@ TABLES = (
 ).split()
 
 
+SAME_TYPE = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "BOOLEAN": "boolean",
+}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -39,6 +48,10 @@ def difference(spark, con, sf_dir, name, run, sql) -> str | None:
     frame = run(spark, sf_dir)
     columns = sorted(frame.columns)
     mine = _sorted([tuple(_plain(r[c]) for c in columns) for r in frame.collect()])
+    types = {f.name: f.dataType.simpleString() for f in frame.schema}
+    described = {r[0]: SAME_TYPE.get(r[1], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if types != described:
+        return f"{name}: types {types} against {described}"
     answer = con.execute(sql)
     names = [d[0] for d in answer.description]
     if sorted(names) != columns:

@@ -187,6 +187,32 @@ def test_listing_and_sessions(spark):
     assert parts["paragraphs"][0] == "Перший «абзац» тексту."
 
 
+def test_records_statements_and_pagers(spark):
+    statement = "<article><p>Довгий абзац про важливу подію у громаді.</p><p>мало</p><p>Другий достатньо довгий абзац про те саме у місті.</p></article>"
+    found = page(spark, statement, html.statement_body(F.col("html")))
+    assert found == "Довгий абзац про важливу подію у громаді.\n\nДругий достатньо довгий абзац про те саме у місті."
+    assert page(spark, "<p>Лише один абзац тут.</p>", html.statement_body(F.col("html"))) == "Лише один абзац тут."
+    record = "<div>меню</div><div id='stenograma'>Слово <b>має</b></div>"
+    assert page(spark, record, html.record_text(F.col("html"))) == "Слово\nмає"
+    assert page(spark, "<div>лише це</div>", html.record_text(F.col("html"))) == "лише це"
+    pager = "<ul class='pages'><li><a href='/1'>1</a></li><li class='active'><a href='/2'>2</a></li><li><a href='/3'>3</a></li></ul>"
+    assert page(spark, pager, html.next_page(F.col("html"), "https://b")) == "https://b/3"
+    assert page(spark, "<div class='pagination'><li class='next'><a href='/n'>n</a></li></div>", html.next_page(F.col("html"), "https://b")) == "https://b/n"
+    assert page(spark, "<p>x</p>", html.next_page(F.col("html"), "https://b")) is None
+    index = "<li><a href='/zasid/1'>Засідання перше</a> 5 травня 2019</li><li><a href='/zasid/1'>Засідання перше</a></li>"
+    items = page(spark, index, html.linked_items(F.col("html"), "https://r", "zasid"))
+    assert len(items) == 1 and items[0]["around"].endswith("5 травня 2019")
+
+
+def test_lemmas_and_work_lists(spark):
+    words = spark.createDataFrame([("Церкви",), ("Інше",)], "word string")
+    dictionary = spark.createDataFrame([("церкви", "церква")], "form string, lemma string")
+    assert {r["lemma"] for r in tables.lemmatised(words, dictionary).collect()} == {"церква", "інше"}
+    work = ingest.session_work_list(spark, 6700, 6702)
+    held = work.limit(1).select(labels.doc_id(F.col("url")).alias("id"))
+    assert ingest.not_yet_held(work, held).count() == 2
+
+
 def test_coded_sheets_and_forms(spark, tmp_path):
     sheet = tmp_path / "coded.csv"
     write(sheet, 'claim_id,sentence,confidence,note\n1,"Рядок з ""лапками""\nі новим рядком",2,NA\n2,,NA,x\n')
