@@ -16,7 +16,7 @@ from claimloom.functions.compose import choose, with_computed
 from claimloom.functions.inflect import same
 from claimloom.operators import matching, reports
 from claimloom.operators.lexicon import lemma_lexicon, surface_lexicon
-from claimloom.plans.layout import spread
+from claimloom.plans.layout import spread, written
 from claimloom.settings import fixed
 from claimloom.settings.lexicons import DESCRIPTIONS, Dimension
 
@@ -109,13 +109,25 @@ def study_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.surface_claims(study_corpus(spark, sf_dir), study_lexicon())
 
 
+def stored_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims kept as a table, for queries that use them more than once."""
+    return written(study_claims(spark, sf_dir))
+
+
+def stored_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.prepared_claims(stored_claims(spark, sf_dir))
+
+
 def study_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.prepared_claims(study_claims(spark, sf_dir))
 
 
-def study_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def study_results(
+    spark: SparkSession, sf_dir: str, found: DataFrame | None = None
+) -> DataFrame:
     docs = study_corpus(spark, sf_dir)
-    found = matching.surface_claims(docs, study_lexicon())
+    if found is None:
+        found = matching.surface_claims(docs, study_lexicon())
     return matching.document_results(docs, found, study_lexicon())
 
 
@@ -127,11 +139,15 @@ def claim_key() -> Column:
     )
 
 
-def study_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def study_coded(
+    spark: SparkSession, sf_dir: str, prepared: DataFrame | None = None
+) -> DataFrame:
     """Claims with codes of two coders, derived from lengths and offsets."""
+    if prepared is None:
+        prepared = study_prepared(spark, sf_dir)
     size, start = F.col("_size"), F.col("_start")
     measured = with_computed(
-        study_prepared(spark, sf_dir),
+        prepared,
         {"_size": F.length("sentence"), "_start": F.col("match_start")},
     )
     return measured.withColumns(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from claimloom.catalog.base import (
     query,
     sql_juncture,
+    stored_claims,
+    stored_prepared,
     study_claims,
     study_corpus,
     study_lemma_lexicon,
@@ -16,7 +18,6 @@ from claimloom.catalog.base import (
 )
 from claimloom.functions import text as T
 from claimloom.operators import matching, reports, sampling
-from claimloom.operators.ingest import prepared_for_coding  # noqa: F401  (re-export for notebooks)
 from claimloom.plans.layout import number_rows
 from claimloom.settings import fixed
 from claimloom.sources.corpus import find_document, list_documents
@@ -219,7 +220,8 @@ def top_terms(spark, sf):
     FROM results""",
 )
 def summary_overview(spark, sf):
-    return reports.overview(study_results(spark, sf), study_claims(spark, sf))
+    found = stored_claims(spark, sf)
+    return reports.overview(study_results(spark, sf, found), found)
 
 
 _YEARLY = """-- uses: results
@@ -334,7 +336,7 @@ def intensity_scores(spark, sf):
 )
 def scores_on_claims(spark, sf):
     return reports.scored_claims(
-        study_prepared(spark, sf).select(
+        stored_prepared(spark, sf).select(
             "doc_id", "category", "sentence_index", "match_start", "year", "juncture"
         )
     )
@@ -452,7 +454,7 @@ def material_vs_ontological(spark, sf):
 )
 def document_summary(spark, sf):
     """First claim and score per document."""
-    prepared = study_prepared(spark, sf)
+    prepared = stored_prepared(spark, sf)
     order = [F.asc(c) for c in matching.CLAIM_ORDER[1:]]
     narrow = prepared.select(
         *matching.CLAIM_ORDER, "doc_title", "doc_date", "doc_url", "year", "juncture",

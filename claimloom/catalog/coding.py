@@ -12,6 +12,8 @@ from claimloom.catalog.base import (
     study_prepared,
     study_results,
     study_claims,
+    stored_claims,
+    stored_prepared,
     claim_key,
     table,
 )
@@ -71,7 +73,7 @@ def first_claims(spark, sf):
     SELECT {_SHEET}, {_EMPTY} FROM (SELECT * FROM drawn UNION ALL SELECT * FROM topped)""",
 )
 def stratified_sample(spark, sf):
-    claims = study_prepared(spark, sf).withColumn("claim_id", claim_key())
+    claims = stored_prepared(spark, sf).withColumn("claim_id", claim_key())
     return sampling.coding_sample(claims, 15, 4, 42)
 
 
@@ -165,14 +167,15 @@ def validation_join(spark, sf):
     WHERE doc_id IN (SELECT id FROM results WHERE is_relevant)""",
 )
 def relevant_semi(spark, sf):
-    return coding.relevant_claims(study_claims(spark, sf), study_results(spark, sf)).select(
+    found = stored_claims(spark, sf)
+    return coding.relevant_claims(found, study_results(spark, sf, found)).select(
         "doc_id", "category", "sentence_index", "match_start"
     )
 
 
-def _half_coded(spark, sf):
+def _half_coded(spark, sf, prepared):
     """Codes stored by an earlier run for a part of the claims."""
-    coded = study_coded(spark, sf)
+    coded = study_coded(spark, sf, prepared)
     return coded.where(F.col("is_securitising").isNotNull()).select(
         "claim_id", "is_securitising", "category_correct", "securitisation_type", "confidence",
         F.concat(F.lit("raw "), "claim_id").alias("raw_response"),
@@ -185,8 +188,11 @@ def _half_coded(spark, sf):
     SELECT claim_id, category, sentence FROM coded WHERE is_securitising IS NULL""",
 )
 def uncoded_anti(spark, sf):
-    claims = study_prepared(spark, sf).withColumn("claim_id", claim_key())
-    return coding.uncoded(claims, _half_coded(spark, sf)).select("claim_id", "category", "sentence")
+    prepared = stored_prepared(spark, sf)
+    claims = prepared.withColumn("claim_id", claim_key())
+    return coding.uncoded(claims, _half_coded(spark, sf, prepared)).select(
+        "claim_id", "category", "sentence"
+    )
 
 
 @query(
@@ -197,10 +203,11 @@ def uncoded_anti(spark, sf):
         CASE WHEN is_securitising IS NOT NULL THEN confidence END AS confidence FROM coded""",
 )
 def merged_codes(spark, sf):
-    claims = study_prepared(spark, sf).withColumn("claim_id", claim_key()).select(
+    prepared = stored_prepared(spark, sf)
+    claims = prepared.withColumn("claim_id", claim_key()).select(
         "claim_id", "category", "matched_term", "sentence"
     )
-    return coding.merge_codes(claims, _half_coded(spark, sf))
+    return coding.merge_codes(claims, _half_coded(spark, sf, prepared))
 
 
 @query(
@@ -693,5 +700,5 @@ def by_year_and_source(spark, sf):
     FROM prepared p JOIN scores s ON p.doc_id = s.doc_id""",
 )
 def scored_export(spark, sf):
-    prepared = study_prepared(spark, sf).withColumn("claim_id", claim_key())
+    prepared = stored_prepared(spark, sf).withColumn("claim_id", claim_key())
     return reports.scored_claims(prepared).select(*reports.EXPORT_COLUMNS)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
-from claimloom.plans.layout import cut_lineage
+from claimloom.plans.layout import cut_lineage, written
 from claimloom.settings import fixed
 
 
@@ -86,8 +86,9 @@ def assign_batches(
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = list(dict.fromkeys(["id", *order, size]))
+    # Finding the ranges reads the rows an extra time; sizes are costly to compute.
     ranged = (
-        docs.select(*names)
+        written(docs.select(*names))
         .repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_range", F.spark_partition_id())

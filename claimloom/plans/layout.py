@@ -77,14 +77,16 @@ def number_rows(
     """Number the rows 1..N in the given order without a single-task sort.
 
     Rows are range-partitioned and sorted; each partition's row count gives the
-    next partition's offset.  The rows are written out with their place first, so
-    a lost executor cannot change it between counting and numbering, and reports
-    on the numbered rows read them from that table.
+    next partition's offset.  The rows are written out before ranging, because
+    finding the ranges reads them an extra time, and again with their place, so
+    that a lost executor cannot change it between counting and numbering.
+    Reports on the numbered rows read the columns they need from that table.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
-        df.repartitionByRange(n, *order)
+        written(df)
+        .repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
     )
