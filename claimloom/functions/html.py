@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -82,17 +81,22 @@ class _Tree(HTMLParser):
         self._open.parts.append(data)
 
 
-@lru_cache(maxsize=256)
+_PARSED: dict[str, tuple] = {}
+
+
 def _steps(selector: str) -> tuple:
-    steps = []
-    for step in re.findall(r"[^\s\[]*(?:\[[^\]]*\])?", selector):
-        if step:
-            tag = re.match(r"[a-z0-9]*", step).group()
-            ident = re.findall(r"#([\w-]+)", step)
-            classes = re.findall(r"\.([\w-]+)", step.split("[")[0])
-            attrs = re.findall(r"\[([\w:-]+)(?:(\*?=)['\"]?([^'\"\]]*)['\"]?)?\]", step)
-            steps.append((tag, ident, classes, attrs))
-    return tuple(steps)
+    """Steps of a selector from outside in: tag, id, classes, attribute tests."""
+    if selector not in _PARSED:
+        steps = []
+        for step in re.findall(r"[^\s\[]*(?:\[[^\]]*\])?", selector):
+            if step:
+                tag = re.match(r"[a-z0-9]*", step).group()
+                ident = re.findall(r"#([\w-]+)", step)
+                classes = re.findall(r"\.([\w-]+)", step.split("[")[0])
+                attrs = re.findall(r"\[([\w:-]+)(?:(\*?=)['\"]?([^'\"\]]*)['\"]?)?\]", step)
+                steps.append((tag, ident, classes, attrs))
+        _PARSED[selector] = tuple(steps)
+    return _PARSED[selector]
 
 
 def _fits(node: _Node, step: tuple) -> bool:

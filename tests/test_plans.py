@@ -111,3 +111,28 @@ def test_checkpoint_folder_is_the_named_one(spark):
     frame = layout.cut_lineage(spark.range(3))
     assert frame.count() == 3
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_functions_reach_workers_that_lack_the_package(sf, tmp_path):
+    """Workers find neither the package on their path nor in their folder."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "import __spark_entry__ as e\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "q = e.queries()\n"
+        "for n in ('html_articles_by_source', 'session_pages', 'next_pages', 'batch_pack'):\n"
+        f"    print(n, q[n](s, {sf!r}).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "batch_pack 200" in done.stdout
