@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.labels import normalised_source
+from claimloom.settings.fixed import SOURCES
 
 CORPUS_SCHEMA = (
     "id string, url string, title string, date string, content_type string, source string, "
@@ -130,6 +131,13 @@ def link_lines(lines: DataFrame) -> DataFrame:
     ).where(F.col("url").rlike("^https?://"))
 
 
+def source_catalogue(spark: SparkSession) -> DataFrame:
+    """The collections a corpus is made of."""
+    return spark.createDataFrame(
+        list(SOURCES), "key string, label string, path string, type string, source string"
+    )
+
+
 def find_document(corpus: DataFrame, doc_id: str) -> DataFrame:
     return corpus.where(F.col("id") == doc_id)
 
