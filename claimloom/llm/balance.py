@@ -69,7 +69,6 @@ def tilts(scratch: Scratch, counted: DataFrame, wanted: DataFrame, most: float)
         middle = F.when(F.abs(low + high) < 1e5, (low + high) / 2).otherwise(F.col("tilt") * 2 + F.signum(low + high))
         joined = state.join(sums, state["source"].eqNullSafe(sums["at"]), "left")
         old = F.col("done") | near
-        before = state
         state = scratch.store(
             joined.select(
                 "source", "target", "mean",
@@ -79,7 +78,6 @@ def tilts(scratch: Scratch, counted: DataFrame, wanted: DataFrame, most: float)
                 (old | (high - low < 1e-12)).alias("done"),
             )
         )
-        scratch.drop(before)
         if not state.where("not done").limit(1).count():
             break
     return state.select("source", "tilt", "mean")
@@ -113,6 +111,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     solved = tilts(scratch, counted, wanted, most)
     facts = wanted.alias("w").join(solved.alias("t"), F.col("w.source").eqNullSafe(F.col("t.source")), "left")
     facts = scratch.store(facts.select(F.col("w.source").alias("_source"), "source_size", "target", "docs", "tilt", "mean"))
+    scratch.keep(docs, facts)
     x = F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, 0.0).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))))
     # A tilt at the upper limit ends just below it; the difference is no fraction of a document.

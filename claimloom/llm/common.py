@@ -45,20 +45,29 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def store(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.folder}/{self.count}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((made, path))
+        return made
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete stored tables that nothing reads any more."""
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all stored tables but these, and let Spark forget what made them.
+
+        The caller reads only these from now on.
+        """
         jvm = self.spark.sparkContext._jvm
-        for df in tables:
-            for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for made, path in self.tables:
+            if not any(made is t for t in tables):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+        self.tables = [(made, path) for made, path in self.tables if any(made is t for t in tables)]
+        self.release()
 
     def release(self) -> None:
         """Let Spark remove the shuffle files of plans that are no longer referenced."""

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.common import Rolling, Scratch, components, mixed, pieces, utf8
 
-PERMUTATIONS = 108
-ROWS = 6  # of a band; 2 * 108 / 6 = 36 bands find a pair at 0.8 but for 2 in 100,000
+PERMUTATIONS = 216
+ROWS = 8  # of a band; 2 * 216 / 8 = 54 bands find a pair at 0.8 but for 5 in 100,000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -81,8 +81,10 @@ def _signer(words: int, permutations: int, rows: int):
             size = np.zeros(batch.num_rows, np.int64)
             low, high = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             bands: list = [None] * batch.num_rows
+            bits: list = [None] * batch.num_rows
             if len(some):
                 signs = _extremes(values, where[some], a, b)
+                sketch = np.ascontiguousarray((mixed(signs) >> np.uint64(56)).astype(np.uint8))
                 signs = mixed((signs.reshape(len(some), -1, rows) * weights).sum(axis=2, dtype=np.uint64))
                 for k, i in enumerate(some):
                     own = np.unique(values[where[i] : where[i + 1]])
@@ -90,15 +92,25 @@ def _signer(words: int, permutations: int, rows: int):
                     low[i] = int(own.sum(dtype=np.uint64)) - 2**63
                     high[i] = int(mixed(own ^ weights[0]).sum(dtype=np.uint64)) - 2**63
                     bands[i] = signs[k].view(np.int64)
+                    bits[i] = np.resize(sketch[k], -(-len(sketch[k]) // 8) * 8).view(np.int64)
             kept = pa.array(low, mask=size == 0), pa.array(high, mask=size == 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), *kept, pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "low", "high", "bands"],
+                [batch.column("doc_id"), pa.array(size), *kept, pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "low", "high", "bands", "bits"],
             )
 
     return sign
 
 
+def _most_apart(values: int, similarity: float) -> int:
+    """Bits in which sketches of a pair at this similarity differ, but for one pair in 75,000.
+
+    Unequal values, 1 - similarity of all, differ in half of their eight bits.
+    """
+    unequal = values * (1 - similarity)
+    return int(4 * unequal + 4.2 * (16 * unequal * similarity + 2 * unequal) ** 0.5)
+
+
 def _checker(words: int, percent: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -127,9 +139,10 @@ def near_duplicates(
     component_id (smallest doc_id reachable over links), kept.
 
     Equal sets are one class, so copies are never paired.  A class meets the
-    smallest class of each of its buckets first; what the links found so far
-    leave in different components of one bucket is then compared in full, so no
-    candidate is given up.  Links are confirmed on the whole sets.
+    best connected class of each of its buckets first; what the links found so far
+    leave in different components of one bucket is then paired where the sketches
+    (eight bits of every extreme) are as close as a link's.  Links are confirmed on
+    the whole sets.
 
     Null or empty text: size 0, its own component.  Null id: never linked, its
     component is null.  Rows that repeat an id count as one document.  An empty
@@ -140,41 +153,48 @@ def near_duplicates(
     signed = scratch.store(
         docs.mapInArrow(
             _signer(words, permutations, rows),
-            "doc_id long, n_shingles long, low long, high long, bands array<long>",
+            "doc_id long, n_shingles long, low long, high long, bands array<long>, bits array<long>",
         )
     )
     classes = (
         signed.where("n_shingles > 0 and doc_id is not null")
         .groupBy("low", "high", "n_shingles")
-        .agg(F.min("doc_id").alias("a"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("a"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     )
+    classes = scratch.store(classes)
     members = classes.select("a", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
     members = scratch.store(members)
-    first = scratch.store(
-        members.groupBy("band", "value")
-        .agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("a", "n")).alias("least"))
-        .where("rows > 1")
-        .select("band", "value", F.col("least.a").alias("b"), F.col("least.n").alias("m"))
-    )
+    sizes = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = scratch.store(members.join(scratch.store(sizes), ["band", "value"]))
+    # The class that meets most others in all its buckets stands for each of them.
+    weights = scratch.store(shared.groupBy("a").agg(F.sum("rows").alias("weight")))
+    shared = scratch.store(shared.join(weights, "a").select("band", "value", "a", "n", "weight"))
+    hubs = shared.groupBy("band", "value").agg(F.max(F.struct("weight", -F.col("a"), "n")).alias("hub"))
+    hubs = scratch.store(hubs.select("band", "value", (-F.col("hub.col2")).alias("b"), F.col("hub.n").alias("m")))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    met = members.join(first, ["band", "value"])
-    shared = scratch.store(met.select("band", "value", "a", "n"))
+    met = shared.join(hubs, ["band", "value"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "n", "m")
     pairs = scratch.store(met.where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct())
     texts = scratch.store(docs.join(shared.select(F.col("a").alias("doc_id")).distinct(), "doc_id"))
     links = scratch.store(_confirmed(pairs, texts, words, percent))
+    scratch.keep(signed, classes, shared, pairs, texts, links)
     roots = components(scratch, links)
-    scratch.release()
     placed = scratch.store(
-        shared.join(roots.withColumnRenamed("id", "a"), "a", "left")
+        shared.drop("weight").join(roots.withColumnRenamed("id", "a"), "a", "left")
         .withColumn("root", F.coalesce("root", "a"))
     )
     torn = placed.groupBy("band", "value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     torn = scratch.store(torn.select("band", "value"))
-    rest = scratch.store(placed.join(torn, ["band", "value"]))
-    other = rest.select("band", "value", F.col("a").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
+    sketches = classes.select("a", "bits", "bands")
+    rest = scratch.store(placed.join(torn, ["band", "value"]).join(sketches, "a"))
+    other = rest.select("band", "value", F.col("a").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"), F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"))
+    words_ = -(-2 * permutations // 8)
+    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, words_)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_b")[0])))
+    near = apart <= _most_apart(words_ * 8, percent / 100)
+    # A pair is made in the first band it shares.
+    first = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
     crossing = (
         rest.join(other, ["band", "value"])
-        .where((F.col("root") < F.col("r")) & fits)
+        .where((F.col("root") < F.col("r")) & fits & near & first)
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
@@ -182,13 +202,13 @@ def near_duplicates(
     more = scratch.store(_confirmed(scratch.store(crossing), texts, words, percent))
     links = links.union(more)
     roots = components(scratch, links)
-    scratch.release()
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("a"))
     # Rows of one id with different texts are one document: its classes are linked.
     classes = classes.join(roots.withColumnRenamed("id", "a"), "a", "left").select(
         "low", "high", "n_shingles", F.coalesce("root", "a").alias("component_id")
     )
     classes = scratch.store(classes)
+    scratch.keep(signed, classes)
     out = signed.select("doc_id", "n_shingles", "low", "high").join(classes, ["low", "high", "n_shingles"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import balance, language, minmax_dedup, packing, suffix_dedup
+from claimloom.llm import balance, language, lattice_dedup, licenses, minmax_dedup, packing, routed_search, suffix_dedup, template, toxicity
 from claimloom.llm.common import held, table
 
 
@@ -15,6 +15,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op5_routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routed_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -36,11 +44,54 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_packing, op4_language, op6_minmax_dedup, op7_mixing)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held("doc_id", 5, 0)))
+    held_out = F.coalesce(held("doc_id", 5, 0), F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_lattice_dedup,
+        op3_packing,
+        op4_language,
+        op5_routed_search,
+        op6_minmax_dedup,
+        op7_mixing,
+        op8_toxicity,
+        op9_page_text,
+        op10_licenses,
+    )
+}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLES = {
+    "op2_lattice_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+g AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.9),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT k.a AS vec_id, coalesce(n.n_links, 0) AS n_links, k.component_id, k.a = k.component_id AS kept
+FROM (SELECT a, min(b) AS component_id FROM r GROUP BY a) k LEFT JOIN n ON n.vec_id = k.a
+""",
     "op6_minmax_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 s AS (

@@ -266,9 +266,10 @@ def remove_repeats(
     docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     stretches = scratch.store(docs.mapInArrow(_find(length), _STRETCH))
     shared = _shared(scratch, stretches, ["gram"])
-    scratch.release()
+    scratch.keep(shared)
     place = F.struct("doc_id", "row", "start")
-    marked = _marked(scratch, shared, ["gram", "whole"], place, keep_first)
+    marked = scratch.store(_marked(scratch, shared, ["gram", "whole"], place, keep_first))
+    scratch.keep(marked)
     spans = [marked.where("repeat").select("doc_id", "row", F.col("start").alias("first"), (F.col("start") + F.col("size") - 1 + length).alias("last"))]
     wanted = (
         marked.where("open")
@@ -279,11 +280,12 @@ def remove_repeats(
     parts = docs.join(wanted, same(docs, wanted)).select(docs["doc_id"], docs["row"], "text", "wanted")
     schema = f"{_ID}, start long, size int, at int, gram long, pad int, text binary"
     parts = scratch.store(parts.mapInArrow(_cut_out(length), schema))
-    scratch.release()
+    scratch.keep(marked, parts)
     cells = scratch.store(parts.mapInArrow(_cells(length), _CELL))
     cells = _shared(scratch, cells, ["gram", "cell", "core"])
     place = F.struct("doc_id", "row", "first")
     cells = scratch.store(_marked(scratch, cells, ["gram", "cell", "whole"], place, keep_first))
+    scratch.keep(marked, parts, cells)
     spans.append(cells.where("repeat").select("doc_id", "row", "first", (F.col("first") + F.col("size") - 1 + length).alias("last")))
     rest = cells.where("open").select("doc_id", "row", "start", "first", F.col("size"))
     source = parts.select("doc_id", "row", "start", "gram", "pad", "text")
@@ -297,7 +299,7 @@ def remove_repeats(
     every = spans[0].union(spans[1]).union(spans[2])
     every = every.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     every = scratch.store(every)
-    scratch.release()
+    scratch.keep(every)
     whole = docs.join(every, same(docs, every), "left").select(docs["doc_id"], docs["row"], "text", "spans")
     schema = f"{_ID}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return whole.mapInArrow(_remover(whole_characters, with_text), schema)
