@@ -58,7 +58,9 @@ def tilts(scratch: Scratch, counted: DataFrame, wanted: DataFrame, most: float)
         words = F.col("docs") * F.col("size") * rate
         met = counted.alias("c").join(state.where("not done").alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
         sums = met.groupBy(F.col("s.source").alias("at")).agg(
-            F.sum(words).alias("words"), F.sum(F.when(rate < most, words * x).otherwise(0.0)).alias("slope")
+            # Decimal sums do not depend on the order of rows.
+            F.sum(words.cast("decimal(28,6)")).cast("double").alias("words"),
+            F.sum(F.when(rate < most, words * x).otherwise(0.0).cast("decimal(28,6)")).cast("double").alias("slope"),
         )
         off = F.col("words") - F.col("target")
         near = F.coalesce(F.abs(off) <= F.col("target") * _NEAR + 1e-6, F.lit(True))
@@ -129,9 +131,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """Documents repeated as often as the mix takes them, all columns as they came."""
-    marks = mix(docs, **settings).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "copies")
-    marks = marks.groupBy("_id", "_row").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    row = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    both = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (row == F.col("_row")))
-    each = F.greatest(F.round(F.col("_sum") / F.col("_n")), F.lit(1)).cast("int")  # repeated rows share their copies
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    marks = mix(docs, **settings).where("copies > 0").groupBy("doc_id", "row").agg(F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("rows"))
+    row = F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
+    both = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(marks["doc_id"]) & (row == marks["row"]))
+    each = (marks["sum"] / marks["rows"]).cast("int")  # rows that repeat share their copies evenly
+    times = F.sequence(F.lit(1), F.greatest(each, F.lit(1)))
+    return both.select(*[docs[c] for c in docs.columns], F.explode(times).alias("__copy")).drop("__copy")

@@ -83,24 +83,30 @@ def _find(length: int):
         for batch in pieces(batches, "text", _STEP):
             data, at = utf8(batch.column("text"))
             if len(data) <= _STEP + _STEP // 2:
-                parts = [(0, batch.num_rows, 0, data)]
-            else:  # a very long text goes in steps that overlap by a window
+                parts = [(0, batch.num_rows, 0, data, 0, len(data))]
+            else:
+                # A very long text goes in steps that overlap by more than a stretch on
+                # both sides; a step gives the stretches that begin in it, each whole.
                 parts = [
-                    (i, i + 1, s, data[at[i] + s : min(at[i + 1], at[i] + s + _STEP + length - 1)])
+                    (i, i + 1, max(0, s - length), data[at[i] + max(0, s - length) : min(at[i + 1], at[i] + s + _STEP + 2 * length)], s, s + _STEP)
                     for i in range(batch.num_rows)
                     for s in range(0, max(1, int(at[i + 1] - at[i]) - length + 1), _STEP)
                 ]
-            for lo, hi, skip, part in parts:
-                found = _stretches(rolling, part, at[lo : hi + 1] - at[lo] if hi - lo > 1 or not skip and len(part) == at[hi] - at[lo] else np.array([0, len(part)]), length)
-                if found is None or not len(found[0]):
+            for lo, hi, skip, part, least, most in parts:
+                own_at = at[lo : hi + 1] - at[lo] if hi - lo > 1 else np.array([0, len(part)])
+                found = _stretches(rolling, part, own_at, length)
+                if found is None:
+                    continue
+                inside = (found[1] + skip >= least) & (found[1] + skip < most)
+                text, begin, size, place, own, whole = (x[inside] for x in found)
+                if not len(text):
                     continue
-                text, begin, size, place, own, whole = found
                 rows = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(rows),
                         batch.column("row").take(rows),
-                        pa.array(begin - (at[lo:hi] - at[lo])[text] + skip),
+                        pa.array(begin - own_at[:-1][text] + skip),
                         pa.array(size.astype(np.int32)),
                         pa.array(place.astype(np.int32)),
                         pa.array(own.view(np.int64)),
@@ -341,9 +347,12 @@ def without_repeats(docs: DataFrame, length: int, name: str = "text") -> DataFra
     All columns stay; `n_chars` follows the text where the table has it.
     """
     found = remove_repeats(docs, length=length).where("n_removed > 0")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("kept").cast("string").alias("_kept")).distinct()
-    row = F.xxhash64(F.coalesce(F.col(name).cast("binary"), F.lit(b"")))
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (row == F.col("_row")), "left")
-    text = F.coalesce("_kept", name)
-    columns = [text.alias(c) if c == name else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return both.where("_kept is null or _kept <> ''").select(*columns)
+    found = found.select("doc_id", "row", F.col("kept").cast("string").alias("kept")).distinct()
+    row = F.xxhash64(F.coalesce(docs[name].cast("binary"), F.lit(b"")))
+    both = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (row == found["row"]), "left")
+    text = F.coalesce(found["kept"], docs[name])
+    columns = [
+        text.alias(c) if c == name else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c]
+        for c in docs.columns
+    ]
+    return both.where(found["kept"].isNull() | (found["kept"] != "")).select(*columns)

@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import Scratch, pieces
 
 SAMPLE = 12_000  # labelled documents that fit the model, at most half of them toxic
-CHUNKS = 24_000  # token sequences that train the field
+CHUNKS = 16_000  # token sequences that train the field
 _LONG = 64  # tokens of a sequence: a line is cut there
 _BITS = 18
 _WORD = re.compile(r"\w+")
-_LINE = re.compile(r"[^\n]+")
 
 
 def features(word: str) -> list[int]:
@@ -33,13 +32,16 @@ def affixes(word: str) -> list[str]:
     return [f"={word}"] + [f"<{word[:k]}" for k in (4, 5) if len(word) > k]
 
 
-def sequences(text: str) -> list[list[tuple[str, int, int]]]:
-    """Words with their places, by line and by at most `_LONG` words."""
-    out = []
-    for line in _LINE.finditer(text):
-        words = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, line.start(), line.end())]
-        out += [words[k : k + _LONG] for k in range(0, len(words), _LONG)]
-    return [s for s in out if s]
+def lowered(text: str) -> str:
+    """Lower case with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
+def sequences(text: str) -> list[list[str]]:
+    """Lower-cased words by line and by at most `_LONG` words, in the order of the text."""
+    lines = (_WORD.findall(line) for line in lowered(text).split("\n"))
+    return [words[k : k + _LONG] for words in lines for k in range(0, len(words), _LONG)]
 
 
 def marginals(emit: np.ndarray, size: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def _padded(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(words: list[list[str]], tags: list[list[int]], rounds: int = 60, keep: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+def train(words: list[list[str]], tags: list[list[int]], rounds: int = 40, keep: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights of word features (the last is the bias) and steps, by gradient on the likelihood."""
     names = sorted({w for s in words for w in s})
     place = {w: i for i, w in enumerate(names)}
@@ -124,40 +126,66 @@ def train(words: list[list[str]], tags: list[list[int]], rounds: int = 60, keep:
     return weight, move
 
 
+def odds(emit: np.ndarray, size: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The marginals of `marginals`, by odds of the two states instead of logarithms.
+
+    `emit` is tokens x sequences; places beyond a sequence's size are meaningless.
+    """
+    step, push = np.exp(move), np.exp(np.clip(emit, -30, 30))
+    ahead, behind = np.empty_like(push), np.ones_like(push)
+    ahead[0] = push[0]
+    for t in range(1, len(push)):
+        before = ahead[t - 1]
+        ahead[t] = push[t] * (step[0, 1] + before * step[1, 1]) / (step[0, 0] + before * step[1, 0])
+    for t in range(len(push) - 2, -1, -1):
+        after = push[t + 1] * behind[t + 1]
+        inner = (step[1, 0] + step[1, 1] * after) / (step[0, 0] + step[0, 1] * after)
+        behind[t] = np.where(t + 1 < size, inner, 1.0)
+    both = ahead * behind
+    return both / (1 + both)
+
+
+class _Known(dict):
+    """Emission scores of words, made when a word is first met."""
+
+    def __init__(self, weight: np.ndarray):
+        self.weight = weight
+
+    def __missing__(self, word: str) -> float:
+        found = self[word] = float(self.weight[features(word)].sum() + self.weight[-1])
+        return found
+
+
 class Tagger:
     """Marginals of the tokens of whole texts; scores of met words are kept."""
 
     def __init__(self, weight: np.ndarray, move: np.ndarray):
-        self.weight, self.move, self.known = weight, move, {}
-
-    def emission(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[word] = float(self.weight[features(word)].sum() + self.weight[-1])
-        return found
-
-    def tag(self, texts: list[str | None]) -> list[tuple[np.ndarray, list[tuple[int, int]]]]:
-        """For each text, P(toxic) of its words and their places."""
-        own, split = [], []
-        for i, text in enumerate(texts):
-            for s in sequences(text or ""):
-                own.append(i)
-                split.append(s)
-        out = [([], []) for _ in texts]
-        size = np.array([len(s) for s in split], np.int64)
+        self.move, self.known = move, _Known(weight)
+
+    def tag(self, texts: list[str | None]) -> list[tuple[np.ndarray, list[tuple[int, int, float]]]]:
+        """For each text, P(toxic) of its words, and the likely ones with their places."""
+        if len(self.known) > 500_000:
+            self.known.clear()
+        split = [sequences(text or "") for text in texts]
+        size = np.array([len(s) for own in split for s in own], np.int64)
+        flat = np.fromiter(map(self.known.__getitem__, (w for own in split for s in own for w in s)), np.float64)
+        first = np.cumsum(size) - size
+        p = np.empty(len(flat))
         order = np.argsort(size, kind="stable")
-        found: list = [None] * len(split)
-        for part in np.array_split(order, max(1, len(order) // 2048)) if len(order) else []:
-            emit = np.array([self.emission(w) for k in part for w, _, _ in split[k]])
-            p, _, _ = marginals(_padded(emit, size[part]), size[part], self.move)
-            for row, k in zip(p, part, strict=True):
-                found[k] = row[: size[k]]
-        for k, i in enumerate(own):
-            out[i][0].append(found[k])
-            out[i][1].extend((a, b) for _, a, b in split[k])
-        return [(np.concatenate(p) if p else np.zeros(0), places) for p, places in out]
+        for part in np.array_split(order, max(1, len(order) // 1024)) if len(order) else []:
+            within = np.arange(int(size[part].max()))[:, None]
+            inside = within < size[part]
+            at = np.where(inside, first[part] + within, 0)
+            p[at[inside]] = odds(flat[at], size[part], self.move)[inside]
+        out, at = [], 0
+        for text, own in zip(texts, split, strict=True):
+            n = sum(map(len, own))
+            mine = p[at : at + n]
+            at += n
+            likely = np.flatnonzero(mine >= 0.5)
+            places = [m.span() for m in _WORD.finditer(lowered(text))] if len(likely) else []
+            out.append((mine, [(*places[k], float(mine[k])) for k in likely]))
+        return out
 
 
 def _signals(p: np.ndarray) -> tuple[float, float]:
@@ -246,8 +274,7 @@ def _labeller(seeds: set[str]):
         for batch in pieces(batches, "text"):
             words, tags, place = [], [], []
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for s in sequences(text or ""):
-                    own = [w for w, _, _ in s]
+                for own in sequences(text or ""):
                     words.append(own)
                     tags.append([int(bool(toxic) and any(a in seeds for a in affixes(w))) for w in own])
                     place.append(xxhash.xxh64_intdigest(" ".join(own)) >> 1)
@@ -270,7 +297,7 @@ def _tagged(docs: DataFrame, model: dict, *carried: str) -> DataFrame:
             found = tagger.tag(batch.column("text").to_pylist())
             signals = np.array([_signals(p) for p, _ in found]).reshape(-1, 2)
             score = np.zeros(len(found)) if scale is None else 1 / (1 + np.exp(-np.clip(signals @ scale[:2] + scale[2], -30, 30)))
-            spans = [[{"first": a, "last": b, "p": float(q)} for q, (a, b) in zip(p, places, strict=True) if q >= 0.5] for p, places in found]
+            spans = [[{"first": a, "last": b, "p": q} for a, b, q in places] for _, places in found]
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(batch.column(c) for c in carried), pa.array(score), pa.array(signals[:, 0]), pa.array(signals[:, 1]), pa.array(spans, kind)],
