@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimloom.settings import selectors
+from claimloom.settings import fixed, selectors
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = frozenset(("script", "style"))
@@ -244,12 +244,12 @@ def parse_session(page: Column, min_chars: int = 500) -> Column:
                 (
                     t
                     for t in titles
-                    if 3 < len(t) < 200 and not re.search("[Кк]алендар|[Гг]оловна", t)
+                    if 3 < len(t) < 200 and not re.search(fixed.SESSION_TITLE_EXCLUDED, t)
                 ),
                 "",
             )
             if not title:
-                found = re.search(r"Засідання[^\n]{0,100}", body)
+                found = re.search(fixed.SESSION_HEADING, body)
                 title = found.group().strip() if found else ""
             rows.append((title, body))
         return pd.DataFrame(rows, columns=["title", "body_text"])
@@ -257,6 +257,27 @@ def parse_session(page: Column, min_chars: int = 500) -> Column:
     return parse(page)
 
 
+def _classed(root: _Node, pattern: str, tag: str = "") -> _Node | None:
+    """First element below in page order that has a class with the pattern in it."""
+    for node in root.walk():
+        if node is not root and (not tag or node.tag == tag):
+            if any(re.search(pattern, c) for c in node.attrs.get("class", "").split()):
+                return node
+    return None
+
+
+def _following(root: _Node, node: _Node, tag: str) -> _Node | None:
+    """First element of the tag after this one; its own content is the page shown, not the next."""
+    own = {id(n) for n in node.walk()}
+    after = False
+    for other in root.walk():
+        if id(other) in own:
+            after = True
+        elif after and other.tag == tag:
+            return other
+    return None
+
+
 def listing_links(page: Column, base: str, fallback_marker: str = "/news/") -> Column:
     """Items of a listing page: ``array<struct(title, url, date_text)>``.
 
@@ -285,7 +306,7 @@ def listing_links(page: Column, base: str, fallback_marker: str = "/news/") -> C
             ]
         else:
             pairs = [
-                (_first(b, ["a[href]"]), _first(b, ["time", "[class*='date']", "[class*='time']"]))
+                (_first(b, ["a[href]"]), _first(b, ["time"]) or _classed(b, fixed.LISTING_DATE_CLASS))
                 for b in blocks
             ]
             links = [(n, _date_text(d)) for n, d in pairs if n is not None and len(_text(n, "")) >= 5]
@@ -332,24 +353,19 @@ def linked_items(page: Column, base: str, pattern: str, min_chars: int = 0) -> C
 
 
 def next_page(page: Column, base: str) -> Column:
-    """Address of the next listing page: a link marked as next, else the link
-    after the active one in the pager."""
+    """Address of the next listing page: a link marked as next, else the first link
+    beside the active entry of the pager, else the next link of the page."""
 
     def address(page_text: str) -> str | None:
         root = _Tree(page_text).root
-        link = _first(root, ["a[class*='next']", "li.next a"])
+        link = _classed(root, fixed.NEXT_LINK_CLASS, "a") or _first(root, ["li.next a"])
         if link is None:
-            pager = _first(root, ["[class*='pag']"])
-            current = None if pager is None else _first(pager, [".active", ".current"])
+            pager = _classed(root, fixed.PAGER_CLASS)
+            current = None if pager is None else _classed(pager, fixed.ACTIVE_PAGE_CLASS)
             if current is not None:
-                inside = list(current.walk())
-                after = False
-                for node in pager.walk():
-                    if node in inside:
-                        after = True
-                    elif after and node.tag == "a":
-                        link = node
-                        break
+                siblings = [p for p in current.parent.parts if isinstance(p, _Node)]
+                beside = siblings[siblings.index(current) + 1 :]
+                link = next((n for n in beside if n.tag == "a"), None) or _following(root, current, "a")
         href = "" if link is None else link.attrs.get("href", "")
         return None if not href else href if href.startswith("http") else base + href
 

@@ -55,12 +55,14 @@ def normalised_source(source: Column) -> Column:
 
 def is_statement_link(href: Column, base: str) -> Column:
     """Article links of the statement site, without its furniture."""
-    excluded = r"/category/|/page/|/tag/|/wp-content/|/wp-admin/|/feed/|#"
+    excluded = F.lit(False)
+    for part in fixed.STATEMENT_LINK_EXCLUDED:
+        excluded = excluded | href.contains(part)
     return (
         href.startswith(base + "/")
-        & ~href.rlike(excluded)
+        & ~excluded
         & ~href.isin(base + "/", base + "/news/")
-        & href.rlike(r"/[a-z0-9][\w-]+/?$")
+        & href.rlike(fixed.STATEMENT_LINK_ENDING)
     )
 
 
@@ -71,9 +73,9 @@ def statement_link(href: Column) -> Column:
 def is_archived_article(url: Column) -> Column:
     """Keep single articles of an archive index, drop its listing pages."""
     return (
-        ~url.rlike(r"/(speeches|all|decrees|statements)(/page/\d+)?$")
+        ~url.rlike(fixed.ARCHIVE_LISTING)
         & ~url.rlike(r"\?page=")
-        & (F.length(url) > len("https://www.president.gov.ua/news/x"))
+        & (F.length(url) > len(fixed.ARCHIVE_SHORTEST))
     )
 
 

@@ -48,9 +48,7 @@ def claim_prompt() -> Column:
         return F.when(F.coalesce(name, F.lit("")) == "", F.lit("(none)")).otherwise(F.col(name))
 
     return F.format_string(
-        "Code this claim:\n\nDocument: %s\nDate: %s\nCategory: %s\n"
-        'Matched term: %s (surface form: "%s")\n\n[Previous sentence]: %s\n'
-        ">>> [TARGET SENTENCE]: %s\n[Next sentence]: %s",
+        fixed.CLAIM_PROMPT,
         F.col("doc_title"),
         F.coalesce("doc_date", F.lit("unknown")),
         F.col("category"),

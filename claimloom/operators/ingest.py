@@ -88,6 +88,12 @@ def import_speeches(
     )
 
 
+def _given_order(new: DataFrame) -> Column:
+    """File, then place in it; rows that tie by a hash of the row, so row order never counts."""
+    places = [c for c in ("file_name", "seq") if c in new.columns] or ["url"]
+    return F.struct(*places, F.xxhash64(*new.columns).alias("tie"))
+
+
 def insert_if_absent(corpus: DataFrame, new: DataFrame) -> DataFrame:
     """Corpus plus the new rows whose id it does not hold yet."""
     return corpus.unionByName(absent(corpus, new), allowMissingColumns=True)
@@ -98,7 +104,7 @@ def absent(corpus: DataFrame, new: DataFrame) -> DataFrame:
 
     Only the id column of the corpus takes part.
     """
-    order = "seq" if "seq" in new.columns else "url"
+    order = _given_order(new)
     row = F.struct(*new.columns)
     first = new.groupBy("id").agg(F.min_by(row, order).alias("_row")).select("_row.*")
     return first.join(corpus.select("id"), "id", "left_anti").drop("seq")
@@ -106,13 +112,13 @@ def absent(corpus: DataFrame, new: DataFrame) -> DataFrame:
 
 def _latest(new: DataFrame) -> DataFrame:
     """One change per id: last body, last title that is not empty, last date."""
-    order = "seq" if "seq" in new.columns else "url"
+    order = _given_order(new)
     given = F.struct(*[c for c in new.columns if c not in ("title", "date")])
     titled = F.when(F.col("title") != "", F.col("title"))
     return new.groupBy("id").agg(
         F.max_by(given, order).alias("_row"),
-        F.max_by(titled, F.when(titled.isNotNull(), F.col(order))).alias("_title"),
-        F.max_by("date", F.when(F.col("date").isNotNull(), F.col(order))).alias("_date"),
+        F.max_by(titled, F.when(titled.isNotNull(), order)).alias("_title"),
+        F.max_by("date", F.when(F.col("date").isNotNull(), order)).alias("_date"),
     )
 
 

@@ -57,6 +57,34 @@ def _resolve(hits: DataFrame, lexicon: Lexicon, rest: Column) -> DataFrame:
     )
 
 
+_RUN = 256  # units whose lengths are summed ahead
+
+
+def _lengths_before(units: str, glue: str) -> Column:
+    """For every 256th unit of a sentence, the length of the text before it.
+
+    One pass over the sentence; hits then add up at most one run each, so offsets
+    stay linear in the length of the sentence.
+    """
+    runs = F.sequence(F.lit(0), F.floor((F.size(units) - 1) / _RUN).cast("int") - 1)
+    lengths = F.transform(
+        runs,
+        lambda k: F.length(F.array_join(F.slice(units, k * _RUN + 1, F.lit(_RUN)), glue)) + len(glue),
+    )
+    sums = F.aggregate(
+        lengths, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n))
+    )
+    return F.when(F.size(units) > _RUN, sums).otherwise(F.array(F.lit(0)))
+
+
+def _length_before(units: str, before: str, glue: str) -> Column:
+    """Length of the text before unit `_at`, the glue after each unit included."""
+    run = F.floor(F.col("_at") / _RUN).cast("int")
+    some = F.col("_at") - run * _RUN
+    text = F.array_join(F.slice(units, run * _RUN + 1, some), glue)
+    return F.get(before, run) + F.length(text) + F.when(some > 0, F.lit(len(glue))).otherwise(0)
+
+
 def _claim_fields(index_base: int) -> list[Column]:
     before = F.get("_sents", F.col("sentence_index") - 1)
     after = F.get("_sents", F.col("sentence_index") + 1)
@@ -95,6 +123,7 @@ def surface_claims(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             "_lead": F.length(F.regexp_extract("sentence", "^" + other, 0)),
         }
     )
+    sents = sents.withColumn("_before", _lengths_before("_units", ""))
     hits = _probe(sents, lexicon)
 
     def token(i: int) -> Column:
@@ -103,7 +132,7 @@ def surface_claims(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def gap(i: int) -> Column:
         """What stands between the word before and this one."""
         return F.substring(
-            F.get("_units", F.col("_at") + (i - 1)), F.length(token(i - 1)) + 1, F.lit(1 << 30)
+            F.get("_units", F.col("_at") + (i - 1)), F.length(token(i - 1)) + 1, F.length(F.get("_units", F.col("_at") + (i - 1)))
         )
 
     # Words after the anchor, with any white space between them as one blank.
@@ -115,9 +144,7 @@ def surface_claims(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         tail = F.when(F.col("n") > i, F.concat(tail, gap(i), token(i))).otherwise(tail)
 
     matched = _resolve(hits, lexicon, rest)
-    start = F.col("_lead") + F.length(
-        F.array_join(F.slice("_units", F.lit(1), F.col("_at")), "")
-    )
+    start = F.col("_lead") + _length_before("_units", "_before", "")
     return (
         matched.withColumn("_surface", F.concat(F.col("_token"), tail))
         .withColumn("_start", start)
@@ -153,7 +180,8 @@ def lemma_claims(docs: DataFrame, lexicon: Lexicon, index_base: int = 1) -> Data
         ),
     )
     sents = sentence_rows(_with_missing(docs), rebuilt)
-    hits = _probe(sents.withColumn("_tokens", F.split("sentence", " ")), lexicon)
+    sents = sents.withColumn("_tokens", F.split("sentence", " "))
+    hits = _probe(sents.withColumn("_before", _lengths_before("_tokens", " ")), lexicon)
 
     rest = F.lit("")
     tail = F.lit("")
@@ -166,8 +194,7 @@ def lemma_claims(docs: DataFrame, lexicon: Lexicon, index_base: int = 1) -> Data
         "_surface", F.concat(F.col("_token"), tail)
     )
     # Only the first occurrence of a surface form in its sentence counts.
-    lead = F.length(F.array_join(F.slice("_tokens", F.lit(1), F.col("_at")), " "))
-    here = F.when(F.col("_at") > 0, lead + 2).otherwise(F.lit(1))
+    here = _length_before("_tokens", "_before", " ") + 1
     padded = F.concat(F.lit(" "), F.col("sentence"), F.lit(" "))
     first = F.instr(padded, F.concat(F.lit(" "), F.col("_surface"), F.lit(" ")))
     phrase = (F.col("n") > 1).cast("int")
@@ -180,9 +207,10 @@ def lemma_claims(docs: DataFrame, lexicon: Lexicon, index_base: int = 1) -> Data
         F.struct(
             phrase.alias("pass"),
             F.when(phrase == 0, F.col("sentence_index"))
-            .otherwise(F.col("cat_ord") * 100000 + F.col("_term.term_ord"))
+            .otherwise(F.col("cat_ord"))
             .alias("a"),
-            F.when(phrase == 0, F.col("_at")).otherwise(F.col("sentence_index")).alias("b"),
+            F.when(phrase == 0, F.col("_at")).otherwise(F.col("_term.term_ord")).alias("b"),
+            F.when(phrase == 0, F.lit(0)).otherwise(F.col("sentence_index")).alias("c"),
         ).alias("seen_at"),
     )
 

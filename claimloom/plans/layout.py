@@ -24,18 +24,19 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     )
 
 
+SPREAD = "claimloom.scan.partitions"
+
+
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a small input over the cores; leave a large one as it was read.
+    """Deal rows over as many partitions as the session setting names; else leave them.
 
-    Give it a plain scan: the partitions of a scan are known from planning, those
-    of a shuffled frame only after running it.  A scan of many splits already
-    keeps every core busy, and shuffling whole texts would cost more than it
-    gives.  A scan of fewer splits than cores is small, so moving it is cheap.
+    A scan has a task per split, which is right for a large table.  A session on one
+    machine, whose table is one file with one row group, sets the number of its cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 4 * cores:
+    n = df.sparkSession.conf.get(SPREAD, None)
+    if n is None:
         return df
-    return df.repartition(cores, key) if key else df.repartition(cores)
+    return df.repartition(int(n), key) if key else df.repartition(int(n))
 
 
 def _shared_folder(spark: SparkSession) -> str:

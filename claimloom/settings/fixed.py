@@ -184,3 +184,23 @@ OVERSIZE_SHARE = 0.9
 TRUNCATED_MARK = "\n[... TRUNCATED ...]"
 GAP_MARK = "[...]"
 SECTION_JOINER = "\n\n---\n\n"
+
+# --- fixed values: titles and headings of session records ---------------------
+SESSION_TITLE_EXCLUDED = "Календар|календар|Головна|головна"
+SESSION_HEADING = r"Засідання[^\n]{0,100}"
+
+# --- fixed values: links of the statement site and of the archive ------------
+STATEMENT_LINK_EXCLUDED = ("/category/", "/page/", "/tag/", "/wp-content/", "/wp-admin/", "/feed/", "#")
+STATEMENT_LINK_ENDING = r"/[a-z0-9][\w-]+/?$"
+ARCHIVE_LISTING = r"/(speeches|all|decrees|statements)(/page/\d+)?$"
+ARCHIVE_SHORTEST = "https://www.president.gov.ua/news/x"
+
+# --- fixed values: classes of dates and pagers in listings -------------------
+LISTING_DATE_CLASS = "date|time"
+NEXT_LINK_CLASS = "next|pager-next"
+PAGER_CLASS = "pag|page"
+ACTIVE_PAGE_CLASS = "active|current"
+
+# --- fixed value: the question put to a coder --------------------------------
+CLAIM_PROMPT = 'Code this claim:\n\nDocument: %s\nDate: %s\nCategory: %s\nMatched term: %s (surface form: "%s")\n\n[Previous sentence]: %s\n>>> [TARGET SENTENCE]: %s\n[Next sentence]: %s'  # noqa: E501
+# --- end of fixed values ------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from claimloom.plans.layout import configure  # noqa: E402
+from claimloom.plans.layout import SPREAD, configure  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,6 +17,7 @@ def spark():
     session = (
         configure(SparkSession.builder.master("local[8]").appName("tests"))
         .config("spark.sql.shuffle.partitions", "8")
+        .config(SPREAD, "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

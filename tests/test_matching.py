@@ -226,3 +226,22 @@ def test_every_pair_of_dimensions_is_counted(spark):
     assert len(cells) == 25
     for a, b in itertools.product({k[0] for k in cells}, repeat=2):
         assert cells[a, b] == cells[b, a] <= min(cells[a, a], cells[b, b])
+
+
+def test_offsets_are_linear_in_the_sentence(spark):
+    """Doubling a sentence of hits only about doubles the time of its spans."""
+    import time
+
+    from claimloom.operators.lexicon import surface_lexicon
+    from claimloom.operators.matching import surface_claims
+
+    lexicon = surface_lexicon()
+    word = next(r["anchor"] for r in lexicon.rows if r["n"] == 1)
+    took = {}
+    for n in (300, 10_000, 20_000):
+        docs = spark.createDataFrame([("1", f"{word}, " * n + "x.")], "id string, body_text string")
+        start = time.perf_counter()
+        rows = surface_claims(docs, lexicon).select("match_start").distinct().orderBy("match_start").collect()
+        took[n] = time.perf_counter() - start
+        assert [r[0] for r in rows] == [k * (len(word) + 2) for k in range(n)]
+    assert took[20_000] < 3 * took[10_000] + 2

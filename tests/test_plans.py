@@ -72,10 +72,14 @@ def test_preparing_texts_needs_no_shuffle(spark, sf):
     assert "Python" not in text
 
 
-def test_spread_leaves_large_inputs_alone(spark):
+def test_spread_only_where_the_session_asks(spark):
     many = spark.range(0, 1000, 1, 64)
+    before = spark.conf.get(layout.SPREAD, None)
+    spark.conf.unset(layout.SPREAD)
     assert layout.spread(many) is many
-    assert layout.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 8
+    spark.conf.set(layout.SPREAD, "5")
+    assert layout.spread(many).rdd.getNumPartitions() == 5
+    spark.conf.set(layout.SPREAD, before) if before else spark.conf.unset(layout.SPREAD)
 
 
 def test_a_large_lexicon_is_not_broadcast(spark, corpus, monkeypatch):
