@@ -101,11 +101,11 @@ s AS (
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
   FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
 l AS (
   SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-  WHERE 100 * both >= 80 * (x.n + y.n - both)),
+  WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id)
