@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.llm.common import Scratch
 
@@ -90,9 +95,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
 
     Takes `doc_id`, `text`, `source`; gives a row per input row: doc_id, source,
     row (hash of the text), size (words), source_size, target, rate, copies, taken
-    (size * copies).  Rates become copies by the running sum of their fractions
-    over documents of falling size, so that a source misses its target by at most
-    half its longest document per group of some thousand documents.
+    (size * copies).  Rates become copies over documents of falling size: what long
+    documents leave too much or too little is made good by shorter ones, so that a
+    group of some thousand documents of a source ends within a few of its shortest.
 
     Null or empty text: size 0 and no copies.  A null source is a source, the
     last.  Rows that repeat an id count each.  An empty table gives an empty one;
@@ -120,13 +125,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     rate = F.when(F.lit(float(most)) - rate < 1e-6, F.lit(float(most))).otherwise(rate)
     rated = docs.join(facts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", F.coalesce(rate, F.lit(0.0)))
     group = F.pmod(F.xxhash64("doc_id", "row", F.lit(3)), F.ceil(F.col("docs") / _DEALT))
-    rated = rated.withColumn("_group", group).withColumn("_part", F.col("rate") - F.floor("rate"))
-    line = Window.partitionBy("source", "_group").orderBy(F.col("size").desc(), F.xxhash64("doc_id", "row"), "doc_id", "row")
-    upto = F.sum("_part").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    extra = F.floor(F.round(upto, 6) + 0.5) - F.floor(F.round(upto - F.col("_part"), 6) + 0.5)
-    copies = F.least(F.floor("rate") + extra, F.lit(int(most)))
-    mixed = rated.withColumn("copies", F.greatest(copies, F.lit(0)).cast("long"))
-    return mixed.select("doc_id", "source", "row", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    columns = ["doc_id", "source", "row", "size", "source_size", "target", "rate"]
+    dealt = rated.select(*columns, group.alias("_group")).repartition("source", "_group")
+    dealt = dealt.sortWithinPartitions("source", "_group", F.col("size").desc(), F.xxhash64("doc_id", "row"), "doc_id", "row")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("copies", T.LongType())])
+    mixed = dealt.mapInArrow(_rounder(int(most)), schema)
+    return mixed.select(*columns, "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _rounder(most: int):
+    """Adds `copies`: each rate rounded down or up, whichever brings the group's words so far nearer to what its rates ask for."""
+
+    def rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, missing = None, 0.0
+        for batch in batches:
+            copies = []
+            for source, own, size, rate in zip(*(batch.column(c).to_pylist() for c in ("source", "_group", "size", "rate")), strict=True):
+                if group != (source, own):
+                    group, missing = (source, own), 0.0
+                n = 0
+                if size:
+                    missing += rate * size
+                    n = min(max(math.floor(missing / size + 0.5), math.floor(rate)), math.ceil(rate), most)
+                    missing -= n * size
+                copies.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies, pa.int64())], [*batch.schema.names, "copies"])
+
+    return rounded
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import types as T
 
-CLASH = [T.StructField(c, T.StringType()) for c in ("n", "row", "band", "value", "size", "rate", "score", "label", "copies", "_id", "spans")]
+CLASH = [T.StructField(c, T.StringType()) for c in ("n", "row", "band", "value", "size", "rate", "score", "label", "copies", "_id", "spans", "toxic", "_group", "docs", "tilt", "host", "page", "digest")]
 DOCUMENTS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
