@@ -476,13 +476,10 @@ def _sized(spark, sf):
     )
 
 
+_MARK = "'" + fixed.TRUNCATED_MARK.replace("\n", "' || chr(10) || '") + "'"
+
 # The fold is order-dependent, so the oracle walks the documents one by one.
-_PACKED = r"""-- uses: tcorpus
-    , sized AS (SELECT id, coalesce(date, 'unknown') AS date,
-            CAST(trunc(len(regexp_extract_all(body_text, '\S+')) * 3.5) AS INTEGER) AS tokens_est
-        FROM tcorpus),
-    numbered AS (SELECT *, CAST(least(tokens_est, 18000) AS BIGINT) AS packed_tokens,
-            row_number() OVER (ORDER BY date, id) AS rn FROM sized),
+_FOLDED = r"""
     sums AS (SELECT *, CAST(sum(packed_tokens) OVER (ORDER BY rn) AS BIGINT) AS upto FROM numbered),
     folded AS (SELECT list_reduce(list_prepend({'b': 1::BIGINT, 'f': 0::BIGINT, 'out': []::BIGINT[]},
             list(struct_pack(b := 0::BIGINT, f := packed_tokens, out := []::BIGINT[]) ORDER BY rn)),
@@ -493,6 +490,14 @@ _PACKED = r"""-- uses: tcorpus
     packed AS (SELECT n.*, (SELECT r.out FROM folded)[n.rn] AS batch FROM numbered n)"""
 
 
+_PACKED = r"""-- uses: tcorpus
+    , sized AS (SELECT id, coalesce(date, 'unknown') AS date,
+            CAST(trunc(len(regexp_extract_all(body_text, '\S+')) * 3.5) AS INTEGER) AS tokens_est
+        FROM tcorpus),
+    numbered AS (SELECT *, CAST(least(tokens_est, 18000) AS BIGINT) AS packed_tokens,
+            row_number() OVER (ORDER BY date, id) AS rn FROM sized),""" + _FOLDED
+
+
 @query("batch_pack", _PACKED + "\n    SELECT id, date, packed_tokens, batch FROM packed")
 def batch_pack(spark, sf):
     """Batches filled in date order up to 20,000 tokens."""
@@ -531,13 +536,33 @@ def prepared_by_source(spark, sf):
     )
 
 
-@query("batch_texts")
+@query(
+    "batch_texts",
+    rf"""-- uses: tcorpus
+    , {_SECTIONS},
+    numbered AS (SELECT *, CAST(least(tokens_est, 540) AS BIGINT) AS packed_tokens,
+            row_number() OVER (ORDER BY date, id) AS rn FROM prep),"""
+    + _FOLDED.replace("20000", "600")
+    + rf"""
+    SELECT batch, 'batch_' || CASE WHEN batch < 100 THEN lpad(CAST(batch AS VARCHAR), 2, '0')
+            ELSE CAST(batch AS VARCHAR) END || '.txt' AS file,
+        'BATCH ' || batch || ' — ' || count(*) || ' documents' || chr(10) || repeat('=', 60) || chr(10) || chr(10)
+        || string_agg('=== DOC ' || id || ' | ' || date || ' | ' || source || ' | ' || title || ' ===' || chr(10)
+            || CASE WHEN tokens_est > 540
+                THEN array_to_string(regexp_extract_all(body, '\S+')[1:154], ' ') || {_MARK}
+                ELSE body END, chr(10) || chr(10) ORDER BY rn) AS text
+    FROM packed GROUP BY batch""",
+)
 def batch_texts(spark, sf):
-    """The text handed to a coder, one per batch."""
-    rows = _prepared(spark, sf).withColumn(
-        "packed_tokens", packing.packed_size(F.col("tokens_est"), 20000)
+    """The text handed to a coder, one per batch; bodies beyond the limit are cut."""
+    tokens, limit = F.col("tokens_est"), 600
+    rows = _prepared(spark, sf).withColumns(
+        {
+            "packed_tokens": packing.packed_size(tokens, limit),
+            "body": packing.capped_body(F.col("body"), tokens, limit),
+        }
     )
     batches = packing.assign_batches(
-        rows.select("id", "date", "packed_tokens"), ["date", "id"], limit=20000
+        rows.select("id", "date", "packed_tokens"), ["date", "id"], limit=limit
     )
     return packing.rendered_batches(rows.join(batches.select("id", "batch"), "id"), ["date"])

@@ -5,7 +5,7 @@ import pytest
 import oracle
 from claimloom.catalog import ORACLES, QUERIES
 
-WITHOUT_SQL = {"paragraph_join", "session_pages", "statement_bodies", "batch_texts"}
+WITHOUT_SQL = {"session_pages", "statement_bodies"}
 
 
 @pytest.fixture(scope="module")
