@@ -5,17 +5,14 @@ import pytest
 import oracle
 from claimloom.catalog import ORACLES, QUERIES
 
-WITHOUT_SQL = {"session_pages", "statement_bodies"}
-
 
 @pytest.fixture(scope="module")
 def con(sf):
     return oracle.connect(sf)
 
 
-def test_all_but_a_few_have_sql():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
-    assert set(ORACLES) <= set(QUERIES)
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -24,11 +21,6 @@ def test_query(spark, sf, con, name):
     assert found is None, found
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_rows_only(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
-
-
 def test_entry_is_lazy_and_small(spark):
     import __spark_entry__
 
