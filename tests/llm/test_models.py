@@ -52,6 +52,18 @@ def test_language_rejects_another_script(spark):
     assert not language.identify(strange, model).first().accepted
 
 
+def test_language_keeps_all_ngrams(spark):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 4000)]
+    rng = np.random.default_rng(3)
+    texts = ["".join(letters[k] for k in rng.integers(0, 4000, 9000)) for _ in range(40)]
+    docs = spark.createDataFrame([("zz", t) for t in texts + texts[:10]], "lang string, text string")
+    levels = language.learn(docs)["models"][0].levels
+    every = np.unique(language.grams(texts, language.ORDER)[0])
+    assert len(levels[-1][0]) == len(every) > 300_000 and (levels[-1][0] == every).all()
+    low = every & np.uint64((1 << 48) - 1)
+    assert (levels[-2][0] == np.unique(low)).all()
+
+
 def all_paths(emit, move):
     """Marginals by listing every path."""
     n, total, on = len(emit), 0.0, np.zeros(len(emit))
