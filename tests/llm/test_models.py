@@ -64,6 +64,21 @@ def test_language_keeps_all_ngrams(spark):
     assert (levels[-2][0] == np.unique(low)).all()
 
 
+@pytest.mark.parametrize("bad_rows", [0, 30])
+def test_language_rejects_what_stands_far_off(spark, bad_rows):
+    rng = np.random.default_rng(5)
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").where("lang is not null and n_chars > 1000").select("lang", "text")
+    english = [r.text for r in docs.where("lang = 'en'").orderBy("text").limit(bad_rows + 2).collect()]
+    junk = ["".join(rng.permutation(list(t[:2000]))) for t in english]
+    polish = "Nie wiem, dlaczego wszyscy mieszkańcy tego miasteczka przyszli wczoraj wieczorem na rynek, żeby posłuchać orkiestry. "
+    finnish = "Pohjoisen järven rannalla asui vanha kalastaja, joka lähti joka aamu ennen auringonnousua soutamaan saaren taakse. "
+    bad = [("en", t) for t in junk[2:]] + [("fr", polish * 3)] * bool(bad_rows)
+    model = language.learn(docs.union(spark.createDataFrame(bad, "lang string, text string")) if bad else docs)
+    strange = [junk[0], junk[1][:100], finnish, finnish * 3] + [polish, polish * 3] * (not bad)
+    found = language.identify(spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string"), model)
+    assert not [r.doc_id for r in found.collect() if r.accepted]
+
+
 def all_paths(emit, move):
     """Marginals by listing every path."""
     n, total, on = len(emit), 0.0, np.zeros(len(emit))
