@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.common import Scratch, pieces
 
-LEAST_PAGES = 3  # a subtree of a template is on so many pages of its host,
-SHARE = 0.5  # and on this share of them,
-MANY_PAGES = 20  # or on so many, whatever the share
+LEAST_PAGES = 3  # a subtree of a template is on so many different pages of its host,
+SHARE = 0.5  # and on this share of them
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -164,15 +163,16 @@ def _main(root: Node) -> Node | None:
 def subtrees(page: str) -> list[int]:
     """Hashes of the subtrees with text that a template may hold.
 
-    Inside a declared article only those that are mostly links count, since
+    Only block elements count: an inline one, or a link in running text, is a part
+    of its sentence.  Inside a declared article only those that are mostly links count, since
     articles may share passages; elsewhere all.
     """
     root = parse(page)
     nodes = _measure(root)
     main = _main(root)
     own = {id(n) for n in _walk(main)} if main is not None else set()
-    skip = {"#", "html", "body", "head", "title", "script", "style"}
-    return sorted({n.digest - 2**63 for n in nodes if n.size and n.tag not in skip and (id(n) not in own or n is not main and 2 * n.linked >= n.size)})
+    units = _BLOCK - {"html", "body"}
+    return sorted({n.digest - 2**63 for n in nodes if n.size and n.tag in units and (id(n) not in own or n is not main and 2 * n.linked >= n.size)})
 
 
 def main_text(page: str, template: set[int]) -> str:
@@ -212,8 +212,8 @@ def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html", 1 << 21):
         found = [subtrees(p or "") for p in batch.column("html").to_pylist()]
         at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
-        columns = [batch.column(c).take(at) for c in ("page", "host")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([d for f in found for d in f], pa.int64())], ["page", "host", "digest"])
+        columns = [batch.column(c).take(at) for c in ("page", "host", "content")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([d for f in found for d in f], pa.int64())], ["page", "host", "content", "digest"])
 
 
 def _writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,27 +222,28 @@ def _writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, many: int = MANY_PAGES) -> DataFrame:
+def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars.
 
-    Takes `page_id`, `url`, `html`.  Subtrees of elements are hashed and counted
-    over the pages of each host; one on at least `least` pages and `share` of them,
-    or on `many` pages, belongs to the site's template and is deleted.  A page's
+    Takes `page_id`, `url`, `html`.  Subtrees of block elements are hashed and counted
+    over the different pages of each host; one on at least `least` of them and on
+    `share` of them belongs to the site's template and is deleted.  A page's
     declared article keeps its recurring passages, since articles may quote each
     other; only subtrees of it that are mostly links can belong to the template.
     Elements that are no article by name, class, id or role go as well.
 
     Null or empty html: empty text.  A null url is a host of its own.  Rows that
-    repeat a page count as pages and give a row each.  An empty table gives an
+    repeat a page count as one page and give a row each.  An empty table gives an
     empty one; other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession)
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page"), F.coalesce(host, F.lit("")).alias("host"))
-    found = scratch.store(pages.select("page", "host", "html").mapInArrow(_hasher, "page long, host string, digest long"))
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = found.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    often = (F.col("n") >= F.col("pages") * share) | (F.col("n") >= many)
+    pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page"), F.coalesce(host, F.lit("")).alias("host"), F.xxhash64("html").alias("content"))
+    found = pages.select("page", "host", "content", "html").mapInArrow(_hasher, "page long, host string, content long, digest long")
+    found = scratch.store(found)
+    hosts = pages.groupBy("host").agg(F.count_distinct("content").alias("pages"))
+    counts = found.groupBy("host", "digest").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= least)
+    often = F.col("n") >= F.col("pages") * share
     template = scratch.store(scratch.store(counts).join(scratch.store(hosts), "host").where(often).select("host", "digest"))
     own = found.join(template, ["host", "digest"]).groupBy("page").agg(F.collect_set("digest").alias("digests"))
     own = scratch.store(own)

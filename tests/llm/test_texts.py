@@ -132,6 +132,22 @@ def test_page_templates_and_odd_cases(spark):
     assert template.extract(pages.limit(0)).count() == 0
 
 
+def test_page_template_is_a_share_of_different_pages(spark):
+    """Large host: recurring links, words and headings stay; copies are one page."""
+    rows = []
+    for i in range(200):
+        own = f"<p>Story {i} in <a href=/p>Python</a> and <b>more</b>.</p>"
+        extra = "<h2>Conclusion</h2><p>Short one.</p><table><tr><td>Yes</td></tr></table>" if i % 4 == 0 else ""
+        body = f"<article>{own}{extra}</article>" if i % 2 else f"<div>{own}{extra}</div>"
+        rows.append((i, f"http://big.example/{i}", f"<body><div>Site name</div>{body}</body>"))
+    rows += [(1000 + i, f"http://copies.example/{i}", f"<body><div>Lone story</div><p>{'told' if i < 30 else 'other'}</p></body>") for i in range(31)]
+    rows += [(2000 + i, f"http://small.example/{i}", "<p>Thrice the same</p>") for i in range(3)]
+    by = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(200):
+        assert by[i] == f"Story {i} in Python and more." + ("\nConclusion\nShort one.\nYes" if i % 4 == 0 else "")
+    assert {by[1000 + i] for i in range(30)} == {"Lone story\ntold"} and by[2000] == "Thrice the same"
+
+
 def test_page_text_of_given_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     raw = {r.page_id: r.html for r in pages.collect()}
