@@ -108,6 +108,16 @@ def test_relevant_sections(one):
     assert one(T.relevant_sections(F.lit(none), max_words=100)) == " ".join(none.split()[:100])
 
 
+def test_relevant_sections_at_the_operators_own_limit(one):
+    whole = " ".join(f"слово{i}" for i in range(1200))
+    assert one(T.relevant_sections(F.lit(whole))) == whole
+    assert one(T.relevant_sections(F.lit(whole + " зайве"))) == whole
+    named = [f"Церква згадана тут разом {i} раз." for i in range(310)]
+    assert one(T.relevant_sections(F.lit(" ".join(named[:300])))) == " ".join(named[:300])  # 1,800 words
+    cut = " ".join(" ".join(named).split()[:1800])
+    assert one(T.relevant_sections(F.lit(" ".join(named)))) == cut + fixed.TRUNCATED_MARK
+
+
 def test_relevant_sections_merges_neighbours_and_caps(one):
     many = " ".join(f"Церква згадана тут разом {i} раз." for i in range(200))
     found = one(T.relevant_sections(F.lit(many), max_words=100))
