@@ -155,10 +155,28 @@ def _rounder(most: int):
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """Documents repeated as often as the mix takes them, all columns as they came."""
-    marks = mix(docs, **settings).where("copies > 0").groupBy("doc_id", "row").agg(F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("rows"))
+    """Documents repeated as often as the mix takes them, all columns as they came.
+
+    Rows that agree in id, text and source share the copies of all of them: each has
+    the whole part, and the first in order one of the rest.  Only groups with a rest
+    are numbered.
+    """
+    scratch = Scratch(docs.sparkSession)
+    marks = mix(docs, **settings).groupBy("doc_id", "row", F.col("source").alias("from")).agg(F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("rows"))
+    marks = scratch.store(marks.where("sum > 0"))
     row = F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
-    both = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(marks["doc_id"]) & (row == marks["row"]))
-    each = (marks["sum"] / marks["rows"]).cast("int")  # rows that repeat share their copies evenly
-    times = F.sequence(F.lit(1), F.greatest(each, F.lit(1)))
-    return both.select(*[docs[c] for c in docs.columns], F.explode(times).alias("__copy")).drop("__copy")
+
+    def taken(marks: DataFrame) -> DataFrame:
+        same = docs["doc_id"].cast("long").eqNullSafe(marks["doc_id"]) & (row == marks["row"]) & docs["source"].eqNullSafe(marks["from"])
+        return docs.join(marks, same)
+
+    uneven = F.col("sum") % F.col("rows") != 0
+    even, rest = marks.where(~uneven), marks.where(uneven)
+    own = [f.name for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    order = Window.partitionBy(rest["doc_id"], rest["row"], rest["from"]).orderBy(F.xxhash64(*[docs[c] for c in own]))
+    more = F.when(F.row_number().over(order) <= rest["sum"] % rest["rows"], 1).otherwise(0)
+    parts = []
+    for both, times in ((taken(even), F.floor(even["sum"] / even["rows"])), (taken(rest), F.floor(rest["sum"] / rest["rows"]) + more)):
+        parts.append(both.select(*[docs[c] for c in docs.columns], times.cast("int").alias("__copies")))
+    repeated = parts[0].union(parts[1]).where("__copies > 0")
+    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")

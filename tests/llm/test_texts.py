@@ -106,6 +106,19 @@ def test_mixing_limits_and_odd_cases(spark):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
 
+def test_mixed_documents_of_repeated_rows(spark):
+    """Rows that repeat id, text and source: the stage gives what the mix counts."""
+    rows = [(i if i else None, f"{'word ' * (i + 3)}", "en", s) for s in "abc" for i in range(6) for _ in range(1 + i % 4)]
+    docs = documents(spark, rows)
+    want = Counter()
+    for r in balance.mix(docs).collect():
+        want[r.doc_id, r.source] += r.copies
+    shared = Counter((i, s) for i, _, _, s in rows)
+    assert any(want[k] % n for k, n in shared.items())
+    got = Counter((r.doc_id, r.source) for r in balance.mixed_documents(docs).collect())
+    assert got == +want
+
+
 PAGE = """<html><head><title>x</title></head><body><header class=top>Site</header><nav><a href=/>Home</a></nav>
 <div id="cookie-banner">We use cookies</div><main><article class="post"><h1>A &amp; B</h1><p>One <b>two</b>
 three<br>four</p><ul><li>five<li>six</ul><aside>Also</aside><div class="share-buttons"><a href=x>Share</a></div><p>caf&eacute; 1 &lt; 2</p>
