@@ -20,14 +20,16 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-# Label, keyword that a text must hold, and how the license is named, in words
+# Label, keyword that every wording of the name holds, and how the license is named, in words
 # parted by single spaces ("2.0" reads "2 0").  `V` is "version" or "v", or nothing.
 _NAMES = (
     ("mit", "mit", r"mit|mit x11|expat mit"),
     ("mit", "expat", r"expat"),
     ("mit", "x11", r"x11"),
-    ("mit-0", "mit 0", r"mit 0|mit no attribution"),
-    ("apache-2", "apache", r"apache(?: software)?(?: license)?V2(?: 0)?|asl 2(?: 0)?|apache 2(?: 0)?"),
+    ("mit-0", "mit 0", r"mit 0"),
+    ("mit-0", "mit no attribution", r"mit no attribution"),
+    ("apache-2", "apache", r"apache(?: software)?(?: license)?V2(?: 0)?|apache 2(?: 0)?"),
+    ("apache-2", "asl 2", r"asl 2(?: 0)?"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?V1 1"),
     ("apache-1.0", "apache", r"apache(?: software)?(?: license)?V1 0"),
     ("bsd-2-clause", "bsd", r"(?:simplified|freebsd) bsd|bsd 2 clause|2 clause bsd|two clause bsd"),
@@ -72,7 +74,8 @@ _NAMES = (
     ("artistic-2.0", "artistic", r"artistic licenseV2(?: 0)?"),
     ("artistic-1.0", "artistic", r"artistic licenseV1(?: 0)?"),
     ("perl", "perl", r"perl artistic|same terms as perl(?: itself)?"),
-    ("psf-2.0", "python", r"python software foundation(?: license)?V2|psf license agreement"),
+    ("psf-2.0", "python", r"python software foundation(?: license)?V2"),
+    ("psf-2.0", "psf", r"psf license agreement"),
     ("python-2.0", "python", r"python licenseV2(?: 0)?"),
     ("php-3.01", "php", r"php licenseV3 01|php license"),
     ("ruby", "ruby", r"ruby license"),

@@ -1,5 +1,6 @@
 """Packing, mixing, pages, licenses and the pipeline."""
 
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -205,6 +206,37 @@ def test_license_rules_and_odd_cases(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def wordings(tree):
+    """The strings of a parsed pattern; of long repeats the shortest, of classes each letter or one digit."""
+    out = [""]
+    for kind, value in tree:
+        if kind is re._constants.LITERAL:
+            own = [chr(value)]
+        elif kind is re._constants.ANY:
+            own = ["x"]
+        elif kind is re._constants.IN:
+            own = [chr(v) if k is re._constants.LITERAL else "7" for k, v in value]
+        elif kind is re._constants.BRANCH:
+            own = [w for branch in value[1] for w in wordings(branch)]
+        elif kind is re._constants.SUBPATTERN:
+            own = wordings(value[3])
+        else:
+            least, most, inner = value
+            own = ["".join(w) for n in sorted({least, min(most, max(least, 1))}) for w in itertools.product(wordings(inner), repeat=n)]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_license_keywords_are_in_every_wording(spark):
+    whole = {p for *_, p in licenses._LINKS} | {p for *_, p in licenses._TEXTS}
+    some = [r for r in licenses.rules() if r.pattern in whole or r.priority in (45, 50)]  # one frame stands for all
+    assert {(r.label, r.keyword) for r in licenses.rules()} == {(r.label, r.keyword) for r in some}
+    assert not {(r.label, r.keyword, w) for r in some for w in wordings(re._parser.parse(r.pattern)) if r.keyword not in w}
+    scanner = licenses.Scanner()
+    for text, label in {"licensed under the MIT No Attribution license": "mit-0", "under the ASL 2.0 license": "apache-2", "the PSF License Agreement license": "psf-2.0"}.items():
+        assert label in {r.label for *_, r in scanner.detections(licenses.normalised(text.encode()))}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
