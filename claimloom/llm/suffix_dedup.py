@@ -1,11 +1,14 @@
-"""Removal of repeated strings: earlier matches in suffix order, across all documents.
+"""Removal of repeated strings across all documents, by counting fingerprints of windows.
+
+This stands in for the suffix-order method: no suffix is sorted, and no previous or
+next smaller position or longest-previous-factor value is built.
 
 The longest-previous-factor value of a place says how long a string that starts
 there also starts at an earlier place; in suffix order the nearest places before
 and after it with a smaller position hold that match.  Removal asks only whether
-the value reaches `length`, so the order is needed down to the first `length`
-bytes: suffixes that agree so far form one run of it, and a place has an earlier
-match when its run holds a smaller position.  Runs are found by fingerprint, from
+the value reaches `length`: suffixes that agree in their first `length` bytes would
+form one run of that order, and a place has an earlier match when its run holds a
+smaller position.  Runs are found by fingerprint, from
 coarse to fine, so that single suffixes are listed only where copies begin or end:
 
 1. every window of `length` bytes is filed under its smallest k-gram hash (the
