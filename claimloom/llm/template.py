@@ -22,7 +22,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style noscript template textarea title iframe xmp".split())
-_DROP = set("head script style noscript template textarea title iframe xmp nav aside form button select svg canvas dialog menu object math audio video".split())
+_DROP = set("head script style noscript template textarea title iframe xmp nav aside form button select svg canvas dialog menu object audio video".split())
 _BLOCK = set(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split()
@@ -143,21 +143,38 @@ def _is_furniture(node: Node, inside: bool) -> bool:
     return bool(words & _WORDS) and not words & _CONTENT - {"text"} or bool(words & {"comments", "comment", "disqus"})
 
 
-def _main(root: Node) -> Node | None:
-    """The element a page declares as its article: the longest one that is not furniture."""
+def _main(root: Node) -> tuple[Node | None, list[Node]]:
+    """The longest element a page declares as its article, and all parts of it in page order.
+
+    The other articles beside it are parts too, but for furniture and teasers: those
+    of mostly links, and those whose heading is a link.  These are the article only
+    where a page has no other.
+    """
     best: dict[int, Node] = {}
-    todo = [(root, False)]
+    articles = []
+    todo = [(root, root)]
     while todo:
-        node, inside = todo.pop()
-        if node is not root and _is_furniture(node, inside):
+        node, parent = todo.pop()
+        if node is not root and _is_furniture(node, False):
             continue
         own = node.values() if node.attributes else {}
         rank = 3 if node.tag == "article" else 2 if node.tag == "main" or own.get("role") == "main" or own.get("itemprop") == "articleBody" else 0
         if rank and (rank not in best or node.size > best[rank].size):
             best[rank] = node
-        if rank != 3:
-            todo += [(c, inside) for c in node.children if isinstance(c, Node)]
-    return best.get(3) or best.get(2)
+        if rank == 3:
+            articles.append((node, parent))
+        else:
+            todo += [(c, node) for c in node.children if isinstance(c, Node)]
+    full = [a for a, _ in articles[::-1] if not _is_teaser(a)]
+    main = max(full, key=lambda a: a.size) if full else best.get(3) or best.get(2)
+    beside = {id(p) for a, p in articles if a is main}
+    parts = [a for a, p in articles[::-1] if a is main or id(p) in beside and not _is_teaser(a)]
+    return main, parts or ([main] if main is not None else [])
+
+
+def _is_teaser(article: Node) -> bool:
+    headed = any(n.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and n.size and n.linked == n.size for n in _walk(article))
+    return 2 * article.linked >= article.size or headed or _is_furniture(article, True)
 
 
 def subtrees(page: str) -> list[int]:
@@ -169,8 +186,8 @@ def subtrees(page: str) -> list[int]:
     """
     root = parse(page)
     nodes = _measure(root)
-    main = _main(root)
-    own = {id(n) for n in _walk(main)} if main is not None else set()
+    main, parts = _main(root)
+    own = {id(n) for part in parts for n in _walk(part)} - {id(part) for part in parts if part is not main}
     units = _BLOCK - {"html", "body"}
     return sorted({n.digest - 2**63 for n in nodes if n.size and n.tag in units and (id(n) not in own or n is not main and 2 * n.linked >= n.size)})
 
@@ -179,7 +196,9 @@ def main_text(page: str, template: set[int]) -> str:
     """Blocks of the article, one per line, without furniture and the template's subtrees."""
     root = parse(page)
     _measure(root)
-    main = _main(root)
+    main, parts = _main(root)
+    parts = [p for p in parts if p is main or p.digest - 2**63 not in template]
+    whole = {id(p) for p in parts}
     blocks, line = [], []
 
     def flush() -> None:
@@ -189,7 +208,7 @@ def main_text(page: str, template: set[int]) -> str:
         line.clear()
 
     inside = main is not None
-    todo: list = [main if inside else root]
+    todo: list = parts[::-1] or [root]
     while todo:
         item = todo.pop()
         if item is None:
@@ -198,7 +217,7 @@ def main_text(page: str, template: set[int]) -> str:
             line.append(item)
         elif item.tag == "br":
             line.append(" ")
-        elif item is main or not (_is_furniture(item, inside) or item.size and item.digest - 2**63 in template and (not inside or 2 * item.linked >= item.size)):
+        elif id(item) in whole or not (_is_furniture(item, inside) or item.size and item.digest - 2**63 in template and (not inside or 2 * item.linked >= item.size)):
             block = item.tag in _BLOCK
             if block:
                 flush()

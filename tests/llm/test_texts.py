@@ -131,6 +131,15 @@ def test_page_text_by_hand():
     assert template.main_text(PAGE, set()) == "A & B\nOne two three four\nfive\nsix\ncafé 1 < 2\ncell\nnext"
 
 
+def test_page_text_of_several_articles():
+    parts = "<article><h2>One</h2><p>first part <math><mi>x</mi></math></p></article><article><h2>Two</h2><p>the second and longer part</p></article>"
+    teaser = "<article><h3><a href=/n>Next</a></h3><p>Read what comes next in the series</p></article><article class=comment><p>Nice!</p></article>"
+    page = f"<body><main>{parts}{teaser}</main><div><article><p>Elsewhere</p></article></div></body>"
+    assert template.main_text(page, set()) == "One\nfirst part x\nTwo\nthe second and longer part"
+    recurring = {d for d in template.subtrees(f"<body><main>{parts}</main></body>")}
+    assert template.main_text(page, recurring) == "Two\nthe second and longer part"
+
+
 def test_page_templates_and_odd_cases(spark):
     frame = "<body><div class=x>Our site since 1999</div><div class=c><p>{}</p></div><div>Call us now</div></body>"
     rows = [(i, f"http://h.example/{i}", frame.format(f"story {i}")) for i in range(6)]
