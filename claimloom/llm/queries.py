@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import balance, language, lattice_dedup, licenses, minmax_dedup, packing, routed_search, suffix_dedup, template, toxicity
+from claimloom.llm import (
+    balance,
+    hard_negatives,
+    language,
+    lattice_dedup,
+    licenses,
+    minmax_dedup,
+    packing,
+    resampling,
+    routed_search,
+    suffix_dedup,
+    template,
+    token_blocks,
+    toxicity,
+)
 from claimloom.llm.common import held, table
 
 
@@ -59,6 +73,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = resampling.resample(docs, target, longest=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.round_trip(table(spark, sf_dir, "documents"), end=2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +103,9 @@ QUERIES = {
         op8_toxicity,
         op9_page_text,
         op10_licenses,
+        op11_resampling,
+        op12_hard_negatives,
+        op13_token_blocks,
     )
 }
 
@@ -110,5 +144,55 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) k ON k.a = d.doc_id
+""",
+    "op11_resampling": r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark),
+f AS (SELECT n, unnest(w) AS w FROM d),
+v AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS k
+  FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM f UNION SELECT w FROM b)), crc),
+s AS (SELECT k, count(*) AS s FROM f JOIN v USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM b JOIN v USING (w) GROUP BY k),
+g AS (
+  SELECT q.k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000))))::BIGINT AS g
+  FROM (SELECT DISTINCT k FROM v) q LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+e AS (SELECT n, sum(g)::BIGINT AS weight FROM f JOIN v USING (w) JOIN g USING (k) GROUP BY n),
+z AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN e USING (n)),
+a AS (SELECT count(*) AS n FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * a.n // 100 THEN place END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM z), a
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.n AS a, a.vec_id AS anchor_id, c.n AS c, c.vec_id AS id, a.label = c.label AS same, list_dot_product(a.q, c.q)::BIGINT AS score
+  FROM v a JOIN v c ON a.n <> c.n WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT a, anchor_id, c, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, c) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.a, p.c ORDER BY score DESC, id, s.c)
+QUALIFY row_number() OVER w <= 5
 """,
 }
