@@ -25,8 +25,9 @@ from claimloom.llm.common import held, table
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = suffix_dedup.remove_repeats(docs, length=400, keep_first=False, whole_characters=False, with_text=False)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = suffix_dedup.remove_repeats(docs, length=400, keep_first=False, whole_characters=False)
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")  # a character cut in two shows as U+FFFD
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text)
 
 
 def op2_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
