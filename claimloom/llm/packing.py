@@ -31,7 +31,8 @@ class Encoder:
     """The ids that the `tokenizers` file gives, made by its faster public twin.
 
     The `.tiktoken` file beside it holds the same vocabulary as ranks; the text of
-    the special token gives its id, as `tokenizers` does by default.
+    the special token gives its id, as `tokenizers` does by default.  The twin gives up
+    on very long runs of white space; such a text goes to `tokenizers` itself.
     """
 
     def __init__(self, path: str):
@@ -40,10 +41,17 @@ class Encoder:
 
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as ranks:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks)}
+        self.path, self.library = path, None
         self.own = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={"<|endoftext|>": 50256})
 
     def ids(self, text: str) -> list[int]:
-        return self.own.encode(text, allowed_special="all")
+        try:
+            return self.own.encode(text, allowed_special="all")
+        except ValueError:
+            from tokenizers import Tokenizer
+
+            self.library = self.library or Tokenizer.from_file(self.path)
+            return self.library.encode(text, add_special_tokens=False).ids
 
 
 def _tokenise(path: str, size: int):

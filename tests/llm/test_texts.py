@@ -257,3 +257,13 @@ def test_pipeline(spark, sf):
         assert {r.doc_id for r in rows} <= ids and len(rows) > 0.4 * before
         docs = spark.createDataFrame(rows, docs.schema)
     assert corpus_pipeline.run(spark, sf).count() == packing.pack(docs).count()
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\t" * 1_000_000, " \n\t" * 500_000])
+def test_long_white_space_is_encoded(run):
+    """The faster twin gives up on such texts."""
+    from tokenizers import Tokenizer
+
+    text = "a" + run + "x"
+    whole = Tokenizer.from_file(packing.vocabulary()).encode(text, add_special_tokens=False).ids
+    assert list(packing.Encoder(packing.vocabulary()).ids(text)) == whole
