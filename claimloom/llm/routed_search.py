@@ -153,8 +153,14 @@ def _assigner(weights: list[np.ndarray], visits: int, dim: int):
             at = pa.array([o[0] for o in out], pa.int64())
             data = pa.array([np.array(v, np.float64).tobytes() for v in vectors], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(at), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.bool_()), data.take(at)],
-                ["vec_id", "part", "query", "vector"],
+                [
+                    batch.column("row").take(at),
+                    batch.column("vec_id").take(at),
+                    pa.array([o[1] for o in out], pa.int32()),
+                    pa.array([o[2] for o in out], pa.bool_()),
+                    data.take(at),
+                ],
+                ["row", "vec_id", "part", "query", "vector"],
             )
 
     return assign
@@ -162,29 +168,34 @@ def _assigner(weights: list[np.ndarray], visits: int, dim: int):
 
 def _searcher(k: int):
     def search(rows: list[tuple]) -> list[tuple]:
-        queries = [r for r in rows if r[1]]
-        others = [r for r in rows if not r[1]]
+        queries = [r for r in rows if r[2]]
+        others = [r for r in rows if not r[2]]
         if not queries or not others:
             return []
-        ids = np.array([r[0] for r in others])
-        y = np.frombuffer(b"".join(r[2] for r in others)).reshape(len(others), -1)
-        x = np.frombuffer(b"".join(r[2] for r in queries)).reshape(len(queries), -1)
+        own_rows, ids = np.array([r[0] for r in others]), np.array([r[1] for r in others])
+        y = np.frombuffer(b"".join(r[3] for r in others)).reshape(len(others), -1)
+        x = np.frombuffer(b"".join(r[3] for r in queries)).reshape(len(queries), -1)
+        largest = max(np.abs(y).max(), np.abs(x).max())
+        # Squares of components beyond these would leave the range of doubles; a power of two changes no digit.
+        scale = 1.0 if 1e-100 < largest < 1e100 else 2.0 ** np.floor(np.log2(largest))
+        y, x = y / scale, x / scale
         norm, out = (y**2).sum(axis=1), []
         for a in range(0, len(x), 256):
             rough = norm[None, :] - 2 * x[a : a + 256] @ y.T
             for i, d in enumerate(rough):
-                own = queries[a + i][0]
-                near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)] + 1e-9 * (1 + np.abs(d).max()))
-                near = near[ids[near] != own]
-                exact = np.sqrt(((y[near] - x[a + i]) ** 2).sum(axis=1))
-                best = np.lexsort((ids[near], exact))[:k]
-                out += [(own, int(ids[near[b]]), float(exact[b])) for b in best]
+                own, own_id = queries[a + i][:2]
+                size = np.abs(d).max() + (x[a + i] ** 2).sum()
+                near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)] + 1e-9 * (1 + size))
+                near = near[own_rows[near] != own]
+                exact = np.sqrt(((y[near] - x[a + i]) ** 2).sum(axis=1)) * scale
+                best = np.lexsort((own_rows[near], ids[near], exact))[:k]
+                out += [(own, own_id, int(own_rows[near[b]]), int(ids[near[b]]), float(exact[b])) for b in best]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
         for batch in batches:
-            for own, *value in zip(*(batch.column(c).to_pylist() for c in ("key", "vec_id", "query", "vector")), strict=True):
+            for own, *value in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "vec_id", "query", "vector")), strict=True):
                 if own != key:
                     out += search(rows)
                     key, rows = own, []
@@ -196,8 +207,9 @@ def _searcher(k: int):
             yield _batch(out)
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        a, b, c = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["query_row", "query_id", "row", "vec_id", "score"])
 
     return run
 
@@ -212,30 +224,32 @@ def nearest(vectors: DataFrame, query, k: int = NEIGHBOURS, parts: int = PARTS,
     third of all vectors is many tasks; distances are exact on original vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and
-    rows without an id, take no part.  Ties go to the smaller vec_id; a query is
-    never its own neighbour, nor are rows that repeat its id.  Vectors are only
-    compared with those of the same length.  An empty table gives an empty one.
+    rows without an id, take no part.  Ties go to the smaller vec_id; a query row is
+    never its own neighbour.  Rows that repeat an id count each for itself: as
+    candidates, also of one another, and as queries, each of which gives its own
+    k rows.  Vectors are only compared with those of the same length.  A distance
+    beyond the range of doubles is infinite.  An empty table gives an empty one.
     """
     scratch = Scratch(vectors.sparkSession)
     vector = F.col("embedding").cast("array<double>")
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     whole = vectors.where(F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
-    whole = scratch.store(whole.dropDuplicates(["vec_id"]).withColumn("query", F.coalesce(query, F.lit(False))))
-    drawn = [r[0] for r in whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").collect()]
+    whole = scratch.store(whole.withColumns({"query": F.coalesce(query, F.lit(False)), "row": F.monotonically_increasing_id()}))
+    drawn = [r[0] for r in whole.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(sample).select("vector").collect()]
     dim = max({len(v) for v in drawn}, key=[len(v) for v in drawn].count) if drawn else 0
     weights, visits = fit(np.array([v for v in drawn if len(v) == dim]), parts, k, wanted) if drawn else ([], 1)
-    filed = scratch.store(whole.mapInArrow(_assigner(weights, visits, dim), "vec_id long, part int, query boolean, vector binary"))
+    filed = scratch.store(whole.mapInArrow(_assigner(weights, visits, dim), "row long, vec_id long, part int, query boolean, vector binary"))
     sizes = filed.groupBy("part").agg(
         F.greatest(F.lit(1), F.ceil(F.sum((~F.col("query")).cast("int")) / BLOCK)).cast("int").alias("blocks"),
         F.greatest(F.lit(1), F.ceil(F.sum(F.col("query").cast("int")) / BLOCK)).cast("int").alias("chunks"),
     )
-    own = F.xxhash64("vec_id", F.lit(9))
+    own = F.xxhash64("row", F.lit(9))
     # A row of the grid of blocks and chunks for each candidate, a column for each query.
     block = F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(own, F.col("blocks")).cast("int")))
     chunk = F.when(F.col("query"), F.array(F.pmod(own, F.col("chunks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = filed.join(scratch.store(sizes), "part").withColumn("block", F.explode(block)).withColumn("chunk", F.explode(chunk))
-    dealt = dealt.select(F.struct("part", "block", "chunk").alias("place"), F.concat_ws("/", "part", "block", "chunk").alias("key"), "vec_id", "query", "vector")
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "vec_id").drop("place")
-    found = dealt.mapInArrow(_searcher(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    dealt = dealt.select(F.struct("part", "block", "chunk").alias("place"), F.concat_ws("/", "part", "block", "chunk").alias("key"), "row", "vec_id", "query", "vector")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "vec_id", "row").drop("place")
+    found = dealt.mapInArrow(_searcher(k), "query_row long, query_id long, row long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -49,7 +49,7 @@ def documents(spark, rows=None):
 
 
 VECTORS = T.StructType(
-    [T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), *CLASH, T.StructField("a", T.StringType()), T.StructField("part", T.StringType())]
+    [T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType())), *CLASH, T.StructField("a", T.StringType()), T.StructField("part", T.StringType())]
 )
 
 

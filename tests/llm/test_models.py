@@ -159,3 +159,22 @@ def test_routed_search_odd_cases(spark, monkeypatch):
     assert [(v, s) for _, v, s in own] == want
     assert not [r for r in got if r.query_id == 100]
     assert routed_search.nearest(vectors(spark, rows).limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_routed_search_repeated_ids_and_huge_components(spark):
+    """Every row is a candidate and every query row a query, in whatever order they come."""
+    rows = [(i, [float(i), 1.0]) for i in range(1, 40)] + [(0, [1.0, 1.0]), (0, [50.0, 50.0]), (7, [1.0, 1.5]), (7, [1.0, 1.5])]
+    found = []
+    for given in (rows, rows[::-1]):
+        got = routed_search.nearest(vectors(spark, given), F.col("vec_id") == 0, k=5).collect()
+        found.append(sorted((r.score, r.vec_id) for r in got))
+    want = []
+    for x in ([1.0, 1.0], [50.0, 50.0]):
+        d = sorted((float(np.sqrt((v[0] - x[0]) ** 2 + (v[1] - x[1]) ** 2)), i) for i, v in rows if v != x or i != 0)
+        want += d[:5]
+    assert found[0] == found[1] == sorted(want)
+    for factor in (1e200, 1e-200):
+        huge = [(i, [factor * i, factor]) for i in range(30)]
+        got = routed_search.nearest(vectors(spark, huge), F.col("vec_id") == 0, k=4).toPandas()
+        assert got.sort_values("rank").vec_id.tolist() == [1, 2, 3, 4]
+        assert np.allclose(got.sort_values("rank").score / factor, [1, 2, 3, 4])
