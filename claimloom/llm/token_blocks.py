@@ -20,6 +20,7 @@ form a stream, which `read_stream` reads back.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import zlib
@@ -40,7 +41,7 @@ STEPS = 64  # a lane of a small block has this many ids at least
 _MAGIC = b"CMR1"
 _SLOTS = 1 << 17  # order-2 contexts
 _STATES = 64
-_REFRESH = 4  # steps after which order 0 takes up what it has seen
+_REFRESH = 16  # steps after which order 0 takes up what it has seen
 _STEP_UP, _TOTAL = 24, 1 << 20  # what an id adds to its count; counts are halved beyond the total
 _ZERO, _ODDS_BITS, _DIGIT, _LOW = np.uint64(0), np.uint64(12), np.uint64(16), np.uint64(32)
 _NARROW, _MASK48 = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
@@ -187,6 +188,8 @@ class _Models:
 
     def learn(self, yes: np.ndarray) -> None:
         """States move by the share of yes that their lanes saw, weights along the error."""
+        if self.steps > 16 and self.steps % 4:
+            return  # the early steps teach most; later every fourth does
         error = ((yes.astype(np.int64) << 12) - self.mixed).astype(np.float64)  # whole numbers throughout
         for i, state in enumerate(self.states):
             n = np.bincount(state, minlength=_STATES)
@@ -332,7 +335,7 @@ class WordIds:
     any other text goes to `tokenizers` whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -343,17 +346,20 @@ class WordIds:
 
     def _forget(self) -> None:
         self.number = _Numbers()
-        self.ids, self.first = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.ids, self.first = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
-        found = self._whole(self.number.new)
-        ends = self.first[-1] + np.cumsum([len(f) for f in found])
-        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.int64)])
-        self.first = np.concatenate([self.first, ends])
-        self.number.new = []
+        new, self.number.new = self.number.new, []
+        ids, sizes = [], []
+        for a in range(0, len(new), 2048):  # the library's results are large next to their ids
+            found = self._whole(new[a : a + 2048])
+            sizes += map(len, found)
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int32, sum(sizes[a:])))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.number) > self.most:
@@ -371,9 +377,9 @@ class WordIds:
                 numbers.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
         if self.number.new:
             self._learn()
-        out = [np.empty(0, np.int64) if at is None else self._joined(at) for at in numbers]
+        out = [np.empty(0, np.int32) if at is None else self._joined(at) for at in numbers]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]) if odd else [], strict=True):
-            out[i] = np.array(ids, np.int64)
+            out[i] = np.array(ids, np.int32)
         return out
 
     def _joined(self, at: np.ndarray) -> np.ndarray:
@@ -416,7 +422,7 @@ def _write(path: str, end: int, size: int):
         for batch in pieces(batches, "text"):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words(batch.column("text").to_pylist()), strict=True):
                 docs.append(doc)
-                held.append(np.append(ids, end))
+                held.append(np.append(ids, np.int32(end)))
                 n += len(held[-1])
                 if n >= size:
                     yield finished()
