@@ -85,6 +85,21 @@ def study_lexicon():
     return surface_lexicon(LEXICON, expand=same)
 
 
+# Frequent words of the given texts stand for the forms of one word, so that matches overlap.
+FREQUENT = ("the", "of", "to", "in", "was", "that", "der", "die", "und", "les", "des", "que", "de", "la")
+OVERLAPPING = (
+    Dimension("church_actors", DESCRIPTIONS["church_actors"], {"a": ("common common",)}, {}),
+    Dimension("urgency", DESCRIPTIONS["urgency"], {"a": ("common common common common",)}, {}),
+    Dimension("decolonisation", DESCRIPTIONS["decolonisation"], {"a": ("the of the", "common other common")}, {}),
+)
+
+
+def overlapping_lexicon():
+    """Phrases of up to four words with many forms each, which can overlap themselves."""
+    forms = {("a", "common"): frozenset(FREQUENT), ("a", "other"): frozenset({"is", "on", "von", "en", "the", "für"})}
+    return surface_lexicon(OVERLAPPING, expand=same, forms=forms)
+
+
 def study_lemma_lexicon():
     """Lemmas with a few inflected words each, as a dictionary would give them."""
     forms = {

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.catalog.base import (
+    FREQUENT,
+    overlapping_lexicon,
     query,
     sql_juncture,
     stored_claims,
@@ -81,6 +83,41 @@ def phrase_hits(spark, sf):
     )
 
 
+_COMMON = "(?:" + "|".join(FREQUENT) + ")"
+# Each word with a mark in front (a blank after white space) and one behind, so that
+# regular-expression search over the sentence is search over whole words.
+_PATTERNS = (
+    ("church_actors", "common common", f"[ #]{_COMMON}; {_COMMON};"),
+    ("urgency", "common common common common", f"[ #]{_COMMON}; {_COMMON}; {_COMMON}; {_COMMON};"),
+    ("decolonisation", "the of the", "[ #]the; of; the;"),
+    ("decolonisation", "common other common", f"[ #]{_COMMON}; (?:is|on|von|en|the|für); {_COMMON};"),
+)
+
+
+@query(
+    "overlapping_terms",
+    rf"""-- uses: words
+    SELECT id AS doc_id, sentence_index, category, term AS matched_term_lemma,
+        CAST(len(found) AS BIGINT) AS n_matches, found[1] AS first_match, found[len(found)] AS last_match
+    FROM (SELECT id, sentence_index, category, term, list_transform(regexp_extract_all(line, pattern),
+            lambda m: rtrim(replace(m[2:], ';', ''))) AS found
+        FROM (SELECT id, sentence_index, string_agg(CASE WHEN token_index > 0
+                AND regexp_full_match(substr(before, length(last) + 1), '\s+') THEN ' ' ELSE '#' END
+                || lower(token) || ';', '' ORDER BY token_index) AS line
+            FROM (SELECT *, tokens[token_index] AS last, units[token_index] AS before FROM words)
+            GROUP BY id, sentence_index),
+        (VALUES {", ".join(f"('{c}', '{t}', '{p}')" for c, t, p in _PATTERNS)}) AS p(category, term, pattern))
+    WHERE len(found) > 0""",
+)
+def overlapping_terms(spark, sf):
+    """Matches of phrases that can overlap themselves, counted as a left-to-right search does."""
+    found = matching.surface_claims(study_corpus(spark, sf), overlapping_lexicon())
+    place = F.struct("token_index", F.regexp_replace(F.lower("matched_surface_form"), r"(?U)\s+", " ").alias("words"))
+    return found.groupBy("doc_id", "sentence_index", "category", "matched_term_lemma").agg(
+        F.count(F.lit(1)).alias("n_matches"), F.min(place)["words"].alias("first_match"), F.max(place)["words"].alias("last_match")
+    )
+
+
 @query(
     "claims_context",
     """-- uses: claims, sents

@@ -1,13 +1,14 @@
 """Turn a list of dimensions into the lookup table the matchers join with.
 
-One row per dimension, first word (``anchor``) and length.  ``rests`` holds the
-continuations after the anchor and ``terms`` the term each belongs to, so a
-text word is looked up once and a phrase costs no extra rows.
+One row per dimension and first word (``anchor``), with the terms that can start
+there.  A term of several words is an automaton over words: a state is left by a
+word together with what stands before it, so the written forms of each word of a
+phrase are listed once and never multiplied.  A text word is looked up once; only
+where it starts a phrase are the words behind it followed, state by state.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -21,13 +22,72 @@ from claimloom.settings.lexicons import GATE, LEMMA_PROFILE, SURFACE_PROFILE, Di
 
 Forms = Mapping[tuple[str, str], frozenset[str]]
 Expander = Callable[[str, str], frozenset[str]]
+Pieces = Callable[[str], list[tuple[str, str]]]
 
-# Beyond this a lexicon is joined by shuffle instead of being broadcast.
+# A table above this size is cut into several, each joined by broadcast on its own.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 _WORD = re.compile(r"[^\W]+", re.UNICODE)
 
 
+@dataclass
+class Automaton:
+    """A term over words.  States are numbers; an arrival is twice the state, plus one
+    where a match may end.
+
+    ``first`` maps the first word to its arrival, ``steps`` every later "state|glue|word".
+    """
+
+    first: dict[str, int]
+    steps: dict[str, int]
+    longest: int
+
+    @property
+    def chained(self) -> bool:
+        """Whether two matches could overlap, so that the leftmost has to be chosen."""
+        return any(key.rpartition("|")[2] in self.first for key in self.steps)
+
+
+def automaton(words: Sequence[frozenset[str]], pieces: Pieces) -> Automaton:
+    """The automaton of a term, given the forms of each of its words.
+
+    ``pieces`` gives a form's words, each with the glue before it (the first one's does not
+    count: words of a term stand apart by white space).  A position is a form begun and
+    how much of it is read; the sets of positions a text can be in are the states.
+    """
+    forms = [sorted({tuple(pieces(form)) for form in some} - {()}) for some in words]
+    if not all(forms):
+        return Automaton({}, {}, 0)
+    begun = [frozenset((w, f, 0) for f in range(len(forms[w]))) for w in range(len(forms))]
+    numbers: dict[frozenset, int] = {begun[0]: 0}
+    todo, first, steps = [begun[0]], {}, {}
+    while todo:
+        here = todo.pop()
+        moves: dict[tuple[str, str], tuple[set, bool]] = {}
+        for word, form, read in here:
+            glue, token = forms[word][form][read]
+            key = (glue if read else " ", token)
+            to, ends = moves.get(key, (set(), False))
+            if read + 1 < len(forms[word][form]):
+                to.add((word, form, read + 1))
+            elif word + 1 < len(forms):
+                to |= begun[word + 1]
+            else:
+                ends = True
+            moves[key] = (to, ends)
+        for (glue, token), (to, ends) in sorted(moves.items(), key=lambda m: m[0]):
+            target = frozenset(to)
+            if target not in numbers:
+                numbers[target] = len(numbers)
+                todo.append(target)
+            arrival = numbers[target] * 2 + ends
+            if here is begun[0]:
+                first[token] = arrival
+            else:
+                steps[f"{numbers[here]}|{glue}|{token}"] = arrival
+    return Automaton(first, steps, sum(max(map(len, some)) for some in forms))
+
+
 @dataclass
 class Lexicon:
     """Rows of the lookup table, with what the planner needs to know."""
@@ -36,35 +96,56 @@ class Lexicon:
     gate: str
     rows: list[dict] = field(default_factory=list)
     descriptions: dict[str, str] = field(default_factory=dict)
+    # Terms whose own matches could overlap; rows name them by their place here.
+    chained: list[Automaton] = field(default_factory=list)
 
     @property
     def max_words(self) -> int:
-        return max((row["n"] for row in self.rows), default=1)
+        return max((t["longest"] for row in self.rows for t in row["terms"]), default=1)
+
+    def _row_size(self, row: dict) -> int:
+        return 64 + 2 * len(row["anchor"]) + sum(
+            96 + 2 * len(t["term"]) + sum(24 + 2 * len(k) for k in t["steps"] or ()) for t in row["terms"]
+        )
 
     @property
     def size_bytes(self) -> int:
-        return sum(
-            64 + 2 * len(row["anchor"]) + sum(2 * len(r) + 64 for r in row["rests"])
-            for row in self.rows
-        )
+        return sum(map(self._row_size, self.rows))
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """The table; broadcast as long as its known size allows."""
+    def frames(self, spark: SparkSession) -> list[DataFrame]:
+        """The table in parts of a size that may be broadcast; mostly one."""
         term = pa.struct(
-            [("term", pa.string()), ("lang", pa.string()), ("term_ord", pa.int32())]
+            [
+                ("term", pa.string()),
+                ("lang", pa.string()),
+                ("term_ord", pa.int32()),
+                ("first", pa.int32()),
+                ("steps", pa.map_(pa.string(), pa.int32())),
+                ("longest", pa.int32()),
+                ("chained", pa.int32()),
+            ]
         )
         schema = pa.schema(
             [
                 ("anchor", pa.string()),
                 ("category", pa.string()),
                 ("cat_ord", pa.int32()),
-                ("n", pa.int32()),
-                ("rests", pa.list_(pa.string())),
+                ("simple", pa.bool_()),
                 ("terms", pa.list_(term)),
             ]
         )
-        table = spark.createDataFrame(pa.Table.from_pylist(self.rows, schema=schema))
-        return F.broadcast(table) if self.size_bytes <= BROADCAST_LIMIT_BYTES else table
+        parts: list[list[dict]] = [[]]
+        held = 0
+        for row in self.rows:
+            size = self._row_size(row)
+            if parts[-1] and held + size > BROADCAST_LIMIT_BYTES:
+                parts.append([])
+                held = 0
+            held += size
+            parts[-1].append(
+                row | {"terms": [t | {"steps": None if t["steps"] is None else list(t["steps"].items())} for t in row["terms"]]}
+            )
+        return [F.broadcast(spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))) for rows in parts]
 
     def description_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
@@ -82,82 +163,68 @@ def _term_words(
     ]
 
 
-def _pieces(form: str) -> tuple[str, str, int]:
-    """Split a form into anchor, canonical rest and number of words."""
+def _written(form: str) -> list[tuple[str, str]]:
+    """The words of a form, each with what stands before it; white space is one blank."""
     found = list(_WORD.finditer(form))
-    anchor = found[0].group()
-    return anchor, form[found[0].end() : found[-1].end()], len(found)
+    before = [""] + [form[a.end() : b.start()] for a, b in zip(found, found[1:])]
+    return [(" " if glue.isspace() else glue, m.group()) for glue, m in zip(before, found)]
+
+
+def _apart(form: str) -> list[tuple[str, str]]:
+    """The parts of a form that stand apart by a blank."""
+    return [(" ", part) for part in form.split(" ") if part]
 
 
 def _collect(
     dimensions: Sequence[Dimension],
-    forms_of: Callable[[str, str], set[str]],
-    pieces: Callable[[str], tuple[str, str, int]],
+    words_of: Callable[[str, str], list[frozenset[str]]],
+    pieces: Pieces,
     matcher: str,
-    check: bool,
 ) -> Lexicon:
     lexicon = Lexicon(matcher, dimensions[0].name)
     for cat_ord, dimension in enumerate(dimensions):
         lexicon.descriptions[dimension.name] = dimension.description
-        winners: dict[tuple[str, int], dict[str, tuple]] = {}
+        starting: dict[str, list[dict]] = {}
         term_ord = 0
         for terms in (dimension.terms, dimension.phrases):
             for lang, listed in terms.items():
                 for term in listed:
-                    split = {pieces(form) for form in forms_of(term, lang)}
-                    if check:
-                        _reject_ambiguous(term, split)
-                    for anchor, rest, n in split:
-                        slot = winners.setdefault((anchor, n), {})
-                        # Words claimed by an earlier term keep that term.
-                        slot.setdefault(rest, (term, lang, term_ord))
+                    built = automaton(words_of(term, lang), pieces)
+                    place = None
+                    # Lemma sequences count by surface form, wherever they stand.
+                    if built.chained and matcher == "surface":
+                        place = len(lexicon.chained)
+                        lexicon.chained.append(built)
+                    for anchor, arrival in built.first.items():
+                        entry = {
+                            "term": term,
+                            "lang": lang,
+                            "term_ord": term_ord,
+                            "first": arrival,
+                            "steps": built.steps or None,
+                            "longest": built.longest,
+                            "chained": place,
+                        }
+                        known = starting.setdefault(anchor, [])
+                        # A single word claimed by an earlier term keeps that term.
+                        if built.longest > 1 or not any(t["longest"] == 1 for t in known):
+                            known.append(entry)
                     term_ord += 1
-        for (anchor, n), rests in sorted(winners.items()):
+        for anchor, found in sorted(starting.items()):
+            simple = len(found) == 1 and found[0]["longest"] == 1
             lexicon.rows.append(
-                {
-                    "anchor": anchor,
-                    "category": dimension.name,
-                    "cat_ord": cat_ord,
-                    "n": n,
-                    "rests": list(rests),
-                    "terms": [
-                        {"term": t, "lang": lang, "term_ord": o}
-                        for t, lang, o in rests.values()
-                    ],
-                }
+                {"anchor": anchor, "category": dimension.name, "cat_ord": cat_ord, "n": max(t["longest"] for t in found), "simple": simple, "terms": found}
             )
     return lexicon
 
 
-def _reject_ambiguous(term: str, split: set[tuple[str, str, int]]) -> None:
-    """A term's own matches must not overlap each other.
-
-    Then matching word by word finds exactly the non-overlapping matches that a
-    left-to-right search finds.
-    """
-    lengths: dict[str, int] = {}
-    for anchor, _, n in split:
-        if lengths.setdefault(anchor, n) != n:
-            raise ValueError(f"forms of {term!r} of different length share a first word")
-    for _, rest, _ in split:
-        if any(word in lengths for word in _WORD.findall(rest)):
-            raise ValueError(f"matches of {term!r} could overlap one another")
-
-
 def surface_lexicon(
     dimensions: Sequence[Dimension] = SURFACE_PROFILE,
     expand: Expander = inflect,
     forms: Forms | None = None,
 ) -> Lexicon:
     """Lexicon for matching written forms: every inflection of every term."""
-
-    def forms_of(term: str, lang: str) -> set[str]:
-        return {
-            " ".join(choice)
-            for choice in itertools.product(*_term_words(term, lang, expand, forms))
-        }
-
-    return _collect(dimensions, forms_of, _pieces, "surface", check=True)
+    return _collect(dimensions, lambda term, lang: _term_words(term, lang, expand, forms), _written, "surface")
 
 
 def lemma_lexicon(
@@ -171,18 +238,7 @@ def lemma_lexicon(
     of the lexicon are expanded to the words that have them: the same hits, and
     no dictionary-sized join against the text.
     """
-
-    def forms_of(term: str, lang: str) -> set[str]:
-        return {
-            " ".join(choice)
-            for choice in itertools.product(*_term_words(term, lang, expand, forms))
-        }
-
-    def pieces(form: str) -> tuple[str, str, int]:
-        parts = form.split(" ")
-        return parts[0], "".join(" " + p for p in parts[1:]), len(parts)
-
-    return _collect(dimensions, forms_of, pieces, "lemma", check=False)
+    return _collect(dimensions, lambda term, lang: _term_words(term, lang, expand, forms), _apart, "lemma")
 
 
-__all__ = ["GATE", "Lexicon", "lemma_lexicon", "surface_lexicon"]
+__all__ = ["GATE", "Automaton", "Lexicon", "automaton", "lemma_lexicon", "surface_lexicon"]

@@ -7,12 +7,17 @@ inside the partition that read the document: no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
 from claimloom.operators.lexicon import Lexicon
 
+Gap = Callable[[Column], Column]  # what stands before the word of a number, as a lexicon names it
+
 DOC_COLUMNS = ("id", "title", "date", "url", "content_type")
 CLAIM_COLUMNS = (
     "doc_id", "doc_title", "doc_date", "doc_url", "content_type", "category",
@@ -43,18 +48,105 @@ def _probe(sents: DataFrame, lexicon: Lexicon) -> DataFrame:
     words = sents.select(
         "*", F.posexplode_outer("_tokens").alias("_at", "_token")
     ).where(F.col("_token").isNotNull())
-    table = lexicon.frame(sents.sparkSession)
-    return words.join(table, F.lower("_token") == F.col("anchor"))
+    key = F.lower("_token") == F.col("anchor")
+    probed = [words.join(part, key) for part in lexicon.frames(sents.sparkSession)]
+    return reduce(DataFrame.unionAll, probed)
 
 
-def _resolve(hits: DataFrame, lexicon: Lexicon, rest: Column) -> DataFrame:
-    """Keep the hits whose following words complete an entry."""
-    where = F.array_position("rests", rest) if lexicon.max_words > 1 else F.lit(1)
-    return (
-        hits.withColumn("_entry", where)
-        .where(F.col("_entry") > 0)
-        .withColumn("_term", F.get("terms", (F.col("_entry") - 1).cast("int")))
-    )
+def _end_from(words: str, at: Column, arrival: Column, steps: Column, longest: Column, gap: Gap) -> Column:
+    """Where the longest match of a term that starts at word ``at`` of an array ends, or null.
+
+    The automaton reads on word by word until no step fits.
+    """
+
+    def step(seen: Column, i: Column) -> Column:
+        key = F.concat_ws("|", F.shiftright(seen["on"], 1).cast("string"), gap(at + i), F.lower(F.get(words, at + i)))
+        on = F.when(seen["on"] >= 0, F.coalesce(F.try_element_at(steps, key), F.lit(-1))).otherwise(F.lit(-1))
+        ends = (on >= 0) & (on % 2 == 1)
+        return F.struct(on.alias("on"), F.when(ends, at + i + 1).otherwise(seen["end"]).alias("end"))
+
+    begin = F.struct(arrival.alias("on"), F.when(arrival % 2 == 1, at + 1).alias("end"))
+    rest = F.when(longest > 1, F.sequence(F.lit(1), longest - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rest, begin, step, lambda seen: seen["end"])
+
+
+def _leftmost(lexicon: Lexicon, gap: Gap) -> Column:
+    """Per term whose matches could overlap: the words its leftmost matches start at.
+
+    One pass over a sentence and term; the starts are filed in runs of words, so that a
+    hit looks through one run only.
+    """
+    none = F.array().cast("array<int>")
+    some = []
+    for term in lexicon.chained:
+        first = F.create_map(*[F.lit(x) for pair in term.first.items() for x in pair])
+        steps = F.create_map(*[F.lit(x) for pair in term.steps.items() for x in pair])
+
+        def choose(seen: Column, at: Column) -> Column:
+            arrival = F.try_element_at(first, F.lower(F.get("_tokens", at)))  # noqa: B023
+            end = _end_from("_tokens", at, arrival, steps, F.lit(term.longest), gap)  # noqa: B023
+            # A run of words is closed at its end, whether a match starts in it or not.
+            full = (at > 0) & (at % _RUN == 0)
+            runs = F.when(full, F.concat(seen["runs"], F.array(seen["run"]))).otherwise(seen["runs"])
+            run = F.when(full, none).otherwise(seen["run"])
+            # The end is looked for only where the word is free and can start a match.
+            end = F.when((at >= seen["free"]) & arrival.isNotNull(), end)
+            return F.struct(
+                F.coalesce(end, seen["free"]).alias("free"),
+                F.when(end.isNotNull(), F.concat(run, F.array(at))).otherwise(run).alias("run"),
+                runs.alias("runs"),
+            )
+
+        begin = F.struct(F.lit(0).alias("free"), none.alias("run"), F.array().cast("array<array<int>>").alias("runs"))
+        at = F.sequence(F.lit(0), F.size("_tokens") - 1)
+        filed = F.aggregate(at, begin, choose, lambda seen: F.concat(seen["runs"], F.array(seen["run"])))
+        met = F.arrays_overlap(F.transform("_tokens", F.lower), F.array(*[F.lit(w) for w in term.first]))
+        some.append(F.when(met, filed))
+    return F.array(*some) if some else F.lit(None).cast("array<array<array<int>>>")
+
+
+def _ahead(hits: DataFrame, lexicon: Lexicon, start: Column) -> DataFrame:
+    """Of the sentence's arrays, what a hit needs: the few words that a term can have.
+
+    Later steps hold many hits of a sentence at once; its arrays must not come with each.
+    """
+    n = F.lit(lexicon.max_words)
+    few = {f"{c}_ahead": F.slice(c, F.col("_at") + 1, n) for c in ("_tokens", "_units") if c in hits.columns}
+    if lexicon.chained:
+        run = F.floor(F.col("_at") / _RUN).cast("int")
+        places = range(len(lexicon.chained))
+        few["_chosen"] = F.array(*[F.array_contains(F.get(F.get("_leftmost", F.lit(k)), run), F.col("_at")) for k in places])
+    return hits.withColumns({**few, "_start": start}).drop("_tokens", "_units", "_before", "_leftmost", "_lead")
+
+
+def _resolve(hits: DataFrame, lexicon: Lexicon, gap: Gap) -> DataFrame:
+    """The matches that start at each hit: ``_term`` with its number of words.
+
+    Of two terms of one dimension with the same words the earlier one counts.
+    """
+
+    def match(t: Column) -> Column:
+        n = _end_from("_tokens_ahead", F.lit(0), t["first"], t["steps"], t["longest"], gap)
+        if lexicon.chained:
+            n = F.when(t["chained"].isNull() | F.get("_chosen", t["chained"]), n)
+        return F.struct(t["term"].alias("term"), t["lang"].alias("lang"), t["term_ord"].alias("term_ord"), n.alias("n"))
+
+    first = F.get("terms", F.lit(0))
+    alone = F.struct(first["term"].alias("term"), first["lang"].alias("lang"), first["term_ord"].alias("term_ord"), F.lit(1).alias("n"))
+    if lexicon.max_words == 1:
+        return hits.withColumn("_term", alone)
+    found = F.filter(F.transform("terms", match), lambda m: m["n"].isNotNull())
+    sizes = F.transform("_found", lambda m: m["n"])
+    distinct = F.filter("_found", lambda m, i: F.array_position(sizes, m["n"]) == i + 1)
+    matched = hits.withColumn("_found", F.when(F.col("simple"), F.array(alone)).otherwise(found))
+    return matched.withColumn("_term", F.explode(distinct)).drop("_found", "terms")
+
+
+def _with_context(sents: DataFrame) -> DataFrame:
+    """The neighbours of each sentence in place of the document's whole array."""
+    before = F.get("_sents", F.col("sentence_index") - 1)
+    after = F.get("_sents", F.col("sentence_index") + 1)
+    return sents.withColumns({"_prev": F.coalesce(before, F.lit("")), "_next": F.coalesce(after, F.lit(""))}).drop("_sents")
 
 
 _RUN = 256  # units whose lengths are summed ahead
@@ -86,8 +178,6 @@ def _length_before(units: str, before: str, glue: str) -> Column:
 
 
 def _claim_fields(index_base: int) -> list[Column]:
-    before = F.get("_sents", F.col("sentence_index") - 1)
-    after = F.get("_sents", F.col("sentence_index") + 1)
     return [
         F.col("id").alias("doc_id"),
         F.col("title").alias("doc_title"),
@@ -100,8 +190,8 @@ def _claim_fields(index_base: int) -> list[Column]:
         F.col("_surface").alias("matched_surface_form"),
         F.col("sentence"),
         (F.col("sentence_index") + index_base).alias("sentence_index"),
-        F.coalesce(before, F.lit("")).alias("context_before"),
-        F.coalesce(after, F.lit("")).alias("context_after"),
+        F.col("_prev").alias("context_before"),
+        F.col("_next").alias("context_after"),
     ]
 
 
@@ -109,45 +199,39 @@ def surface_claims(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Claims for every written form of a term.
 
     Spans are offsets within the sentence.  Where two terms of one dimension
-    cover the same span, the lexicon already names the earlier one.
+    cover the same span, the earlier one counts.  Of a term's own matches that
+    overlap, the leftmost counts, and of those that start together the longest.
     """
     if lexicon.matcher != "surface":
         raise ValueError("surface_claims needs a surface lexicon")
     # Per sentence, once: its words, each word with the gap after it, and the
     # length of what stands before the first word.
     other = r"[^\p{L}\p{N}_]*"
-    sents = sentence_rows(_with_missing(docs)).withColumns(
+    sents = _with_context(sentence_rows(_with_missing(docs))).withColumns(
         {
             "_tokens": F.regexp_extract_all("sentence", F.lit(T.WORD), F.lit(0)),
             "_units": F.regexp_extract_all("sentence", F.lit(T.WORD + other), F.lit(0)),
             "_lead": F.length(F.regexp_extract("sentence", "^" + other, 0)),
         }
     )
-    sents = sents.withColumn("_before", _lengths_before("_units", ""))
-    hits = _probe(sents, lexicon)
+    def gap_in(tokens: str, units: str) -> Gap:
+        def gap(i: Column) -> Column:
+            before = F.get(units, i - 1)
+            between = F.substring(before, F.length(F.get(tokens, i - 1)) + 1, F.length(before))
+            return F.when(between.rlike(r"(?U)^\s+$"), F.lit(" ")).otherwise(between)
 
-    def token(i: int) -> Column:
-        return F.get("_tokens", F.col("_at") + i)
+        return gap
 
-    def gap(i: int) -> Column:
-        """What stands between the word before and this one."""
-        return F.substring(
-            F.get("_units", F.col("_at") + (i - 1)), F.length(token(i - 1)) + 1, F.length(F.get("_units", F.col("_at") + (i - 1)))
-        )
-
-    # Words after the anchor, with any white space between them as one blank.
-    rest = F.lit("")
-    tail = F.lit("")
-    for i in range(1, lexicon.max_words):
-        blank = F.when(gap(i).rlike(r"(?U)^\s+$"), F.lit(" ")).otherwise(gap(i))
-        rest = F.when(F.col("n") > i, F.concat(rest, blank, F.lower(token(i)))).otherwise(rest)
-        tail = F.when(F.col("n") > i, F.concat(tail, gap(i), token(i))).otherwise(tail)
-
-    matched = _resolve(hits, lexicon, rest)
-    start = F.col("_lead") + _length_before("_units", "_before", "")
+    sents = sents.withColumn("_before", _lengths_before("_units", ""))
+    if lexicon.chained:
+        sents = sents.withColumn("_leftmost", _leftmost(lexicon, gap_in("_tokens", "_units")))
+    hits = _ahead(_probe(sents, lexicon), lexicon, F.col("_lead") + _length_before("_units", "_before", ""))
+    matched = _resolve(hits, lexicon, gap_in("_tokens_ahead", "_units_ahead"))
+    n = F.col("_term.n")
+    whole = F.concat(F.array_join(F.slice("_units_ahead", F.lit(1), n - 1), ""), F.get("_tokens_ahead", n - 1))
+    surface = F.when(n == 1, F.col("_token")).otherwise(whole)
     return (
-        matched.withColumn("_surface", F.concat(F.col("_token"), tail))
-        .withColumn("_start", start)
+        matched.withColumn("_surface", surface)
         .select(
             *_claim_fields(0),
             F.col("_start").alias("match_start"),
@@ -179,26 +263,17 @@ def lemma_claims(docs: DataFrame, lexicon: Lexicon, index_base: int = 1) -> Data
             F.regexp_extract_all(s, F.lit(T.ANNOTATED_TOKEN), F.lit(0)), " "
         ),
     )
-    sents = sentence_rows(_with_missing(docs), rebuilt)
+    sents = _with_context(sentence_rows(_with_missing(docs), rebuilt))
     sents = sents.withColumn("_tokens", F.split("sentence", " "))
-    hits = _probe(sents.withColumn("_before", _lengths_before("_tokens", " ")), lexicon)
-
-    rest = F.lit("")
-    tail = F.lit("")
-    for i in range(1, lexicon.max_words):
-        token = F.get("_tokens", F.col("_at") + i)
-        rest = F.when(F.col("n") > i, F.concat(rest, F.lit(" "), F.lower(token))).otherwise(rest)
-        tail = F.when(F.col("n") > i, F.concat(tail, F.lit(" "), token)).otherwise(tail)
-
-    matched = _resolve(hits, lexicon, rest).withColumn(
-        "_surface", F.concat(F.col("_token"), tail)
-    )
+    sents = sents.withColumn("_before", _lengths_before("_tokens", " "))
+    hits = _ahead(_probe(sents, lexicon), lexicon, _length_before("_tokens", "_before", " ") + 1)
+    matched = _resolve(hits, lexicon, lambda i: F.lit(" "))
+    matched = matched.withColumn("_surface", F.array_join(F.slice("_tokens_ahead", F.lit(1), F.col("_term.n")), " "))
     # Only the first occurrence of a surface form in its sentence counts.
-    here = _length_before("_tokens", "_before", " ") + 1
     padded = F.concat(F.lit(" "), F.col("sentence"), F.lit(" "))
     first = F.instr(padded, F.concat(F.lit(" "), F.col("_surface"), F.lit(" ")))
-    phrase = (F.col("n") > 1).cast("int")
-    return matched.where(first == here).select(
+    phrase = (F.col("_term.n") > 1).cast("int")
+    return matched.where(first == F.col("_start")).select(
         *_claim_fields(index_base),
         "cat_ord",
         F.col("_term.term_ord").alias("term_ord"),

@@ -105,9 +105,63 @@ def test_one_sentence_of_many_words(spark):
     assert all(text.strip()[r["match_start"] : r["match_end"]] == r["matched_surface_form"] for r in rows)
 
 
-def test_ambiguous_terms_are_refused():
-    with pytest.raises(ValueError):
-        L.surface_lexicon((Dimension("c", "", {"a": ("ho ho",)}, {}),), expand=same)
+def found_and_searched(spark, texts, dimensions, expand):
+    docs = [(f"d{i}", "t", None, "u", "speech", t) for i, t in enumerate(texts)]
+    found = M.surface_claims(spark.createDataFrame(docs, SCHEMA), L.surface_lexicon(dimensions, expand=expand))
+    mine = sorted(tuple(r[f] for f in FIELDS) for r in found.collect())
+    return mine, sorted(searched(docs, dimensions, expand))
+
+
+def test_overlapping_terms_are_leftmost(spark):
+    """Terms that can overlap themselves are found as a left-to-right search finds them."""
+    dims = (
+        Dimension("c", "", {"a": ("ho ho", "day by day", "ho"), "b": ("day by", "ho ho")}, {}),
+        Dimension("e", "", {"a": ("a b a b a", "b a", "by day by")}, {}),
+    )
+    texts = [
+        "Ho ho ho ho ho said the tall man. And ho, ho ho; then ho ho.",
+        "Day by day by day by day  by day and by day by night.",
+        "A b a b a b a b a b a b, b a b a b a in all of it.",
+        "Ho " * 700 + "day by " * 700 + "day.",
+    ]
+    mine, theirs = found_and_searched(spark, texts, dims, same)
+    assert mine == theirs and len(mine) > 1000
+
+
+def test_phrases_of_four_inflected_words(spark):
+    """Thirty forms a word: 120 entries, where their products would be 810,000 a term."""
+    endings = ["", *[a + b for a in "aeiou" for b in "stnrl"], "x", "-ed", "-ed-ly", "'s"]
+    expand = lambda word, lang: frozenset(word + e for e in endings)
+    dims = (
+        Dimension("c", "", {"a": ("kor mel tib san", "kor mel", "kor"), "b": ("mel kor mel kor",)}, {}),
+        Dimension("e", "", {"a": ("tib",)}, {}),
+    )
+    lexicon = L.surface_lexicon(dims, expand=expand)
+    assert len(endings) >= 30 and lexicon.size_bytes < 2_000_000
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        words = [rng.choice(["kor", "mel", "tib", "san"]) + rng.choice(endings) for _ in range(60)]
+        texts.append("".join(w + rng.choice([" ", " ", "  ", " ", " ", ", ", "-"]) for w in words) + "end of it.")
+    mine, theirs = found_and_searched(spark, texts, dims, expand)
+    assert mine == theirs and any(len(r[4].split()) == 4 for r in mine)
+
+
+def test_automaton_shares_forms():
+    built = L.automaton([frozenset({"day", "day-by-night", "day-off"}), frozenset({"work"})], L._written)
+    assert built.longest == 4 and len(built.steps) == 5 and not built.chained
+    assert L.automaton([frozenset({"a"}), frozenset()], L._written).first == {}
+    assert L.automaton([frozenset({"a", "b"}), frozenset({"b"})], L._written).chained
+
+
+def test_large_lexicon_is_joined_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS, SCHEMA)
+    lexicon = L.surface_lexicon()
+    whole = sorted(tuple(r[f] or "" for f in FIELDS) for r in M.surface_claims(docs, lexicon).collect())
+    monkeypatch.setattr(L, "BROADCAST_LIMIT_BYTES", lexicon.size_bytes // 3)
+    found = M.surface_claims(docs, lexicon)
+    assert len(lexicon.frames(spark)) > 2
+    assert sorted(tuple(r[f] or "" for f in FIELDS) for r in found.collect()) == whole
 
 
 def lemma_model(docs, dimensions, lemma_of):

@@ -82,20 +82,16 @@ def test_spread_only_where_the_session_asks(spark):
     spark.conf.set(layout.SPREAD, before) if before else spark.conf.unset(layout.SPREAD)
 
 
-def test_a_large_lexicon_is_not_broadcast(spark, corpus, monkeypatch):
+def test_a_large_lexicon_is_broadcast_in_parts(spark, corpus, monkeypatch):
+    """Beyond the limit the table is cut; word rows are still not shuffled."""
     from claimloom.operators import lexicon
 
-    monkeypatch.setattr(lexicon, "BROADCAST_LIMIT_BYTES", 0)
-    monkeypatch.setattr(lexicon.F, "broadcast", lambda df: pytest.fail("broadcast"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        found = matching.surface_claims(corpus, base.study_lexicon())
-        assert "SortMergeJoin" in plan(found)
-        n = found.count()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
-    monkeypatch.undo()
-    assert n == matching.surface_claims(corpus, base.study_lexicon()).count() > 0
+    whole = matching.surface_claims(corpus, base.study_lexicon()).count()
+    monkeypatch.setattr(lexicon, "BROADCAST_LIMIT_BYTES", 400)
+    assert len(base.study_lexicon().frames(spark)) > 1
+    found = matching.surface_claims(corpus, base.study_lexicon())
+    assert "SortMergeJoin" not in plan(found) and "Union" in plan(found)
+    assert found.count() == whole > 0
 
 
 def test_numbers_are_exact_under_skew(spark):
