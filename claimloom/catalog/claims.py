@@ -20,7 +20,6 @@ from claimloom.catalog.base import (
 )
 from claimloom.functions import text as T
 from claimloom.operators import matching, reports, sampling
-from claimloom.plans.layout import number_rows
 from claimloom.settings import fixed
 from claimloom.sources.corpus import find_document, list_documents
 
@@ -142,7 +141,7 @@ def claims_context(spark, sf):
 def claim_numbers(spark, sf):
     """Claims numbered over the whole corpus in search order."""
     narrow = study_claims(spark, sf).select(*matching.CLAIM_ORDER, "category", "match_start")
-    return number_rows(narrow, matching.CLAIM_ORDER, "claim_id").select(
+    return matching.claim_numbers(narrow, study_lexicon()).select(
         "claim_id", "doc_id", "category", "sentence_index", "match_start"
     )
 

@@ -12,9 +12,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimloom.functions import text as T
 from claimloom.operators.lexicon import Lexicon
+from claimloom.plans.layout import prefix_sums
 
 Gap = Callable[[Column], Column]  # what stands before the word of a number, as a lexicon names it
 
@@ -306,6 +308,22 @@ def claim_order(lexicon: Lexicon) -> list[str]:
     return ["doc_id", "seen_at", "cat_ord", "term_ord", "sentence_index", "token_index"]
 
 
+def claim_numbers(found: DataFrame, lexicon: Lexicon, name: str = "claim_id") -> DataFrame:
+    """Claims numbered 1..N over the whole corpus, in the order in which they are found.
+
+    A claim's number is its place in its document plus the number of claims of all
+    documents before: the places need one exchange by document, the sums one row per
+    document.  Give it the columns that are wanted; it orders by those of
+    ``claim_order``, and nothing else is exchanged.
+    """
+    within = [c for c in claim_order(lexicon) if c != "doc_id"]
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*within))
+    per_doc = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    before = prefix_sums(per_doc, ["doc_id"], "_n", "_earlier").select(F.col("doc_id").alias("_doc"), "_earlier")
+    numbered = found.withColumn("_place", place).join(before, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return numbered.withColumn(name, F.col("_earlier") + F.col("_place")).drop("_doc", "_earlier", "_place")
+
+
 def document_results(docs: DataFrame, found: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row per document: its dimensions, terms, counts and relevance flag.
 

@@ -1,17 +1,20 @@
 """Packing documents, in order, into batches of limited size.
 
 A batch is closed when the next document would exceed the limit, so each
-document's batch depends on all documents before it.  The rows are cut into
-ordered ranges; each range reports how it would continue from any fill it may
-be entered with (a short list, bounded by the batch limit); composing those
-lists range by range gives every range its true entry, and the ranges are then
-packed independently.
+document's batch depends on all documents before it.  What a stretch of documents does
+is a *fill map*: for every fill it may be entered with, how many batches it closes and the
+fill it leaves.  Fill maps are step functions with at most limit + 1 steps, however many
+documents they stand for, and following one by another is a fill map again: an
+associative operation.  Documents are cut into ordered ranges; a task folds its range's map
+block by block, the maps of ranges are merged as a tree on the workers, and the tree is
+walked back down to give every range its true entry.  The ranges are then packed
+independently.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +24,11 @@ from claimloom.functions import text as T
 from claimloom.plans.layout import cut_lineage, written
 from claimloom.settings import fixed
 
+BLOCK = 4_096  # documents whose fill map is made at once
+FANOUT = 32  # fill maps merged by one task of the tree
+OPEN = -1  # marks entries with which no batch is closed: the stretch's size is added
+Steps = list[tuple[int, int, int]]
+
 
 def packed_size(tokens: Column, limit: int = fixed.MAX_BATCH_TOKENS) -> Column:
     """Size that counts for packing: oversize documents count as 90 %."""
@@ -34,10 +42,11 @@ def capped_body(body: Column, tokens: Column, limit: int = fixed.MAX_BATCH_TOKEN
     return F.when(tokens > cap, F.concat(kept, F.lit(fixed.TRUNCATED_MARK))).otherwise(body)
 
 
-def _continuations(sizes: list[int], limit: int) -> list[tuple[int, int, int]]:
-    """``(highest entry fill, batches closed, exit fill)`` per class of entries.
+def fill_map(sizes: list[int], limit: int) -> Steps:
+    """``(highest entry fill, batches closed, exit fill)`` of a stretch, ascending.
 
-    Entries that close their first batch at the same document continue alike.
+    Entries that close their first batch at the same document continue alike.  With the
+    first step, where it is open, all documents still fit.
     """
     n = len(sizes)
     closed, fill = [0] * (n + 1), [0] * (n + 1)
@@ -51,25 +60,108 @@ def _continuations(sizes: list[int], limit: int) -> list[tuple[int, int, int]]:
             closed[i], fill[i] = 0, prefix[n] - prefix[i]
         else:
             closed[i], fill[i] = closed[stop] + 1, fill[stop]
-    classes = []
+    steps: Steps = []
     for stop in range(n + 1):
         # Entered with at most this fill, the first documents still fit.
         highest = limit - prefix[stop]
         if highest < 0:
             break
         if stop == n:
-            classes.append((highest, -1, prefix[n]))
+            steps.append((highest, OPEN, prefix[n]))
         elif sizes[stop] > 0:
-            classes.append((highest, closed[stop] + 1, fill[stop]))
-    return classes
+            steps.append((highest, closed[stop] + 1, fill[stop]))
+    return _joined(reversed(steps))
+
+
+def _joined(steps: Iterable[tuple[int, int, int]]) -> Steps:
+    """Ascending steps without those that do what the next one does."""
+    out: Steps = []
+    for step in steps:
+        if out and step[0] <= out[-1][0]:
+            continue  # no entry is left for it
+        if out and out[-1][1:] == step[1:]:
+            out[-1] = step
+        else:
+            out.append(step)
+    return out
+
+
+def enter(steps: Steps, fill: int) -> tuple[int, int]:
+    """Batches closed and exit fill of a stretch entered with ``fill``."""
+    lo, hi = 0, len(steps)
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (mid + 1, hi) if steps[mid][0] < fill else (lo, mid)
+    if lo == len(steps):
+        raise ValueError("entry fill above the limit")
+    _, closed, out = steps[lo]
+    return (0, fill + out) if closed == OPEN else (closed, out)
+
+
+def followed(first: Steps, second: Steps) -> Steps:
+    """The fill map of one stretch after another."""
+    out: Steps = []
+    for highest, closed, fill in first:
+        if closed == OPEN:
+            # The second is entered with the fill plus the first one's size.
+            for top, more, left in second:
+                shifted = min(highest, top - fill)
+                if shifted >= 0:
+                    out.append((shifted, OPEN, fill + left) if more == OPEN else (shifted, more, left))
+        else:
+            more, left = enter(second, fill)
+            out.append((highest, closed + more, left))
+    return _joined(out)
+
+
+_MAP = "node long, highest array<long>, closed array<long>, fill array<long>"
+_ENTRY = "node long, batch long, fill long"
+
+
+def _steps_of(row: pd.Series) -> Steps:
+    return [(int(a), int(b), int(c)) for a, b, c in zip(row["highest"], row["closed"], row["fill"])]
 
 
-def _enter(classes: list[tuple[int, int, int]], fill: int) -> tuple[int, int]:
-    """Batches closed and exit fill of a range entered with ``fill``."""
-    for highest, closed, out in reversed(classes):
-        if fill <= highest:
-            return (0, fill + out) if closed == -1 else (closed, out)
-    raise ValueError("entry fill above the limit")
+def _map_row(node: int, steps: Steps) -> pd.DataFrame:
+    highest, closed, fill = (list(c) for c in zip(*steps))
+    return pd.DataFrame({"node": [node], "highest": [highest], "closed": [closed], "fill": [fill]})
+
+
+def _merge(key: tuple, maps: pd.DataFrame) -> pd.DataFrame:
+    """The fill map of up to ``FANOUT`` neighbours, in order."""
+    steps: Steps | None = None
+    for _, row in maps.sort_values("node").iterrows():
+        own = _steps_of(row)
+        steps = own if steps is None else followed(steps, own)
+    return _map_row(int(key[0]), steps)
+
+
+def _descend(key: tuple, maps: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+    """The entries of a node's children, from its own."""
+    batch, fill = int(entry["batch"].iloc[0]), int(entry["fill"].iloc[0])
+    rows = []
+    for _, row in maps.sort_values("node").iterrows():
+        rows.append((int(row["node"]), batch, fill))
+        closed, fill = enter(_steps_of(row), fill)
+        batch += closed
+    return pd.DataFrame(rows, columns=["node", "batch", "fill"])
+
+
+def entries(maps: DataFrame, nodes: int) -> DataFrame:
+    """For each of ``maps(node, ...)`` the batch and the fill it is entered with.
+
+    Maps are merged by parent until one parent is left, and entries are handed down the same
+    levels; no task sees more than ``FANOUT`` maps, and the driver sees none.
+    """
+    parent = F.floor(F.col("node") / FANOUT).cast("long").alias("node")
+    levels = [maps]
+    while nodes > FANOUT:
+        levels.append(written(levels[-1].groupBy(parent).applyInPandas(_merge, _MAP)))
+        nodes = -(-nodes // FANOUT)
+    found = maps.sparkSession.createDataFrame([(0, 1, 0)], _ENTRY)
+    for level in reversed(levels):
+        found = level.groupBy(parent).cogroup(found.groupBy("node")).applyInPandas(_descend, _ENTRY)
+    return found
 
 
 def assign_batches(
@@ -96,27 +188,18 @@ def assign_batches(
     fixed_ranges = cut_lineage(ranged)
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b[["_range", size]] for b in batches]
-        rows = pd.concat(frames) if frames else pd.DataFrame()
-        if len(rows):
-            classes = _continuations([int(s) for s in rows[size]], limit)
-            frame = pd.DataFrame(classes, columns=["highest", "closed", "fill"])
-            yield frame.assign(range=int(rows["_range"].iloc[0]))[
-                ["range", "highest", "closed", "fill"]
-            ]
-
-    # A few rows per range, whatever the number of documents.
-    reports = fixed_ranges.mapInPandas(
-        report, "range int, highest bigint, closed bigint, fill bigint"
-    ).collect()
-    by_range: dict[int, list[tuple[int, int, int]]] = {}
-    for r in reports:
-        by_range.setdefault(r["range"], []).append((r["highest"], r["closed"], r["fill"]))
-    entries, batch, fill = {}, 1, 0
-    for index in sorted(by_range):
-        entries[index] = (batch, fill)
-        closed, fill = _enter(sorted(by_range[index], reverse=True), fill)
-        batch += closed
+        node, steps = None, None
+        for rows in batches:
+            for at in range(0, len(rows), BLOCK):
+                own = fill_map([int(s) for s in rows[size].iloc[at : at + BLOCK]], limit)
+                node = int(rows["_range"].iloc[0])
+                steps = own if steps is None else followed(steps, own)
+        if steps is not None:
+            yield _map_row(node, steps)
+
+    maps = written(fixed_ranges.select("_range", size).mapInPandas(report, _MAP))
+    # One row a range: its number, a batch and a fill.
+    entered = {r["node"]: (r["batch"], r["fill"]) for r in entries(maps, n).collect()}
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, used = None, 0
@@ -124,7 +207,7 @@ def assign_batches(
             if not len(rows):
                 continue
             if number is None:
-                number, used = entries[int(rows["_range"].iloc[0])]
+                number, used = entered[int(rows["_range"].iloc[0])]
             numbers = []
             for s in rows[size]:
                 if used and used + int(s) > limit:

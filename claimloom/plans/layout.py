@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the row number in these bits
 
@@ -39,7 +40,7 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(int(n), key) if key else df.repartition(int(n))
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate results.
 
     Only a local session that names none, as in tests, gets a folder of its own.
@@ -55,7 +56,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint the rows; partitions and the order within them stay."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -64,7 +65,7 @@ def written(df: DataFrame) -> DataFrame:
 
     Later steps read only the columns they need.
     """
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -107,3 +108,27 @@ def number_rows(
         .withColumn(name, F.col("_before") + within + 1)
         .drop("_part", "_before", "_slot")
     )
+
+
+def prefix_sums(df: DataFrame, order: Sequence[str], value: str, name: str, rows_per_range: int = 1_000_000) -> DataFrame:
+    """``name``: the sum of ``value`` over all rows before each row in the given order.
+
+    In two levels: sums within ranges by a window over each range, and one total a range.
+    The rows are written once, with their range; the order must tell rows apart.
+    """
+    fixed = written(df)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fixed.count() // rows_per_range))
+    ranged = written(fixed.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    # One row per range, whatever the number of rows.
+    offsets, total = [], 0
+    for part, held in sorted(ranged.groupBy("_range").agg(F.sum(value)).collect()):
+        offsets.append((part, total))
+        total += held or 0
+    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_range int, _before bigint")
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return (
+        summed.join(F.broadcast(table), "_range")
+        .withColumn(name, F.col("_before") + F.col("_within"))
+        .drop("_range", "_before", "_within")
+    )

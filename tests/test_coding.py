@@ -189,6 +189,55 @@ def test_packing_equals_the_sequential_fold(spark):
         assert [r["batch"] for r in sorted(got, key=lambda r: r["id"])] == greedy(sizes, 1000)
 
 
+def _folded(sizes, fill, limit):
+    closed = 0
+    for size in sizes:
+        if fill and fill + size > limit:
+            closed, fill = closed + 1, 0
+        fill += size
+    return closed, fill
+
+
+def test_fill_maps_compose_like_the_fold():
+    rng = random.Random(12)
+    for _ in range(150):
+        limit = rng.choice([1, 7, 30, 100])
+        parts = [[rng.choice([0, 1, rng.randint(0, limit)]) for _ in range(rng.randint(0, 12))] for _ in range(3)]
+        a, b, c = (packing.fill_map(p, limit) for p in parts)
+        left, right = packing.followed(packing.followed(a, b), c), packing.followed(a, packing.followed(b, c))
+        whole = packing.fill_map(sum(parts, []), limit)
+        for fill in range(limit + 1):
+            want = _folded(sum(parts, []), fill, limit)
+            assert packing.enter(left, fill) == packing.enter(right, fill) == packing.enter(whole, fill) == want
+        assert len(left) <= limit + 1
+
+
+def test_fill_maps_are_bounded_by_the_limit():
+    """A million documents of one token are as many steps as the limit allows, not a million."""
+    steps = None
+    for _ in range(1_000_000 // packing.BLOCK):
+        own = packing.fill_map([1] * packing.BLOCK, 20_000)
+        steps = own if steps is None else packing.followed(steps, own)
+        assert len(steps) <= 20_001
+    n = 1_000_000 // packing.BLOCK * packing.BLOCK
+    assert packing.enter(steps, 0) == ((n - 1) // 20_000, (n - 1) % 20_000 + 1)
+
+
+def test_packing_through_a_tree_of_ranges(spark, monkeypatch):
+    """More ranges than one task of the tree merges, and many tiny documents."""
+    monkeypatch.setattr(packing, "FANOUT", 3)
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    docs = spark.range(5000).select(F.format_string("d%05d", "id").alias("id"), (F.col("id") * 7919 % 4).alias("packed_tokens"))
+    got = {r["id"]: r["batch"] for r in packing.assign_batches(docs, ["id"], limit=97, partitions=20).collect()}
+    batch, used = 1, 0
+    for i in range(5000):
+        size = i * 7919 % 4
+        if used and used + size > 97:
+            batch, used = batch + 1, 0
+        used += size
+        assert got[f"d{i:05d}"] == batch
+
+
 def test_packing_example_and_oversize(spark):
     sizes = [30000, 40000, 20000, 75000, 10000]
     docs = spark.createDataFrame([(str(i), s) for i, s in enumerate(sizes)], "id string, t int")

@@ -136,3 +136,27 @@ def test_functions_reach_workers_that_lack_the_package(sf, tmp_path):
     )
     assert done.returncode == 0, done.stderr[-2000:]
     assert "batch_pack 200" in done.stdout
+
+
+def test_claim_numbers_exchange_no_sentence(corpus):
+    narrow = matching.surface_claims(corpus, base.study_lexicon()).select(*matching.CLAIM_ORDER, "match_start")
+    numbered = matching.claim_numbers(narrow, base.study_lexicon())
+    text = plan(numbered)
+    ids = sorted(r[0] for r in numbered.select("claim_id").collect())
+    assert ids == list(range(1, len(ids) + 1)) and ids
+    assert "rangepartitioning" not in text
+    for line in text.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "sentence#" not in line and "body_text" not in line
+    widths = [f.name for f in numbered.schema]
+    assert widths == [*matching.CLAIM_ORDER, "match_start", "claim_id"]
+
+
+def test_prefix_sums(spark):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("k"), (F.col("id") % 5).alias("v"))
+    got = sorted((r.k, r.v, r.s) for r in layout.prefix_sums(rows, ["k"], "v", "s", rows_per_range=100).collect())
+    total = 0
+    for _, v, s in got:
+        assert s == total
+        total += v
+    assert layout.prefix_sums(rows.where("false"), ["k"], "v", "s").count() == 0
