@@ -397,7 +397,6 @@ PREPARATION = {
     "stems": STEMS,
     "curated": ("src1",),
     "line_patterns": (r"^\s*$", r"^(The|Les|Der|La)\s"),
-    "max_words": 120,
 }
 
 
@@ -408,6 +407,10 @@ def _prepared(spark, sf):
 _BREAKS = r"""regexp_replace(regexp_replace({0}, '([.!?\n])\s+([А-ЯІЇЄҐA-Z"])', '\1' || chr(1) || '\2', 'g'),
     '([.!?\n])\s+([А-ЯІЇЄҐA-Z"])', '\1' || chr(1) || '\2', 'g')"""
 
+_MOST_WORDS = int(fixed.MAX_WORDS * 1.5)
+_CAP = int(fixed.MAX_BATCH_TOKENS * fixed.OVERSIZE_SHARE)
+_CAP_WORDS = int(_CAP / fixed.TOKENS_PER_WORD)
+
 _SECTIONS = f"""
     cleaned AS (SELECT id, title, coalesce(date, 'unknown') AS date, source, content_type,
         trim(regexp_replace(array_to_string(list_filter(string_split(body_text, chr(10)),
@@ -420,7 +423,7 @@ _SECTIONS = f"""
         FROM (SELECT *, title || ' ' || text AS t FROM cleaned WHERE length(text) >= 100)
         WHERE source = 'src1' OR {_DISTINCT} >= 2 OR {_TOTAL} >= 3),
     lines AS (SELECT id, unnest(parts) AS part, unnest(range(len(parts))) AS i, len(parts) AS n
-        FROM kept WHERE len(words) > 120),
+        FROM kept WHERE len(words) > {fixed.MAX_WORDS}),
     flagged AS (SELECT *, max(CAST({_ANY_STEM.format('part')} AS INTEGER)) OVER (PARTITION BY id ORDER BY i
         ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS keep FROM lines),
     runs AS (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run
@@ -430,10 +433,10 @@ _SECTIONS = f"""
         FROM runs GROUP BY id, run),
     joined AS (SELECT id, string_agg(s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY first) AS s
         FROM sections GROUP BY id),
-    shortened AS (SELECT k.*, CASE WHEN len(words) <= 120 THEN text
-        WHEN j.s IS NULL THEN array_to_string(words[1:120], ' ')
-        WHEN len(regexp_extract_all(j.s, '\\S+')) > 180
-            THEN array_to_string(regexp_extract_all(j.s, '\\S+')[1:180], ' ')
+    shortened AS (SELECT k.*, CASE WHEN len(words) <= {fixed.MAX_WORDS} THEN text
+        WHEN j.s IS NULL THEN array_to_string(words[1:{fixed.MAX_WORDS}], ' ')
+        WHEN len(regexp_extract_all(j.s, '\\S+')) > {_MOST_WORDS}
+            THEN array_to_string(regexp_extract_all(j.s, '\\S+')[1:{_MOST_WORDS}], ' ')
                 || chr(10) || '[... TRUNCATED ...]'
         ELSE j.s END AS body FROM kept k LEFT JOIN joined j ON k.id = j.id),
     prep AS (SELECT id, title, date, source, content_type, '' AS speaker_attribution, body,
@@ -472,7 +475,7 @@ def _sized(spark, sf):
         F.col("doc_id").cast("string").alias("id"),
         F.coalesce(study_date(F.col("doc_id")), F.lit("unknown")).alias("date"),
         tokens.alias("tokens_est"),
-        packing.packed_size(tokens, 20000).alias("packed_tokens"),
+        packing.packed_size(tokens).alias("packed_tokens"),
     )
 
 
@@ -483,26 +486,26 @@ _FOLDED = r"""
     sums AS (SELECT *, CAST(sum(packed_tokens) OVER (ORDER BY rn) AS BIGINT) AS upto FROM numbered),
     folded AS (SELECT list_reduce(list_prepend({'b': 1::BIGINT, 'f': 0::BIGINT, 'out': []::BIGINT[]},
             list(struct_pack(b := 0::BIGINT, f := packed_tokens, out := []::BIGINT[]) ORDER BY rn)),
-            lambda acc, x: CASE WHEN acc.f > 0 AND acc.f + x.f > 20000
+            lambda acc, x: CASE WHEN acc.f > 0 AND acc.f + x.f > LIMIT
                 THEN {'b': acc.b + 1, 'f': x.f, 'out': list_append(acc.out, acc.b + 1)}
                 ELSE {'b': acc.b, 'f': acc.f + x.f, 'out': list_append(acc.out, acc.b)} END) AS r
         FROM sums),
-    packed AS (SELECT n.*, (SELECT r.out FROM folded)[n.rn] AS batch FROM numbered n)"""
+    packed AS (SELECT n.*, (SELECT r.out FROM folded)[n.rn] AS batch FROM numbered n)""".replace("LIMIT", str(fixed.MAX_BATCH_TOKENS))
 
 
 _PACKED = r"""-- uses: tcorpus
     , sized AS (SELECT id, coalesce(date, 'unknown') AS date,
             CAST(trunc(len(regexp_extract_all(body_text, '\S+')) * 3.5) AS INTEGER) AS tokens_est
         FROM tcorpus),
-    numbered AS (SELECT *, CAST(least(tokens_est, 18000) AS BIGINT) AS packed_tokens,
-            row_number() OVER (ORDER BY date, id) AS rn FROM sized),""" + _FOLDED
+    numbered AS (SELECT *, CAST(least(tokens_est, CAP) AS BIGINT) AS packed_tokens,
+            row_number() OVER (ORDER BY date, id) AS rn FROM sized),""".replace("CAP", str(_CAP)) + _FOLDED
 
 
 @query("batch_pack", _PACKED + "\n    SELECT id, date, packed_tokens, batch FROM packed")
 def batch_pack(spark, sf):
-    """Batches filled in date order up to 20,000 tokens."""
+    """Batches filled in date order up to the coders' limit of tokens."""
     rows = _sized(spark, sf).drop("tokens_est")
-    return packing.assign_batches(rows, ["date", "id"], limit=20000)
+    return packing.assign_batches(rows, ["date", "id"])
 
 
 @query(
@@ -515,7 +518,7 @@ def batch_pack(spark, sf):
 )
 def batch_manifest(spark, sf):
     rows = _sized(spark, sf)
-    batches = packing.assign_batches(rows.drop("tokens_est"), ["date", "id"], limit=20000)
+    batches = packing.assign_batches(rows.drop("tokens_est"), ["date", "id"])
     sizes = rows.select("id", "tokens_est")
     return packing.manifest(batches.join(sizes, "id"), ["date"])
 
@@ -540,29 +543,29 @@ def prepared_by_source(spark, sf):
     "batch_texts",
     rf"""-- uses: tcorpus
     , {_SECTIONS},
-    numbered AS (SELECT *, CAST(least(tokens_est, 540) AS BIGINT) AS packed_tokens,
+    numbered AS (SELECT *, CAST(least(tokens_est, {_CAP}) AS BIGINT) AS packed_tokens,
             row_number() OVER (ORDER BY date, id) AS rn FROM prep),"""
-    + _FOLDED.replace("20000", "600")
+    + _FOLDED
     + rf"""
     SELECT batch, 'batch_' || CASE WHEN batch < 100 THEN lpad(CAST(batch AS VARCHAR), 2, '0')
             ELSE CAST(batch AS VARCHAR) END || '.txt' AS file,
         'BATCH ' || batch || ' — ' || count(*) || ' documents' || chr(10) || repeat('=', 60) || chr(10) || chr(10)
         || string_agg('=== DOC ' || id || ' | ' || date || ' | ' || source || ' | ' || title || ' ===' || chr(10)
-            || CASE WHEN tokens_est > 540
-                THEN array_to_string(regexp_extract_all(body, '\S+')[1:154], ' ') || {_MARK}
+            || CASE WHEN tokens_est > {_CAP}
+                THEN array_to_string(regexp_extract_all(body, '\S+')[1:{_CAP_WORDS}], ' ') || {_MARK}
                 ELSE body END, chr(10) || chr(10) ORDER BY rn) AS text
     FROM packed GROUP BY batch""",
 )
 def batch_texts(spark, sf):
     """The text handed to a coder, one per batch; bodies beyond the limit are cut."""
-    tokens, limit = F.col("tokens_est"), 600
+    tokens = F.col("tokens_est")
     rows = _prepared(spark, sf).withColumns(
         {
-            "packed_tokens": packing.packed_size(tokens, limit),
-            "body": packing.capped_body(F.col("body"), tokens, limit),
+            "packed_tokens": packing.packed_size(tokens),
+            "body": packing.capped_body(F.col("body"), tokens),
         }
     )
     batches = packing.assign_batches(
-        rows.select("id", "date", "packed_tokens"), ["date", "id"], limit=limit
+        rows.select("id", "date", "packed_tokens"), ["date", "id"]
     )
     return packing.rendered_batches(rows.join(batches.select("id", "batch"), "id"), ["date"])
