@@ -55,3 +55,37 @@ def test_claims_of_arriving_documents_and_their_codes(spark, tmp_path):
     codes = {r["claim_id"]: r["is_securitising"] for r in spark.read.parquet(progress).collect()}
     assert codes == {1: True, 2: None}
     assert spark.read.parquet(progress).count() == 2
+
+
+def test_known_ids_are_state_and_the_store_is_not_read(spark, tmp_path):
+    """Restarts go on from the checkpoint; each run reads the new files alone."""
+    inbox, store, marks = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "marks")
+    inbox.mkdir()
+    seed = str(tmp_path / "seed")
+    spark.createDataFrame([("old",)], "id string").write.parquet(seed)
+    read, size = [], 0
+    for run in range(3):
+        for n in range(4):
+            put(inbox, f"{run}-{n}.json", {"id": f"d{run * 3 + n}", "url": f"u{run}", "body_text": f"текст {run} {n}"})
+        put(inbox, f"{run}-x.json", {"id": "old", "url": "u", "body_text": "уже є"})
+        held = spark.readStream.schema("id string").parquet(seed)
+        query = arrivals.append_new_documents(arrivals.arriving_documents(spark, str(inbox)), store, marks, held)
+        query.awaitTermination()
+        read.append(sum(p["numInputRows"] for p in query.recentProgress))
+        size = spark.read.parquet(store).count()
+        assert size == 4 + 3 * run
+    assert read == [6, 5, 5]  # the mark is read once, the store never
+    found = {r.id: r.url for r in spark.read.parquet(store).collect()}
+    assert "old" not in found and found["d3"] == "u0" and found["d6"] == "u1"
+
+
+def test_first_of_a_batch_comes_in_order(spark, tmp_path):
+    """Of rows of one id in one batch the first in order stays, numbers by value."""
+    folder = str(tmp_path / "rows")
+    rows = [("a", "f", 10, "ten"), ("a", "f", 9, "nine"), ("b", "g", 1, "g"), ("b", "f", 2, "f")]
+    spark.createDataFrame(rows, "id string, file_name string, seq int, body string").coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema("id string, file_name string, seq int, body string").parquet(folder)
+    fresh = arrivals.first_arrivals(stream, ["id"], ["file_name", "seq"])
+    query = fresh.writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "m")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r.id, r.body) for r in spark.table("fresh").collect()) == [("a", "nine"), ("b", "f")]
