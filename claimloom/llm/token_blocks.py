@@ -21,6 +21,7 @@ form a stream, which `read_stream` reads back.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import struct
 import zlib
@@ -336,6 +337,7 @@ class WordIds:
     """
 
     def __init__(self, path: str, most: int = 250_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads only cost
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
