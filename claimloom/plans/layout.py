@@ -25,7 +25,7 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     )
 
 
-SPREAD = "claimloom.scan.partitions"
+SPREAD = "spark.claimloom.scan.partitions"
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
