@@ -137,6 +137,9 @@ def _resolve(hits: DataFrame, lexicon: Lexicon, gap: Gap) -> DataFrame:
     alone = F.struct(first["term"].alias("term"), first["lang"].alias("lang"), first["term_ord"].alias("term_ord"), F.lit(1).alias("n"))
     if lexicon.max_words == 1:
         return hits.withColumn("_term", alone)
+    if all(len(row["terms"]) == 1 for row in lexicon.rows):
+        only = F.when(F.col("simple"), alone).otherwise(match(first))
+        return hits.withColumn("_term", only).where(F.col("_term.n").isNotNull()).drop("terms")
     found = F.filter(F.transform("terms", match), lambda m: m["n"].isNotNull())
     sizes = F.transform("_found", lambda m: m["n"])
     distinct = F.filter("_found", lambda m, i: F.array_position(sizes, m["n"]) == i + 1)
