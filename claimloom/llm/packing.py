@@ -17,7 +17,6 @@ from claimloom.llm.common import pieces
 SEQUENCE = 2048
 END = 1
 SHARD = 20_000  # documents packed together; bounds a task's memory, not the result
-_LOOK = 16  # sequences tried for a document before it is cut over several
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -83,13 +82,54 @@ def cost(length: int, size: int = SEQUENCE) -> float:
     return length + length * length / size
 
 
+class _Open:
+    """Sequences by free places; gives the cheapest one with at least so many.
+
+    Each number of free places has a heap of (cost, sequence); a tree over these
+    numbers holds the smallest of each stretch, so a search takes log(size) steps.
+    """
+
+    def __init__(self, size: int):
+        self.width = 1 << size.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.width)]
+        self.least = [(float("inf"), -1)] * (2 * self.width)
+
+    def _renew(self, free: int) -> None:
+        heap, node = self.heaps[free], self.width + free
+        self.least[node] = heap[0] if heap else (float("inf"), -1)
+        while node > 1:
+            node //= 2
+            self.least[node] = min(self.least[2 * node], self.least[2 * node + 1])
+
+    def put(self, free: int, spent: float, k: int) -> None:
+        if free:
+            heapq.heappush(self.heaps[free], (spent, k))
+            self._renew(free)
+
+    def cheapest(self, room: int) -> tuple[float, int]:
+        """The cheapest sequence with `room` free places (ties: the first), or -1."""
+        best = (float("inf"), -1)
+        low, high = self.width + room, 2 * self.width
+        while low < high:
+            if low & 1:
+                best = min(best, self.least[low])
+                low += 1
+            low, high = low // 2, high // 2
+        return best
+
+    def take(self, free: int) -> None:
+        """Forget the cheapest sequence of those with exactly `free` places."""
+        heapq.heappop(self.heaps[free])
+        self._renew(free)
+
+
 def balance(lengths: list[int], size: int = SEQUENCE) -> list[list[tuple[int, int, int]]]:
     """Pieces (document, first, last) of each sequence, for documents below `size` tokens.
 
     There are as many sequences as the tokens fill.  Documents in descending order
-    of cost go to the cheapest sequence that can hold them whole; those that fit
-    none whole are cut over the free places at the end, so only the last sequence
-    stays short.
+    of cost go to the cheapest sequence that can hold them whole.  Those that none
+    can hold are cut at the end, again over the cheapest sequences with room, so
+    only the last sequence stays short.
     """
     total = sum(lengths)
     n = -(-total // size)
@@ -97,33 +137,29 @@ def balance(lengths: list[int], size: int = SEQUENCE) -> list[list[tuple[int, in
     free = [size] * n
     if n:
         free[-1] = total - (n - 1) * size
-    open_, left = [(0.0, k) for k in range(n)], []
-    heapq.heapify(open_)
+    places, left = _Open(size), []
+    for k in range(n):
+        places.put(free[k], 0.0, k)
+
+    def fill(k: int, spent: float, d: int, first: int, last: int) -> None:
+        places.take(free[k])
+        out[k].append((d, first, last))
+        free[k] -= last - first
+        places.put(free[k], spent + cost(last - first, size), k)
+
     for d in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        aside, placed = [], False
-        while open_ and not placed and len(aside) < _LOOK:
-            spent, k = heapq.heappop(open_)
-            if free[k] >= lengths[d]:
-                out[k].append((d, 0, lengths[d]))
-                free[k] -= lengths[d]
-                spent, placed = spent + cost(lengths[d], size), True
-            if free[k]:
-                aside.append((spent, k))
-        for item in aside:
-            heapq.heappush(open_, item)
-        if not placed:
+        spent, k = places.cheapest(lengths[d])
+        if k < 0:
             left.append(d)
-    places = iter([k for k in range(n) if free[k]])
-    k = next(places, None)
+        else:
+            fill(k, spent, d, 0, lengths[d])
     for d in left:
         at = 0
         while at < lengths[d]:
-            while not free[k]:
-                k = next(places)
-            take = min(free[k], lengths[d] - at)
-            out[k].append((d, at, at + take))
-            free[k] -= take
-            at += take
+            spent, k = places.cheapest(1)
+            last = min(at + free[k], lengths[d])
+            fill(k, spent, d, at, last)
+            at = last
     return out
 
 
@@ -192,5 +228,5 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, shard:
     tokens = docs.mapInArrow(_tokenise(path or vocabulary(), size), f"{_PIECE}, ids binary")
     key = F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(n)).alias("shard")
     order = ["shard", F.col("ids").isNull(), "doc_id", "start", "ids_crc32"]
-    dealt = tokens.select(key, "*").repartition(n, "shard").sortWithinPartitions(*order)
+    dealt = tokens.select(key, "*").repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions(*order)
     return dealt.mapInArrow(_packer(size), f"{_PIECE}, sequence_id long, offset long")

@@ -1,6 +1,7 @@
 """Packing, mixing, pages, licenses and the pipeline."""
 
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -267,3 +268,29 @@ def test_long_white_space_is_encoded(run):
     text = "a" + run + "x"
     whole = Tokenizer.from_file(packing.vocabulary()).encode(text, add_special_tokens=False).ids
     assert list(packing.Encoder(packing.vocabulary()).ids(text)) == whole
+
+
+def test_packing_cuts_only_what_no_sequence_holds():
+    """Against a plain search over all sequences: same places, document by document."""
+    draw = random.Random(5)
+    for n in (1, 2, 9, 60, 300):
+        lengths = [draw.choice((draw.randint(1, 63), draw.randint(1, 9))) for _ in range(n)]
+        total, size = sum(lengths), 64
+        free = [size] * -(-total // size)
+        free[-1] = total - (len(free) - 1) * size
+        spent, want, left = [0.0] * len(free), {}, []
+        for d in sorted(range(n), key=lambda i: -lengths[i]):
+            fit = [k for k in range(len(free)) if free[k] >= lengths[d]]
+            if not fit:
+                left.append(d)
+                continue
+            k = min(fit, key=lambda k: (spent[k], k))
+            want[d] = {(k, 0, lengths[d])}
+            free[k] -= lengths[d]
+            spent[k] += packing.cost(lengths[d], size)
+        got: dict[int, set] = {}
+        for k, sequence in enumerate(packing.balance(lengths, size)):
+            for d, first, last in sequence:
+                got.setdefault(d, set()).add((k, first, last))
+        assert {d: got[d] for d in want} == want
+        assert all(sum(b - a for _, a, b in got[d]) == lengths[d] for d in left)
