@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.catalog.base import STEMS, query, study_corpus, study_date, table, texts
 from claimloom.functions import dates
 from claimloom.functions import text as T
-from claimloom.operators import ingest, packing
+from claimloom.operators import ingest, morphology, packing
 from claimloom.settings import fixed
 
 NAVIGATION = (r"^\s*$", r"^(The|Les|Der|La)\s", r"^Die\b", r"\|")
@@ -569,3 +570,73 @@ def batch_texts(spark, sf):
         rows.select("id", "date", "packed_tokens"), ["date", "id"]
     )
     return packing.rendered_batches(rows.join(batches.select("id", "batch"), "id"), ["date"])
+
+
+# --- forms of words learned from a table ------------------------------------
+
+# Words of a language that begin with the same six letters stand for the forms of one word,
+# the shortest of them.
+_READINGS = r"""WITH vocabulary AS (SELECT DISTINCT lang, w, left(w, 6) AS family
+        FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents)
+        WHERE length(w) >= 7 AND lang IS NOT NULL),
+    lexemes AS (SELECT lang, list(w ORDER BY length(w), w)[1] AS word, list(w ORDER BY w) AS forms
+        FROM vocabulary GROUP BY lang, family),
+    stems AS (SELECT *, list_max(list_filter(range(0, least(length(forms[1]), length(forms[-1])) + 1),
+            lambda k: left(forms[1], k) = left(forms[-1], k))) AS letters FROM lexemes),
+    paradigms AS (SELECT *, substr(word, letters + 1) AS lemma_ending,
+            list_transform(forms, lambda f: substr(f, letters + 1)) AS endings FROM stems),
+    each AS (SELECT *, length(form) - letters AS cut FROM (SELECT *, unnest(forms) AS form FROM paradigms)),
+    nodes AS (SELECT *, unnest(range(greatest(1, cut), least(8, length(form)) + 1)) AS depth FROM each WHERE cut <= 8),
+    counted AS (SELECT lang, lemma_ending, endings, cut, right(form, depth) AS node, count(*) AS n FROM nodes GROUP BY ALL),
+    trie AS (FROM (SELECT *, row_number() OVER (PARTITION BY lang, node ORDER BY n DESC, lemma_ending, endings, cut) AS rank
+        FROM counted) WHERE rank <= 3),
+    asked AS (SELECT DISTINCT 'en' AS lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM benchmark),
+    shared AS (SELECT lang, lemma_ending, endings, count(*) AS n FROM paradigms GROUP BY ALL),
+    held AS (SELECT a.lang, a.word, s.n, e.word AS lemma, e.forms FROM asked a JOIN each e ON e.lang = a.lang AND e.form = a.word
+        JOIN shared s ON s.lang = e.lang AND s.lemma_ending = e.lemma_ending AND s.endings = e.endings),
+    lacking AS (SELECT lang, word, unnest(range(1, least(8, length(word) - 1) + 1)) AS depth FROM asked
+        WHERE (lang, word) NOT IN (SELECT (lang, form) FROM each)),
+    deepest AS (SELECT l.lang, l.word, right(l.word, max(depth)) AS node FROM lacking l
+        WHERE EXISTS (FROM trie t WHERE t.lang = l.lang AND t.node = right(l.word, l.depth)) GROUP BY l.lang, l.word),
+    readings AS (SELECT lang, word, row_number() OVER (PARTITION BY lang, word ORDER BY lemma <> word, n DESC, lemma) AS rank,
+            n, TRUE AS in_table, lemma, forms FROM held
+        UNION ALL SELECT d.lang, d.word, rank, n, FALSE, left(d.word, length(d.word) - cut) || lemma_ending,
+            list_sort(list_transform(endings, lambda e: left(d.word, length(d.word) - cut) || e))
+        FROM deepest d JOIN trie p ON p.lang = d.lang AND p.node = d.node)
+    """
+
+
+def _study_readings(spark, sf):
+    def words(name):
+        return F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias(name)
+
+    forms = texts(spark, sf).select("lang", words("form")).where(F.length("form") >= 7).distinct()
+    family = Window.partitionBy("lang", F.left("form", F.lit(6))).orderBy(F.length("form"), "form")
+    known = morphology.lexemes(forms.withColumn("word", F.first("form").over(family)))
+    asked = table(spark, sf, "benchmark").select(F.lit("en").alias("lang"), words("word"))
+    return asked, morphology.analyses(asked, known, morphology.suffix_trie(known))
+
+
+@query(
+    "word_readings",
+    _READINGS
+    + """SELECT word, CAST(rank AS INTEGER) AS rank, n, in_table, lemma, array_to_string(forms, ' ') AS forms
+    FROM readings WHERE rank <= 3""",
+)
+def word_readings(spark, sf):
+    """Up to three readings of every benchmark word by the forms that the documents hold."""
+    _, found = _study_readings(spark, sf)
+    return found.select("word", "rank", "n", "in_table", "lemma", F.array_join("forms", " ").alias("forms"))
+
+
+@query(
+    "guessed_lemmas",
+    _READINGS
+    + r"""SELECT coalesce(lemma, b.word) AS lemma, count(*) AS n
+    FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM benchmark) b
+    LEFT JOIN readings r ON r.word = b.word AND r.rank = 1 GROUP BY 1""",
+)
+def guessed_lemmas(spark, sf):
+    """Lemmas of the benchmark with their numbers of words."""
+    words, found = _study_readings(spark, sf)
+    return morphology.lemmas(words, found).groupBy("lemma").agg(F.count("*").alias("n"))
