@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.catalog.base import STEMS, query, study_corpus, study_date, table, texts
 from claimloom.functions import dates
 from claimloom.functions import text as T
-from claimloom.operators import ingest, morphology, packing
+from claimloom.operators import ingest, morphology, packing, tagging
 from claimloom.settings import fixed
 
 NAVIGATION = (r"^\s*$", r"^(The|Les|Der|La)\s", r"^Die\b", r"\|")
@@ -640,3 +640,66 @@ def guessed_lemmas(spark, sf):
     """Lemmas of the benchmark with their numbers of words."""
     words, found = _study_readings(spark, sf)
     return morphology.lemmas(words, found).groupBy("lemma").agg(F.count("*").alias("n"))
+
+
+# --- lemmas by sentence -------------------------------------------------------
+
+# The language of a document and an initial capital stand for the tag of its words.
+_SENTENCES_OF = r"""(SELECT {0} || ':' || i AS sentence, {1} unnest(ws) AS word, unnest(range(0, len(ws))) AS pos
+        FROM (SELECT *, regexp_extract_all(part, '\p{{L}}+') AS ws FROM (SELECT *, unnest(parts) AS part,
+            unnest(range(0, len(parts))) AS i FROM (SELECT *, regexp_split_to_array(text, '[.!?\n]+') AS parts FROM {2}))))"""
+
+
+def _tokens(frame, key, *more):
+    """Words of every sentence with their places."""
+    parts = frame.select(key, *more, F.posexplode(F.split("text", r"[.!?\n]+")).alias("i", "part"))
+    words = F.regexp_extract_all("part", F.lit(r"\p{L}+"), F.lit(0))
+    return parts.select(
+        F.concat_ws(":", key, "i").alias("sentence"), *more, F.posexplode(words).alias("at", "word")
+    )
+
+
+@query(
+    "sentence_lemmas",
+    f"""WITH RECURSIVE taught AS (SELECT sentence, pos, lower(word) AS word, lower(left(word, 5)) || '/' || lang AS lemma,
+            lang || CASE WHEN left(word, 1) <> lower(left(word, 1)) THEN ' first' ELSE '' END AS tag
+        FROM {_SENTENCES_OF.format('doc_id', 'lang,', 'documents')} WHERE lang IS NOT NULL),
+    totals AS (SELECT tag, count(*) AS total, row_number() OVER (ORDER BY tag) - 1 AS k FROM taught GROUP BY tag),
+    size AS (SELECT count(*) + 1 AS n FROM totals),
+    counts AS (SELECT word, lemma, tag, count(*) AS n FROM taught GROUP BY ALL),
+    readings AS (SELECT word, lemma, tag, k, CAST(round(-1000 * ln(c.n / (total + size.n))) AS BIGINT) AS cost
+        FROM counts c JOIN totals USING (tag), size),
+    once AS (SELECT tag, count(*) AS n FROM counts WHERE n = 1 GROUP BY tag),
+    unseen AS (SELECT tag, k, CAST(round(-1000 * ln((coalesce(once.n, 0) + 1) / (total + size.n))) AS BIGINT) AS cost
+        FROM totals LEFT JOIN once USING (tag), size),
+    near AS (SELECT k, lag(k, 1, -1) OVER w AS b, lead(k, 1, -1) OVER w AS a FROM taught JOIN totals USING (tag)
+        WINDOW w AS (PARTITION BY sentence ORDER BY pos)),
+    pairs AS (SELECT b, k, count(*) AS n FROM (SELECT b, k FROM near UNION ALL SELECT k, -1 FROM near WHERE a = -1) GROUP BY ALL),
+    states AS (SELECT k FROM totals UNION ALL SELECT -1),
+    square AS (SELECT x.k AS b, y.k, coalesce(pairs.n, 0) + 1 AS n FROM states x CROSS JOIN states y
+        LEFT JOIN pairs ON pairs.b = x.k AND pairs.k = y.k),
+    moves AS (SELECT b, k, CAST(round(-1000 * ln(n / sum(n) OVER (PARTITION BY b))) AS BIGINT) AS cost FROM square),
+    asked AS (FROM {_SENTENCES_OF.format('item_id', '', 'benchmark')}),
+    open AS (SELECT sentence, pos, a.word, lemma, tag, k, cost FROM asked a JOIN readings r ON r.word = lower(a.word)
+        UNION ALL SELECT sentence, pos, a.word, lower(a.word), tag, k, cost FROM asked a, unseen
+        WHERE lower(a.word) NOT IN (SELECT word FROM readings)),
+    paths AS (SELECT sentence, pos, o.k, o.cost + m.cost AS cost, [o.k] AS path
+            FROM open o JOIN moves m ON m.b = -1 AND m.k = o.k WHERE pos = 0
+        UNION ALL SELECT o.sentence, o.pos, o.k, min(p.cost + m.cost) + o.cost,
+            arg_min(list_append(p.path, o.k), (p.cost + m.cost) * 1000 + p.k)
+        FROM paths p JOIN open o ON o.sentence = p.sentence AND o.pos = p.pos + 1 JOIN moves m ON m.b = p.k AND m.k = o.k
+        GROUP BY o.sentence, o.pos, o.k, o.cost),
+    lengths AS (SELECT sentence, max(pos) AS pos FROM asked GROUP BY sentence),
+    best AS (SELECT sentence, arg_min(path, (p.cost + m.cost) * 1000 + p.k) AS path FROM paths p JOIN lengths USING (sentence, pos)
+        JOIN moves m ON m.b = p.k AND m.k = -1 GROUP BY sentence)
+    SELECT sentence, CAST(pos AS BIGINT) AS "at", word, lemma, tag FROM best JOIN open USING (sentence) WHERE path[pos + 1] = k""",
+)
+def sentence_lemmas(spark, sf):
+    """Every benchmark word with the reading that its sentence favours."""
+    first = F.when(F.left("word", F.lit(1)) != F.lower(F.left("word", F.lit(1))), " first").otherwise("")
+    taught = _tokens(texts(spark, sf).where("lang is not null"), "doc_id", "lang").select(
+        "sentence", "at", "word",
+        F.concat(F.lower(F.left("word", F.lit(5))), F.lit("/"), "lang").alias("lemma"),
+        F.concat("lang", first).alias("tag"),
+    )
+    return tagging.tag(_tokens(table(spark, sf, "benchmark"), "item_id"), tagging.learn(taught))
