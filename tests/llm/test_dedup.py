@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from fixtures_llm import documents, vectors
 
-from claimloom.llm import lattice_dedup, minmax_dedup, suffix_dedup
+from claimloom.llm import lattice_dedup, minmax_dedup, suffix_dedup, suffix_order
 
 
 def removed(texts, length, first):
@@ -170,3 +170,21 @@ def test_e8_decoding_is_nearest():
     near = lattice_dedup.decode(x)
     others = near[:, None] + lattice_dedup._roots()[None]
     assert (((x - near) ** 2).sum(1)[:, None] <= ((x[:, None] - others) ** 2).sum(2) + 1e-9).all()
+
+
+@pytest.mark.parametrize("length", [7, 12, 40])
+def test_suffix_order_is_brute_force(spark, length):
+    texts = {1: "a common passage of some words here " * 2, 2: "xx a common passage of some words here yy", 3: "", 4: None, 5: "aaaaaaaaaaaaaaaaaaaaaa", 6: "\0\0\0\0\0\0\0\0\0ü\0\0\0\0\0\0\0"}
+    docs = spark.createDataFrame(list(texts.items()) + [(5, texts[5])], "doc_id long, text string")
+    seen = defaultdict(list)
+    for i, t in texts.items():
+        own = (t or "").encode()
+        for j in range(len(own) - length + 1):
+            seen[own[j : j + length]].append((i, j))
+    want = sorted(p for places in seen.values() for p in places[1:])
+    assert sorted((r.doc_id, r.place) for r in suffix_order.matched_before(docs, length).collect()) == want
+    ranked = {}
+    for r in suffix_order.runs(docs, length).collect():
+        ranked.setdefault((texts[r.doc_id] or "").encode()[r.place : r.place + length], set()).add(r.rank)
+    assert all(len(ranks) == 1 for ranks in ranked.values())
+    assert [min(ranked[b]) for b in sorted(ranked)] == sorted(min(r) for r in ranked.values())
