@@ -6,6 +6,9 @@ from its last letters, so all endings of all forms are filed in a suffix trie, o
 row per node and paradigm, with the number of forms that stand behind it.  A word
 the table lacks walks down that trie as far as it leads and follows the paradigms
 most common there.
+
+A paradigm can have thousands of endings, so it goes by its number; its endings are
+fetched for the words that are asked for, never carried along with every form.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.plans.layout import number_rows, written
 from claimloom.settings.lexicons import Dimension
 
 LONGEST = 8  # letters of an ending, the depth of the trie
@@ -36,37 +40,44 @@ def lexemes(forms: DataFrame) -> DataFrame:
     """Words with all their forms as stem and paradigm.
 
     Takes `lang`, `word`, `form`; gives lang, word, forms (sorted), letters (of the
-    stem), lemma_ending, endings.  The word is a form of its own.  Case is ignored,
-    rows that lack a value or repeat another teach nothing new.
+    stem), lemma_ending, endings, paradigm (numbered by language, lemma_ending and
+    endings), sharing (words that follow it).  The word is a form of its own.  Case is
+    ignored, rows that lack a value or repeat another teach nothing new.  The result
+    is written once, since all that is learned from it reads it again.
     """
     rows = forms.select("lang", F.lower("word").alias("word"), F.lower("form").alias("form")).dropna()
-    each = rows.union(rows.select("lang", "word", F.col("word").alias("form")))
-    whole = each.groupBy("lang", "word").agg(F.sort_array(F.collect_set("form")).alias("forms"))
+    every = F.array_distinct(F.array_append(F.collect_set("form"), F.col("word")))
+    whole = rows.groupBy("lang", "word").agg(F.sort_array(every).alias("forms"))
     # What the first and the last in order begin with, all between them begin with.
     whole = whole.withColumn("letters", _common(F.get("forms", F.lit(0)), F.element_at("forms", -1)))
-    return whole.select(
-        "*",
-        _after(F.col("word"), F.col("letters")).alias("lemma_ending"),
-        F.transform("forms", lambda f: _after(f, F.col("letters"))).alias("endings"),
+    whole = written(
+        whole.select(
+            "*",
+            _after(F.col("word"), F.col("letters")).alias("lemma_ending"),
+            F.transform("forms", lambda f: _after(f, F.col("letters"))).alias("endings"),
+        )
     )
+    shared = whole.groupBy(*_PARADIGM).agg(F.count("*").alias("sharing"))
+    numbered = whole.join(number_rows(shared, _PARADIGM, "paradigm"), list(_PARADIGM))
+    return written(numbered.select(*whole.columns, "paradigm", "sharing"))
 
 
 def suffix_trie(known: DataFrame, longest: int = LONGEST, most: int = READINGS) -> DataFrame:
     """Nodes of the trie with their `most` commonest paradigms.
 
     Takes `lexemes`; gives lang, node (last letters), rank, n, cut (letters that
-    the form loses), lemma_ending, endings.  A node holds a form's whole ending, so
-    forms with endings of over `longest` letters teach nothing.
+    the form loses), paradigm.  A node holds a form's whole ending, so forms with
+    endings of over `longest` letters teach nothing.
     """
-    form = known.select(*_PARADIGM, "letters", F.explode("forms").alias("form"))
+    form = known.select("lang", "paradigm", "letters", F.explode("forms").alias("form"))
     form = form.withColumn("cut", F.length("form") - F.col("letters"))
     deepest = F.least(F.lit(longest), F.length("form"))
     depth = F.greatest(F.lit(1), F.col("cut"))
     nodes = form.where(depth <= deepest).select(
-        *_PARADIGM, "cut", "form", F.explode(F.sequence(depth, deepest)).alias("depth")
+        "lang", "paradigm", "cut", "form", F.explode(F.sequence(depth, deepest)).alias("depth")
     )
-    counted = nodes.groupBy(*_PARADIGM, "cut", F.right("form", F.col("depth")).alias("node")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("lang", "node").orderBy(F.desc("n"), "lemma_ending", "endings", "cut")
+    counted = nodes.groupBy("lang", "paradigm", "cut", F.right("form", F.col("depth")).alias("node")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("lang", "node").orderBy(F.desc("n"), "paradigm", "cut")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
@@ -80,24 +91,21 @@ def analyses(words: DataFrame, known: DataFrame, trie: DataFrame, longest: int =
     number of forms.  Ties go by name.  A word that leads nowhere gives no row.
     """
     words = words.select("lang", F.lower("word").alias("word")).dropna().distinct()
-    shared = known.groupBy(*_PARADIGM).agg(F.count("*").alias("n"))
-    form = known.select("lang", F.explode("forms").alias("word"), F.col("word").alias("lemma"), "forms", "lemma_ending", "endings")
-    found = words.join(form, ["lang", "word"]).join(shared, list(_PARADIGM))
+    form = known.select("lang", F.explode("forms").alias("word"), F.col("word").alias("lemma"), F.col("sharing").alias("n"))
     order = Window.partitionBy("lang", "word").orderBy(F.col("lemma") != F.col("word"), F.desc("n"), "lemma")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    found = words.join(form, ["lang", "word"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    found = found.join(known.select("lang", F.col("word").alias("lemma"), "forms"), ["lang", "lemma"])
 
     depth = F.least(F.lit(longest), F.length("word") - 1)
     new = words.join(form, ["lang", "word"], "left_anti").where(depth >= 1)
     steps = new.select("lang", "word", F.explode(F.sequence(F.lit(1), depth)).alias("depth"))
     steps = steps.withColumn("node", F.right("word", F.col("depth")))
-    deepest = (
-        steps.join(trie.select("lang", "node").distinct(), ["lang", "node"])
-        .groupBy("lang", "word")
-        .agg(F.max("depth").alias("depth"))
-        .select("lang", "word", F.right("word", F.col("depth")).alias("node"))
-    )
+    deepest = F.rank().over(Window.partitionBy("lang", "word").orderBy(F.desc("depth")))
+    led = steps.join(trie, ["lang", "node"]).withColumn("_place", deepest).where("_place = 1")
+    followed = known.join(led.select("paradigm").distinct(), "paradigm", "left_semi")
+    shape = followed.select("paradigm", "lemma_ending", "endings").dropDuplicates(["paradigm"])
     stem = F.substring("word", F.lit(1), F.length("word") - F.col("cut"))
-    guessed = deepest.join(trie, ["lang", "node"]).select(
+    guessed = led.join(shape, "paradigm").select(
         "lang", "word", "rank", "n", F.lit(False).alias("in_table"),
         F.concat(stem, "lemma_ending").alias("lemma"),
         F.array_sort(F.transform("endings", lambda e: F.concat(stem, e))).alias("forms"),

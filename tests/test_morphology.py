@@ -79,3 +79,14 @@ def test_phrase_of_inflected_words_in_a_text(spark):
     )
     claims = matching.surface_claims(docs, lexicon)
     assert sorted(r.matched_surface_form for r in claims.collect()) == ["Основа крилу", "основами крилом"]
+
+
+def test_a_wide_paradigm_stays_with_its_word(spark):
+    # 3,000 forms of one word: with their endings, each of 8 nodes of each form would hold 3,000 strings.
+    wide = [("uk", "держава", "держава" + "".join(chr(1072 + k // 30**i % 30) for i in range(3))) for k in range(3000)]
+    known = morphology.lexemes(spark.createDataFrame(TABLE + wide, SCHEMA))
+    trie = morphology.suffix_trie(known)
+    assert {f.name for f in trie.schema} == {"lang", "node", "rank", "n", "cut", "paradigm"}
+    found = readings(spark, known, "державабав", "основою", "мишабав")
+    assert len(found["державабав", 1].forms) == len(found["мишабав", 1].forms) >= 3000
+    assert found["мишабав", 1].lemma == "миша" and found["основою", 1].lemma == "основа"
