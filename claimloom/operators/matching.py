@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.functions import text as T
+from claimloom.functions.compose import with_computed
 from claimloom.operators.lexicon import Lexicon
 from claimloom.plans.layout import prefix_sums
 
@@ -124,7 +125,9 @@ def _ahead(hits: DataFrame, lexicon: Lexicon, start: Column) -> DataFrame:
 def _resolve(hits: DataFrame, lexicon: Lexicon, gap: Gap) -> DataFrame:
     """The matches that start at each hit: ``_term`` with its number of words.
 
-    Of two terms of one dimension with the same words the earlier one counts.
+    Of two terms of one dimension with the same words the earlier one counts.  The
+    matches are generated, not projected: as a condition of the probing join they would
+    take it out of generated code, and every word would be a row with its sentence's arrays.
     """
 
     def match(t: Column) -> Column:
@@ -139,11 +142,11 @@ def _resolve(hits: DataFrame, lexicon: Lexicon, gap: Gap) -> DataFrame:
         return hits.withColumn("_term", alone)
     if all(len(row["terms"]) == 1 for row in lexicon.rows):
         only = F.when(F.col("simple"), alone).otherwise(match(first))
-        return hits.withColumn("_term", only).where(F.col("_term.n").isNotNull()).drop("terms")
+        return with_computed(hits, {"_term": only}).where(F.col("_term.n").isNotNull()).drop("terms")
     found = F.filter(F.transform("terms", match), lambda m: m["n"].isNotNull())
     sizes = F.transform("_found", lambda m: m["n"])
     distinct = F.filter("_found", lambda m, i: F.array_position(sizes, m["n"]) == i + 1)
-    matched = hits.withColumn("_found", F.when(F.col("simple"), F.array(alone)).otherwise(found))
+    matched = with_computed(hits, {"_found": F.when(F.col("simple"), F.array(alone)).otherwise(found)})
     return matched.withColumn("_term", F.explode(distinct)).drop("_found", "terms")
 
 

@@ -35,6 +35,22 @@ def test_matching_is_one_stage_in_the_jvm(spark, corpus):
     assert "BroadcastHashJoin" in lemma and not re.search(r"Python|Window|SortMergeJoin", lemma)
 
 
+@pytest.mark.parametrize("found", ["surface", "overlapping", "lemma"])
+def test_words_probe_the_lexicon_in_generated_code(spark, corpus, found):
+    # Outside generated code every word would be a row that holds all words of its sentence.
+    claims = {
+        "surface": lambda: matching.surface_claims(corpus, base.study_lexicon()),
+        "overlapping": lambda: matching.surface_claims(corpus, base.overlapping_lexicon()),
+        "lemma": lambda: matching.lemma_claims(corpus, base.study_lemma_lexicon()),
+    }[found]()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joins = re.findall(r"(\* )?BroadcastHashJoin", plan(claims).split("\n\n\n")[0])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert joins and all(joins)
+
+
 def test_texts_are_split_once(spark, corpus):
     text = plan(matching.surface_claims(corpus, base.study_lexicon()))
     assert len(re.findall(r"split\(text#\d+, \(\?U\)", text)) == 1
