@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.plans.layout import written
+
 _READING = "array<struct<tag:int,lemma:string,cost:long>>"
 BORDER = -1  # stands before the first and after the last word
 
@@ -43,17 +45,18 @@ def learn(tagged: DataFrame, most_tags: int = 1000) -> Tagger:
     over `most_tags` is refused, since pairs of tags are held in memory.
     """
     rows = tagged.select("sentence", "at", F.lower("word").alias("word"), "lemma", "tag").dropna()
-    totals = {r["tag"]: r["n"] for r in rows.groupBy("tag").agg(F.count("*").alias("n")).limit(most_tags + 1).toLocalIterator()}
+    # Written, since totals, single words and readings all come from it: the texts are read for it and the pairs only.
+    counts = written(rows.groupBy("word", "lemma", "tag").agg(F.count("*").alias("n")))
+    totals = {r["tag"]: r["n"] for r in counts.groupBy("tag").agg(F.sum("n").alias("n")).limit(most_tags + 1).toLocalIterator()}
     if len(totals) > most_tags:
         raise ValueError(f"more than {most_tags} tags")
     tags = sorted(totals)
     number = {t: k for k, t in enumerate(tags)}
 
-    counts = rows.groupBy("word", "lemma", "tag").agg(F.count("*").alias("n"))
     once = {r["tag"]: r["n"] for r in counts.where("n = 1").groupBy("tag").agg(F.count("*").alias("n")).toLocalIterator()}
     unseen = [round(-1000 * float(np.log((once.get(t, 0) + 1) / (totals[t] + len(tags) + 1)))) for t in tags]
 
-    order = Window.partitionBy("sentence").orderBy("at", "word", "tag", "lemma")
+    order = Window.partitionBy("sentence").orderBy("at", "word", "tag")
     ends = F.lead("tag").over(order).isNull()
     pair = rows.select(F.lag("tag").over(order).alias("before"), "tag", ends.alias("ends"))
     last = pair.where("ends").select(F.col("tag").alias("before"), F.lit(None).cast("string").alias("tag"))

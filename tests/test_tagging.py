@@ -61,3 +61,18 @@ def test_odd_rows(spark, tagger):
     assert tagging.tag(words, nothing).count() == 0
     with pytest.raises(ValueError):
         tagging.learn(spark.createDataFrame([(1, k, "a", "a", str(k)) for k in range(3)], SCHEMA), most_tags=2)
+
+
+def test_tagged_words_are_read_for_counts_and_for_pairs_only(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = [(s, k, *word) for s, words in enumerate(TAUGHT) for k, word in enumerate(words)]
+    taught = spark.createDataFrame(rows, SCHEMA)
+    tagger = tagging.learn(taught.mapInArrow(counted, taught.schema))
+    tagged(spark, tagger, "він хоче мати")
+    assert reads.value == 2 * len(rows)
