@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import Scratch, mixed, pieces
 
 ORDER = 5
-CALIBRATION = 4_000  # labelled documents of a language that fit its limit of rejection
+FOLDS = 5  # each labelled document is scored by models counted without its fold
 ENOUGH = 20  # documents from which a limit is fitted
 QUANTILE, TAIL = 0.9, 4.0  # a limit lies so many times as far above the median as this quantile
 UNKNOWN = "und"
@@ -21,7 +22,7 @@ _SYMBOL = np.uint64((1 << _BITS) - 1)
 _ALPHABET = float(1 << _BITS)
 _SLOTS = 19
 _REACH = 400  # characters from which a text's cross-entropy counts as settled
-_COUNT = "lang string, gram long, n long, rest long"
+_COUNT = "lang string, fold int, gram long, n long"
 _LETTER: list[np.ndarray] = []
 
 
@@ -133,13 +134,13 @@ def _counter(order: int):
 
         def flushed(group: tuple) -> pa.RecordBatch:
             keys, n = _merged(held.pop(group))
-            lang, drawn = group
-            columns = [pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n), pa.array(n * (not drawn))]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n", "rest"])
+            lang, fold = group
+            columns = [pa.array([lang] * len(keys)), pa.array([fold] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n)]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "fold", "gram", "n"])
 
         for batch in pieces(batches, "text", 1 << 21):
             rows: dict[tuple, list] = {}
-            for *group, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "drawn", "text")), strict=True):
+            for *group, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "fold", "text")), strict=True):
                 rows.setdefault(tuple(group), []).append(text)
             for group in sorted(rows):
                 keys, _ = grams(rows[group], order)
@@ -161,51 +162,66 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def learn(docs: DataFrame, order: int = ORDER, calibration: int = CALIBRATION) -> dict:
+def learn(docs: DataFrame, order: int = ORDER) -> dict:
     """Models of all languages of `text`, `lang` (null languages are left out).
 
     n-grams are counted over all documents and all of them are kept, whatever their
     count: discounts and continuation counts are those of the whole text.  Counts
     come to the driver language by language, and the models grow with the number of
     different n-grams, not with the rows.
-    A language's limit of rejection is fitted on about `calibration` of its
-    documents, a fifth at most, drawn by hash and scored once each by models counted
-    without them: `TAIL` times the `QUANTILE` of what they lie above their median.
+    A language's limit of rejection is fitted on all of its documents: each different
+    one is scored once, by models counted without its fold (a fifth, by hash of the
+    text).  It is `TAIL` times the `QUANTILE` of what they lie above their median.
     Fewer than `ENOUGH` take those of all languages; if these are too few, none is rejected.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.where("lang is not null and text is not null").select("lang", "text")
-    sizes = {lang: n for lang, n in docs.groupBy("lang").count().collect()}
-    if not sizes:
-        return dict(order=order, langs=[], models=[], usual=[], limit=[])
-    every = docs.sparkSession.createDataFrame([(lang, max(5, -(-n // calibration))) for lang, n in sizes.items()], "lang string, every long")
-    docs = docs.join(F.broadcast(every), "lang").select("lang", "text", (F.pmod(F.xxhash64("text"), "every") == 0).alias("drawn"))
-    counts = docs.mapInArrow(_counter(order), _COUNT).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
+    docs = docs.where("lang is not null and text is not null")
+    docs = docs.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    without = [F.sum(F.when(F.col("fold") != k, F.col("n")).otherwise(0)).alias(f"without{k}") for k in range(FOLDS)]
+    counts = docs.mapInArrow(_counter(order), _COUNT).groupBy("lang", "gram").agg(F.sum("n").alias("n"), *without)
     counts = scratch.store(counts)
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    models, rest = [], []
-    for lang in langs:
-        own = counts.where(F.col("lang") == lang).select("gram", "n", "rest").toArrow()
-        keys, n, without = own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy(), own.column("rest").to_numpy()
-        models.append(Model.counted(keys, n, order))
-        rest.append(Model.counted(keys[without > 0], without[without > 0], order))
+
+    def counted(column: str) -> list[Model]:
+        models = []
+        for lang in langs:
+            own = counts.where((F.col("lang") == lang) & (F.col(column) > 0)).select("gram", column).toArrow()
+            models.append(Model.counted(own.column("gram").to_numpy().view(np.uint64), own.column(column).to_numpy(), order))
+        return models
+
+    models = counted("n")
+    scored = []
+    for k in range(FOLDS if langs else 0):
+        own = docs.where(F.col("fold") == k).select(F.xxhash64("lang", "text").alias("doc_id"), "text")
+        apart = _scored(own, dict(order=order, langs=langs, models=counted(f"without{k}"), usual=[], limit=[]))
+        scored.append(scratch.store(apart.where("n_grams > 0").select("doc_id", "lang_pred", "entropy", "n_grams")))
+    usual, limit = _limits(langs, reduce(DataFrame.union, scored).dropDuplicates(["doc_id"])) if scored else ([], [])
     scratch.keep()
-    drawn = docs.where("drawn").select("lang", "text").distinct().select(F.lit(0).cast("long").alias("doc_id"), "text")
-    scored = _scored(drawn, dict(order=order, langs=langs, models=rest, usual=[], limit=[])).where("n_grams > 0")
-    scored = scored.select("lang_pred", "entropy", "n_grams").collect()
-    usual, limit = _limits(langs, [r[0] for r in scored], np.array([r[1] for r in scored]), np.array([r[2] for r in scored]))
     return dict(order=order, langs=langs, models=models, usual=usual, limit=limit)
 
 
-def _limits(langs: list[str], names: list[str], entropy: np.ndarray, n: np.ndarray) -> tuple[list, list]:
-    """Each language's median entropy, and how far above it a text may lie."""
-    names = np.array(names, object)
-    if len(names) < ENOUGH:
+def _limits(langs: list[str], scored: DataFrame) -> tuple[list, list]:
+    """Each language's median entropy, and how far above it a text may lie.
+
+    Quantiles are exact to a thousandth, to which values are rounded: the number of
+    different values, not of documents, bounds what is held of a language.
+    """
+
+    def quantiles(value: Column, q: float) -> list[float] | None:
+        some = F.count("*").alias("n"), F.percentile(F.round(value, 3), q).alias("at")
+        every = scored.agg(*some).first()
+        if every["n"] < ENOUGH:
+            return None
+        own = {r["lang_pred"]: r["at"] for r in scored.groupBy("lang_pred").agg(*some).where(F.col("n") >= ENOUGH).collect()}
+        return [own.get(lang, every["at"]) for lang in langs]
+
+    usual = quantiles(F.col("entropy"), 0.5)
+    if usual is None:
         return [0.0] * len(langs), [float("inf")] * len(langs)
-    own = [np.flatnonzero(names == lang) for lang in langs]
-    usual = [float(np.median(entropy[at] if len(at) >= ENOUGH else entropy)) for at in own]
-    far = (entropy - np.array([usual[langs.index(x)] for x in names])) * np.sqrt(np.minimum(n, _REACH))
-    return usual, [TAIL * max(0.1, float(np.quantile(far[at] if len(at) >= ENOUGH else far, QUANTILE))) for at in own]
+    middle = F.create_map(*[F.lit(x) for pair in zip(langs, usual, strict=True) for x in pair])
+    settled = F.sqrt(F.least("n_grams", F.lit(_REACH)))
+    far = quantiles((F.col("entropy") - F.element_at(middle, F.col("lang_pred"))) * settled, QUANTILE)
+    return usual, [TAIL * max(0.1, x) for x in far]
 
 
 def _judge(docs: DataFrame, model: dict):

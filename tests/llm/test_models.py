@@ -79,6 +79,26 @@ def test_language_rejects_what_stands_far_off(spark, bad_rows):
     assert not [r.doc_id for r in found.collect() if r.accepted]
 
 
+def test_language_limits_come_from_every_document(spark, monkeypatch):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").where("lang is not null")
+    fitted, seen = language._limits, []
+
+    def spied(langs, scored):
+        seen.extend(scored.collect())
+        return fitted(langs, scored)
+
+    monkeypatch.setattr(language, "_limits", spied)
+    model = language.learn(docs.select("lang", "text").union(docs.select("lang", "text")))
+    texts = {(r.lang, r.text) for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert len(seen) == len(texts)
+    for k, lang in enumerate(model["langs"]):
+        own = [r for r in seen if r.lang_pred == lang]
+        entropy, n = np.array([r.entropy for r in own]), np.array([r.n_grams for r in own])
+        assert model["usual"][k] == pytest.approx(np.median(entropy), abs=2e-3)
+        far = (entropy - model["usual"][k]) * np.sqrt(np.minimum(n, 400))
+        assert model["limit"][k] == pytest.approx(4 * np.quantile(far, 0.9), abs=0.01)
+
+
 def all_paths(emit, move):
     """Marginals by listing every path."""
     n, total, on = len(emit), 0.0, np.zeros(len(emit))
