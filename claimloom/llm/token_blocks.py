@@ -338,11 +338,18 @@ class WordIds:
 
     def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads only cost
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.marks = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The same vocabulary for words that are cut and in normal form already, many in one text.
+        self.cut = Tokenizer.from_file(path)
+        self.cut.normalizer = None
+        steps = [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence(steps)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.size)])
         self.most = most
         self._forget()
 
@@ -353,15 +360,25 @@ class WordIds:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has.
+
+        They are asked for in one text, and an id that ends a word tells them apart; should
+        any word lack such an id, each is asked for alone.
+        """
+        ids = np.array(self.cut.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(words) and len(ids) == last[-1] + 1:
+            return ids, np.diff(last, prepend=-1)
+        found = self._whole(words)
+        return np.array([i for some in found for i in some], np.int32), np.array([len(some) for some in found], np.int64)
+
     def _learn(self) -> None:
         new, self.number.new = self.number.new, []
-        ids, sizes = [], []
-        for a in range(0, len(new), 2048):  # the library's results are large next to their ids
-            found = self._whole(new[a : a + 2048])
-            sizes += map(len, found)
-            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int32, sum(sizes[a:])))
-        self.ids = np.concatenate([self.ids, *ids])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        # The library's results are large next to their ids.
+        found = [self._asked(new[a : a + 2048]) for a in range(0, len(new), 2048)]
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate([sizes for _, sizes in found]))])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.number) > self.most:

@@ -197,6 +197,18 @@ def test_word_ids_equal_the_library():
             assert ids.tokenizer.encode(text or "", add_special_tokens=False).ids == found.tolist(), (text or "")[:30]
 
 
+def test_new_words_are_asked_for_together():
+    ids = token_blocks.WordIds(token_blocks.vocabulary_file())
+    whole, asked = ids._whole, []
+    ids._whole = lambda texts: asked.append(texts) or whole(texts)
+    text = " ".join(f"word{chr(97 + i % 26)}é{chr(97 + i // 26)} x'll, 7" for i in range(600))
+    assert ids([text, "new"])[0].tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not asked  # one call a word made half of the work
+    ids.ends[:] = False  # a vocabulary whose ids do not tell words apart
+    assert ids(["others of it"])[0].tolist() == ids.tokenizer.encode("others of it", add_special_tokens=False).ids
+    assert asked == [["others", "of", "it"]]
+
+
 def test_round_trip_of_documents(spark):
     docs = documents(spark)
     more = documents(spark, [(20 + i, t, "en", "a") for i, t in enumerate(TEXTS)])
