@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ END = 2
 BLOCK = 1 << 18  # ids after which a block ends with its document
 LANES = 2048
 STEPS = 64  # a lane of a small block has this many ids at least
+_PIECE = 1 << 22  # bytes of text that words are cut from at once
 _MAGIC = b"CMR1"
 _SLOTS = 1 << 17  # order-2 contexts
 _STATES = 64
@@ -321,41 +323,84 @@ def vocabulary_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-# Fixed values of the vocabulary's own word pattern, for letters below U+0180.
+# Fixed values of the vocabulary's own word pattern, for letters below U+0180:
+# 's|'t|'re|'ve|'m|'ll|'d|[letters]+|[digits]|[^blanks letters digits]+
 _LETTERS, _DIGITS, _BLANKS = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾", " \t\n\r"
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+")
 # Texts of these characters are unchanged by the vocabulary's normal form but for lower case.
 _PLAIN = re.compile("[ -~\t\n\r¡-įı-ſ]*")
+_BLANK, _LETTER, _DIGIT_KIND, _OTHER = range(4)
+_KINDS = np.array(
+    [next((kind for kind, some in enumerate((_BLANKS, _LETTERS, _DIGITS)) if re.match(f"[{some}]", chr(i))), _OTHER) for i in range(0x180)], np.uint8
+)
+# The vocabulary writes bytes as letters: those that can be seen as themselves, the others from U+0100 on.
+_SEEN = np.isin(np.arange(256), [*range(33, 127), *range(161, 173), *range(174, 256)])
+_BYTES = np.where(_SEEN, np.arange(256), 255 + np.cumsum(~_SEEN)).astype("<u4")
+_BYTES[ord("\n")] = ord("\n")  # parts words
+_QUOTE = ord("'")
+_TAIL = np.zeros((256, 256), np.uint8)  # letters that belong to a quote before them, by the two bytes that follow it
+for _letter in b"stmd":
+    _TAIL[_letter] = 1
+for _pair in (b"re", b"ve", b"ll"):
+    _TAIL[_pair[0], _pair[1]] = 2
+
+
+def _cut(data: np.ndarray) -> np.ndarray:
+    """Where words begin in lower-case bytes of plain Latin letters; the blanks before a word belong to it."""
+    kind = _KINDS[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    kind[lead] = _KINDS[(data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    kind[lead + 1] = kind[lead]
+    word = np.ones(len(data), bool)
+    np.not_equal(kind[1:], kind[:-1], out=word[1:])
+    word[np.flatnonzero(kind == _DIGIT_KIND)] = True  # every digit is a word
+    word[lead + 1] = False
+    quote = np.flatnonzero(data[:-2] == _QUOTE)
+    tail = _TAIL[data[quote + 1], data[quote + 2]]
+    own = (tail > 0) & ((quote == 0) | (kind[quote - 1] != _OTHER))
+    quote, tail = quote[own], tail[own]
+    word[quote + 1] = False
+    word[quote + 1 + tail] = True
+    blank = kind == _BLANK
+    word[1:] &= ~blank[:-1]  # the word that follows blanks began with them
+    return word
 
 
 class WordIds:
     """Ids of whole texts, as `tokenizers` gives them, with each different word asked for once.
 
     The vocabulary never joins characters of two words, so a text's ids are its words' ids.
-    Words are cut here for texts of plain Latin letters, as their normal form is the text in lower case;
-    any other text goes to `tokenizers` whole.
+    Words are cut here for texts of plain Latin letters, as their normal form is the text in lower case:
+    all texts of a call at once, and numbered by Arrow, so that Python meets new words only.
+    Any other text goes to `tokenizers` whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads only cost
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.marks = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # The same vocabulary for words that are cut and in normal form already, many in one text.
-        self.cut = Tokenizer.from_file(path)
-        self.cut.normalizer = None
-        steps = [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        self.cut.pre_tokenizer = pre_tokenizers.Sequence(steps)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.size)])
         self.most = most
-        self._forget()
+        self._keep_none()
+
+    def _keep_none(self) -> None:
+        self.words = pa.array([""], pa.large_string())  # blanks that no word follows have no ids
+        self.ids, self.first, self.met = np.empty(0, np.int32), np.zeros(2, np.int64), np.zeros(1, np.int64)
 
     def _forget(self) -> None:
-        self.number = _Numbers()
-        self.ids, self.first = np.empty(0, np.int32), np.zeros(1, np.int64)
+        """Keep the words that were met again; all others are asked for anew."""
+        again = self.met > 1
+        again[0] = True
+        if again.sum() > self.most // 2:
+            return self._keep_none()
+        sizes = np.diff(self.first)
+        self.words = self.words.filter(pa.array(again))
+        self.ids = self.ids[np.repeat(again, sizes)]
+        self.first = np.append(0, np.cumsum(sizes[again]))
+        self.met = np.zeros(len(self.words), np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -363,60 +408,72 @@ class WordIds:
     def _asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and how many each has.
 
-        They are asked for in one text, and an id that ends a word tells them apart; should
-        any word lack such an id, each is asked for alone.
+        The words are cut and in normal form already, so the vocabulary's model alone is asked;
+        should any word lack an id that ends a word, all go to `tokenizers` whole.
         """
-        ids = np.array(self.cut.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
-        last = np.flatnonzero(self.ends[ids])
-        if len(last) == len(words) and len(ids) == last[-1] + 1:
-            return ids, np.diff(last, prepend=-1)
-        found = self._whole(words)
-        return np.array([i for some in found for i in some], np.int32), np.array([len(some) for some in found], np.int64)
-
-    def _learn(self) -> None:
-        new, self.number.new = self.number.new, []
+        split = self.tokenizer.model.tokenize
+        letters = _BYTES[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        found = [[token.id for token in split(word)] for word in letters.split("\n")]
+        if not all(some and self.ends[some[-1]] for some in found):
+            found = self._whole(words)
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learn(self, words: pa.Array) -> None:
+        new = words.to_numpy(zero_copy_only=False).tolist()
         # The library's results are large next to their ids.
         found = [self._asked(new[a : a + 2048]) for a in range(0, len(new), 2048)]
+        self.words = pa.concat_arrays([self.words, words])
+        self.met = np.append(self.met, np.zeros(len(words), np.int64))
         self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate([sizes for _, sizes in found]))])
 
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Places of the words among the known; those without ids yet are asked for."""
+        number = pc.index_in(words, value_set=self.words)
+        new = pc.is_null(number)
+        number = np.array(pc.fill_null(number, 0), np.int64)
+        if pc.any(new).as_py():
+            words = words.filter(new)
+            unknown = words.unique()
+            number[np.array(new)] = np.array(pc.index_in(words, value_set=unknown)) + len(self.words)
+            self._learn(unknown)
+        self.met[number] += 1
+        return number
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.number) > self.most:
+        if len(self.words) > self.most:
             self._forget()  # bounds memory; words are asked for again
-        numbers: list[np.ndarray | None] = []
-        odd = []
+        out = [np.empty(0, np.int32)] * len(texts)
+        plain, lowered, odd = [], [], []
         for i, text in enumerate(texts):
-            text = text or ""
-            lower = text.lower()
-            if not _PLAIN.fullmatch(text) or any(m in lower for m in self.marks):
+            lower = (text or "").lower()
+            if not _PLAIN.fullmatch(text or "") or any(m in lower for m in self.marks):
                 odd.append(i)
-                numbers.append(None)
-            else:
-                words = _WORD.findall(lower)
-                numbers.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
-        if self.number.new:
-            self._learn()
-        out = [np.empty(0, np.int32) if at is None else self._joined(at) for at in numbers]
+            elif lower:
+                plain.append(i)
+                lowered.append(lower.encode())
+        for i, ids in zip(plain, self._plain(lowered), strict=True):
+            out[i] = ids
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = np.array(ids, np.int32)
         return out
 
-    def _joined(self, at: np.ndarray) -> np.ndarray:
-        start = self.first[at]
-        sizes = self.first[at + 1] - start
-        return self.ids[np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-
-
-class _Numbers(dict):
-    """Words numbered as they are met; `new` holds those without ids yet."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of lower-case texts of plain Latin letters; each different word is looked up once."""
+        if not texts:
+            return []
+        data = np.frombuffer(b"\n".join(texts) + b"\n\n\n", np.uint8)  # a quote is followed by two bytes
+        word = _cut(data)
+        last = np.cumsum([len(text) + 1 for text in texts]) - 1
+        word[last] = True
+        begin = np.flatnonzero(word)
+        where = pa.array(np.append(begin, len(data)), pa.int64()).buffers()[1]
+        coded = pa.LargeStringArray.from_buffers(len(begin), where, pa.py_buffer(data)).dictionary_encode()
+        number = self._numbers(pc.utf8_ltrim(coded.dictionary, _BLANKS))[coded.indices.to_numpy()]
+        sizes = np.diff(self.first)[number]
+        end = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.first[number] - (end - sizes), sizes) + np.arange(int(end[-1]))]
+        return np.split(ids, np.append(0, end)[np.searchsorted(begin, last[:-1])])
 
 
 _TOKENISERS: dict[str, WordIds] = {}
@@ -438,7 +495,7 @@ def _write(path: str, end: int, size: int):
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["part", "block", "before", "n_ids", "doc_ids", "data"])
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _PIECE):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words(batch.column("text").to_pylist()), strict=True):
                 docs.append(doc)
                 held.append(np.append(ids, np.int32(end)))

@@ -209,6 +209,30 @@ def test_new_words_are_asked_for_together():
     assert asked == [["others", "of", "it"]]
 
 
+def test_words_cut_at_once_equal_the_library():
+    rng = np.random.default_rng(8)
+    parts = ["'", "'s", "'re", "'LL", "'v", "s", "ve", "l", "Aé", "ÿ", "ß", "7", "½", "²", "-", "!!", "×", "\xad", " ", "  ", "\n", "\t\r\n"]
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 12, 1500)]
+    ids = token_blocks.WordIds(token_blocks.vocabulary_file(), most=200)
+    for a in range(0, len(texts), 300):
+        for text, found in zip(texts[a : a + 300], ids(texts[a : a + 300]), strict=True):
+            assert ids.tokenizer.encode(text, add_special_tokens=False).ids == found.tolist(), text
+
+
+def test_words_met_again_are_not_asked_for_again():
+    ids = token_blocks.WordIds(token_blocks.vocabulary_file(), most=60)
+    own, asked = ids._asked, []
+    ids._asked = lambda words: asked.extend(words) or own(words)
+    for i in range(10):
+        text = "some words stay " + " ".join(f"rare{chr(97 + i)}{chr(97 + k)}" for k in range(20))
+        assert ids([text])[0].tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(ids.words) <= 60 + 24
+    assert asked.count("stay") == 1  # all words were forgotten once they were too many
+    ids([" ".join(f"more{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100))] * 2)
+    ids(["x"])
+    assert len(ids.words) < 60
+
+
 def test_round_trip_of_documents(spark):
     docs = documents(spark)
     more = documents(spark, [(20 + i, t, "en", "a") for i, t in enumerate(TEXTS)])
