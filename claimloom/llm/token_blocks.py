@@ -52,6 +52,8 @@ _NARROW, _MASK48 = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
 # Logistic tables of 12-bit probabilities: squash(x) = 4096 / (1 + e^(-x / 256)), by rule.
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 32, 4064).astype(np.int64)
 _STRETCH = np.searchsorted(_SQUASH, np.arange(4096)).clip(0, 4095).astype(np.int64) - 2048
+_REACH = 3 << 13  # no mix of three orders with their greatest weights lies further out
+_MIXED = _SQUASH[np.clip(np.arange(-_REACH, _REACH + 1), -2047, 2047) + 2048]
 _CLASS = np.frexp(np.arange(1 << 14).astype(np.float64))[1].astype(np.int64)  # position of the highest bit
 
 
@@ -88,7 +90,7 @@ class _Encoder:
             if int(at.max()) + 2 >= self.digits.shape[1]:
                 self.digits = np.concatenate([self.digits, np.zeros_like(self.digits)], axis=1)
             low, width = self.low[short], self.range[short] << _DIGIT
-            self.digits[short, at] = low >> _LOW
+            self.digits.reshape(-1)[short * self.digits.shape[1] + at] = (low >> _LOW).view(np.int64)
             self.at[short] = at + 1
             self.low[short] = (low << _DIGIT) & _MASK48
             self.range[short] = width
@@ -109,18 +111,19 @@ class _Encoder:
 
 class _Decoder:
     def __init__(self, digits: np.ndarray, sizes: np.ndarray):
-        self.end = np.cumsum(sizes)
-        self.at = self.end - sizes
-        self.digits = np.concatenate([digits.astype(np.uint64), np.zeros(1, np.uint64)])
-        self.code = np.zeros(len(sizes), np.uint64)
+        # Noughts follow a lane's digits; no reading goes further.
+        lanes, width = len(sizes), int(sizes.max(initial=0)) + 3
+        self.digits = np.zeros(lanes * width, np.uint64)
+        self.digits[(np.arange(width) < sizes[:, None]).ravel()] = digits
+        self.at = np.arange(lanes) * width
+        self.code = np.zeros(lanes, np.uint64)
         self.range = np.full(len(sizes), _MASK48, np.uint64)
         for _ in range(3):
             self._next(np.arange(len(sizes)))
 
     def _next(self, lane: np.ndarray) -> None:
         at = self.at[lane]
-        digit = self.digits[np.where(at < self.end[lane], at, len(self.digits) - 1)]
-        self.code[lane] = (self.code[lane] << _DIGIT) | digit
+        self.code[lane] = (self.code[lane] << _DIGIT) | self.digits[at]
         self.at[lane] = at + 1
 
     def answer(self, k: int, p: np.ndarray) -> np.ndarray:
@@ -134,7 +137,11 @@ class _Decoder:
     def symbol(self, lane: np.ndarray, below: np.ndarray) -> np.ndarray:
         total = below[-1]
         unit = self.range[lane] // total
-        found = np.searchsorted(below, np.minimum(self.code[lane] // unit, total - np.uint64(1)), "right") - 1
+        wanted = np.minimum(self.code[lane] // unit, total - np.uint64(1))
+        # In order, each is found close to the one before; places ride in the low bits, since plain sorting is faster.
+        ranked = np.sort(wanted << _LOW | np.arange(len(lane), dtype=np.uint64))
+        found = np.empty(len(lane), np.int64)
+        found[(ranked & (_NARROW - np.uint64(1))).view(np.int64)] = np.searchsorted(below, ranked >> _LOW, "right") - 1
         start = below[found]
         self.code[lane] -= unit * start
         self.range[lane] = unit * (below[found + 1] - start)
@@ -143,9 +150,10 @@ class _Decoder:
     def settle(self, k: int) -> None:
         short = np.flatnonzero(self.range[:k] < _NARROW)
         while len(short):
-            self.range[short] <<= _DIGIT
+            width = self.range[short] << _DIGIT
+            self.range[short] = width
             self._next(short)
-            short = short[self.range[short] < _NARROW]
+            short = short[width < _NARROW]
 
 
 class _Models:
@@ -185,8 +193,8 @@ class _Models:
             np.where(known, agree, 2) * 8 + self.held[1],
             _CLASS[np.minimum(self.counts[self.guess] >> 3, len(_CLASS) - 1)],
         )
-        dot = (self.parts[0][self.states[0]] + self.parts[1][self.states[1]] + self.parts[2][self.states[2]]) >> 16
-        self.mixed = _SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2048]
+        dot = (self.parts[0].take(self.states[0]) + self.parts[1].take(self.states[1]) + self.parts[2].take(self.states[2])) >> 16
+        self.mixed = _MIXED.take(dot + _REACH)
         return self.mixed.astype(np.uint64)
 
     def learn(self, yes: np.ndarray) -> None:
@@ -194,9 +202,10 @@ class _Models:
         if self.steps > 16 and self.steps % 4:
             return  # the early steps teach most; later every fourth does
         error = ((yes.astype(np.int64) << 12) - self.mixed).astype(np.float64)  # whole numbers throughout
+        came = np.flatnonzero(yes)
         for i, state in enumerate(self.states):
             n = np.bincount(state, minlength=_STATES)
-            sure = np.bincount(state[yes], minlength=_STATES)
+            sure = np.bincount(state[came], minlength=_STATES)
             slope = int(np.bincount(state, error, _STATES).astype(np.int64) @ self.stretched[i]) // len(yes)
             self.weights[i] = min(max(int(self.weights[i]) + (slope >> 9), -(1 << 17)), 1 << 18)
             aim = (sure << 16) // np.maximum(n, 1) - self.odds[i]
@@ -212,7 +221,8 @@ class _Models:
         while int(self.counts.sum()) > _TOTAL and int(self.counts.max()) > 1:
             self.counts = (self.counts + 1) >> 1
         self.below = np.zeros(self.vocabulary + 1, np.uint64)
-        np.cumsum(self.counts, out=self.below[1:].view(np.int64))
+        self.shares = self.counts.astype(np.uint64)
+        np.cumsum(self.shares, out=self.below[1:])
 
     def update(self, ids: np.ndarray) -> None:
         k = len(ids)
@@ -258,8 +268,8 @@ def encode_block(documents: list[np.ndarray], vocabulary: int) -> bytes:
             yes = models.guess == now
             coder.answer(k, yes, chance)
             left = np.flatnonzero(~yes)
-            start = models.below[now[left]]
-            coder.symbol(left, start, models.below[now[left] + 1] - start, models.below[-1])
+            missed = now[left]
+            coder.symbol(left, models.below[missed], models.shares[missed], models.below[-1])
             coder.settle(k)
             models.learn(yes)
             models.update(now)
