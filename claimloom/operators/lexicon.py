@@ -47,6 +47,14 @@ class Automaton:
         """Whether two matches could overlap, so that the leftmost has to be chosen."""
         return any(key.rpartition("|")[2] in self.first for key in self.steps)
 
+    @property
+    def seconds(self) -> set[str] | None:
+        """The words behind the first one of a match, or None where a match may have one word."""
+        if any(arrival % 2 for arrival in self.first.values()):
+            return None
+        begun = {str(arrival // 2) for arrival in self.first.values()}
+        return {key.rpartition("|")[2] for key in self.steps if key.partition("|")[0] in begun}
+
 
 def automaton(words: Sequence[frozenset[str]], pieces: Pieces) -> Automaton:
     """The automaton of a term, given the forms of each of its words.
@@ -131,6 +139,8 @@ class Lexicon:
                 ("category", pa.string()),
                 ("cat_ord", pa.int32()),
                 ("simple", pa.bool_()),
+                ("anywhere", pa.bool_()),
+                ("chained", pa.list_(pa.int32())),
                 ("terms", pa.list_(term)),
             ]
         )
@@ -212,8 +222,11 @@ def _collect(
                     term_ord += 1
         for anchor, found in sorted(starting.items()):
             simple = len(found) == 1 and found[0]["longest"] == 1
+            # Whether a match can start here without being the leftmost of its term, and terms that need be.
+            chained = [t["chained"] for t in found if t["chained"] is not None]
+            anywhere = len(chained) < len(found)
             lexicon.rows.append(
-                {"anchor": anchor, "category": dimension.name, "cat_ord": cat_ord, "n": max(t["longest"] for t in found), "simple": simple, "terms": found}
+                {"anchor": anchor, "category": dimension.name, "cat_ord": cat_ord, "n": max(t["longest"] for t in found), "simple": simple, "anywhere": anywhere, "chained": chained, "terms": found}
             )
     return lexicon
 

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.functions import text as T
-from claimloom.functions.compose import with_computed
-from claimloom.operators.lexicon import Lexicon
+from claimloom.functions.compose import any_of, let, with_computed
+from claimloom.operators.lexicon import Automaton, Lexicon
 from claimloom.plans.layout import prefix_sums
 
 Gap = Callable[[Column], Column]  # what stands before the word of a number, as a lexicon names it
+Word = Callable[[Column], Column]  # the word of a number, as a lexicon names it
 
 DOC_COLUMNS = ("id", "title", "date", "url", "content_type")
 CLAIM_COLUMNS = (
@@ -48,25 +49,35 @@ def sentence_rows(docs: DataFrame, sentence_array: Column | None = None) -> Data
 
 def _probe(sents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row per word that starts an entry of the lexicon."""
-    words = sents.select(
-        "*", F.posexplode_outer("_tokens").alias("_at", "_token")
-    ).where(F.col("_token").isNotNull())
+    if lexicon.chained and not any(row["anywhere"] for row in lexicon.rows):
+        # Only leftmost matches count, and where they start is known.
+        at = F.array_distinct(F.flatten(F.flatten("_leftmost")))
+        words = sents.select("*", F.explode_outer(at).alias("_at")).where(F.col("_at") >= 0)
+        words = words.withColumn("_token", F.get("_tokens", "_at"))
+    else:
+        words = sents.select(
+            "*", F.posexplode_outer("_tokens").alias("_at", "_token")
+        ).where(F.col("_token").isNotNull())
     key = F.lower("_token") == F.col("anchor")
     probed = [words.join(part, key) for part in lexicon.frames(sents.sparkSession)]
     return reduce(DataFrame.unionAll, probed)
 
 
-def _end_from(words: str, at: Column, arrival: Column, steps: Column, longest: Column, gap: Gap) -> Column:
-    """Where the longest match of a term that starts at word ``at`` of an array ends, or null.
+def _end_from(word: Word, at: Column, arrival: Column, steps: Column, longest: Column, gap: Gap) -> Column:
+    """Where the longest match of a term that starts at word ``at`` ends, or null.
 
     The automaton reads on word by word until no step fits.
     """
 
     def step(seen: Column, i: Column) -> Column:
-        key = F.concat_ws("|", F.shiftright(seen["on"], 1).cast("string"), gap(at + i), F.lower(F.get(words, at + i)))
-        on = F.when(seen["on"] >= 0, F.coalesce(F.try_element_at(steps, key), F.lit(-1))).otherwise(F.lit(-1))
-        ends = (on >= 0) & (on % 2 == 1)
-        return F.struct(on.alias("on"), F.when(ends, at + i + 1).otherwise(seen["end"]).alias("end"))
+        key = F.concat_ws("|", F.shiftright(seen["on"], 1).cast("string"), gap(at + i), word(at + i))
+        next_on = F.when(seen["on"] >= 0, F.coalesce(F.try_element_at(steps, key), F.lit(-1))).otherwise(F.lit(-1))
+
+        def arrive(on: Column) -> Column:
+            ends = (on >= 0) & (on % 2 == 1)
+            return F.struct(on.alias("on"), F.when(ends, at + i + 1).otherwise(seen["end"]).alias("end"))
+
+        return let(next_on, arrive)
 
     begin = F.struct(arrival.alias("on"), F.when(arrival % 2 == 1, at + 1).alias("end"))
     rest = F.when(longest > 1, F.sequence(F.lit(1), longest - 1)).otherwise(F.array().cast("array<int>"))
@@ -76,36 +87,65 @@ def _end_from(words: str, at: Column, arrival: Column, steps: Column, longest: C
 def _leftmost(lexicon: Lexicon, gap: Gap) -> Column:
     """Per term whose matches could overlap: the words its leftmost matches start at.
 
-    One pass over a sentence and term; the starts are filed in runs of words, so that a
-    hit looks through one run only.
+    Only words that can start a match, by themselves and the word behind them, are walked
+    through, once per sentence and term.  Words come in runs: a first pass finds which word
+    is free where a run begins, a second one chooses within each run, because a fold copies
+    what it has gathered at every step.  A hit looks through one run only.  Behind each
+    start is its number of words, below zero.
     """
     none = F.array().cast("array<int>")
-    some = []
-    for term in lexicon.chained:
+
+    def may_start(lower: Column, places: Column, terms: list[Automaton]) -> Column:
+        first = {word for term in terms for word in term.first}
+        seconds = None if any(term.seconds is None for term in terms) else {word for term in terms for word in term.seconds}
+
+        def fits(at: Column) -> Column:
+            begins = F.get(lower, at).isin(*sorted(first))
+            return begins if seconds is None else begins & F.get(lower, at + 1).isin(*sorted(seconds))
+
+        return F.filter(places, fits)
+
+    def next_free(free: Column, m: Column) -> Column:
+        return F.when(m["at"] >= free, m["end"]).otherwise(free)
+
+    def enter(seen: Column, run: Column) -> Column:
+        return F.concat(seen, F.array(F.aggregate(run, F.element_at(seen, -1), next_free)))
+
+    def choose(seen: Column, m: Column) -> Column:
+        kept = F.struct(m["end"].alias("free"), F.concat(seen["run"], F.array(m["at"], m["at"] - m["end"])).alias("run"))
+        return F.when(m["at"] >= seen["free"], kept).otherwise(seen)
+
+    def chosen(run: Column, free: Column) -> Column:
+        return F.aggregate(run, F.struct(free.alias("free"), none.alias("run")), choose, lambda seen: seen["run"])
+
+    def starts(term: Automaton, lower: Column, begun: Column) -> Column:
         first = F.create_map(*[F.lit(x) for pair in term.first.items() for x in pair])
         steps = F.create_map(*[F.lit(x) for pair in term.steps.items() for x in pair])
 
-        def choose(seen: Column, at: Column) -> Column:
-            arrival = F.try_element_at(first, F.lower(F.get("_tokens", at)))  # noqa: B023
-            end = _end_from("_tokens", at, arrival, steps, F.lit(term.longest), gap)  # noqa: B023
-            # A run of words is closed at its end, whether a match starts in it or not.
-            full = (at > 0) & (at % _RUN == 0)
-            runs = F.when(full, F.concat(seen["runs"], F.array(seen["run"]))).otherwise(seen["runs"])
-            run = F.when(full, none).otherwise(seen["run"])
-            # The end is looked for only where the word is free and can start a match.
-            end = F.when((at >= seen["free"]) & arrival.isNotNull(), end)
-            return F.struct(
-                F.coalesce(end, seen["free"]).alias("free"),
-                F.when(end.isNotNull(), F.concat(run, F.array(at))).otherwise(run).alias("run"),
-                runs.alias("runs"),
-            )
-
-        begin = F.struct(F.lit(0).alias("free"), none.alias("run"), F.array().cast("array<array<int>>").alias("runs"))
-        at = F.sequence(F.lit(0), F.size("_tokens") - 1)
-        filed = F.aggregate(at, begin, choose, lambda seen: F.concat(seen["runs"], F.array(seen["run"])))
-        met = F.arrays_overlap(F.transform("_tokens", F.lower), F.array(*[F.lit(w) for w in term.first]))
-        some.append(F.when(met, filed))
-    return F.array(*some) if some else F.lit(None).cast("array<array<array<int>>>")
+        def match(at: Column) -> Column:
+            arrival = F.try_element_at(first, F.get(lower, at))
+            end = let(arrival, lambda on: _end_from(lambda i: F.get(lower, i), at, on, steps, F.lit(term.longest), gap))
+            return F.struct(at.alias("at"), end.alias("end"))
+
+        def matches(run: Column) -> Column:
+            return F.filter(F.transform(may_start(lower, run, [term]), match), lambda m: m["end"].isNotNull())
+
+        def all_chosen(runs: Column) -> Column:
+            entered = F.aggregate(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.lit(0)), enter)
+            return let(entered, lambda free: F.transform(runs, lambda run, k: chosen(run, F.get(free, k))))
+
+        return let(F.transform(begun, matches), all_chosen)
+
+    def found(lower: Column) -> Column:
+        last = F.size(lower) - 1
+        runs = F.sequence(F.lit(0), F.floor(last / _RUN).cast("int"))
+        begun = F.transform(
+            runs, lambda k: may_start(lower, F.sequence(k * _RUN, F.least(k * _RUN + _RUN - 1, last)), lexicon.chained)
+        )
+        some = lambda at: F.exists(at, lambda run: F.size(run) > 0)
+        return let(begun, lambda at: F.when(some(at), F.array(*[starts(term, lower, at) for term in lexicon.chained])))
+
+    return F.when(F.size("_tokens") > 0, let(F.transform("_tokens", F.lower), found))
 
 
 def _ahead(hits: DataFrame, lexicon: Lexicon, start: Column) -> DataFrame:
@@ -116,9 +156,11 @@ def _ahead(hits: DataFrame, lexicon: Lexicon, start: Column) -> DataFrame:
     n = F.lit(lexicon.max_words)
     few = {f"{c}_ahead": F.slice(c, F.col("_at") + 1, n) for c in ("_tokens", "_units") if c in hits.columns}
     if lexicon.chained:
-        run = F.floor(F.col("_at") / _RUN).cast("int")
-        places = range(len(lexicon.chained))
-        few["_chosen"] = F.array(*[F.array_contains(F.get(F.get("_leftmost", F.lit(k)), run), F.col("_at")) for k in places])
+        runs = [F.get(F.get("_leftmost", F.lit(k)), F.floor(F.col("_at") / _RUN).cast("int")) for k in range(len(lexicon.chained))]
+        few["_chosen"] = F.array(*[-F.get(run, F.nullif(F.array_position(run, F.col("_at")).cast("int"), F.lit(0))) for run in runs])
+        # A part of the probing join, in generated code: no later step sees the other hits.
+        starts = [F.array_contains("chained", F.lit(k)) & F.array_contains(run, F.col("_at")) for k, run in enumerate(runs)]
+        hits = hits.where(F.col("anywhere") | any_of(starts))
     return hits.withColumns({**few, "_start": start}).drop("_tokens", "_units", "_before", "_leftmost", "_lead")
 
 
@@ -131,9 +173,9 @@ def _resolve(hits: DataFrame, lexicon: Lexicon, gap: Gap) -> DataFrame:
     """
 
     def match(t: Column) -> Column:
-        n = _end_from("_tokens_ahead", F.lit(0), t["first"], t["steps"], t["longest"], gap)
+        n = _end_from(lambda i: F.lower(F.get("_tokens_ahead", i)), F.lit(0), t["first"], t["steps"], t["longest"], gap)
         if lexicon.chained:
-            n = F.when(t["chained"].isNull() | F.get("_chosen", t["chained"]), n)
+            n = F.when(t["chained"].isNull(), n).otherwise(F.get("_chosen", t["chained"]))
         return F.struct(t["term"].alias("term"), t["lang"].alias("lang"), t["term_ord"].alias("term_ord"), n.alias("n"))
 
     first = F.get("terms", F.lit(0))
@@ -226,7 +268,7 @@ def surface_claims(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         def gap(i: Column) -> Column:
             before = F.get(units, i - 1)
             between = F.substring(before, F.length(F.get(tokens, i - 1)) + 1, F.length(before))
-            return F.when(between.rlike(r"(?U)^\s+$"), F.lit(" ")).otherwise(between)
+            return let(between, lambda b: F.when((b != " ") & b.rlike(r"(?U)^\s+$"), F.lit(" ")).otherwise(b))
 
         return gap
 

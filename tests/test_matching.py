@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.functions.inflect import inflect, same
 from claimloom.operators import lexicon as L
@@ -128,6 +129,45 @@ def test_overlapping_terms_are_leftmost(spark):
     assert mine == theirs and len(mine) > 1000
 
 
+def test_starts_far_apart_are_leftmost(spark):
+    """Sentences of several runs of words, some without a start; terms that overlap beside others that do not."""
+    words = ["ho", "Ho", "ha", "day", "by", "of", "the", "man"]
+    dims = (
+        Dimension("c", "", {"a": ("ho ho", "ho ho ho", "of the", "ho ha ho")}, {}),
+        Dimension("e", "", {"a": ("day by day", "man", "ho ho")}, {}),
+        Dimension("f", "", {"a": ("ha ho ha", "day")}, {}),
+    )
+    rng = random.Random(9)
+    texts = ["x " * 700 + "ho ho ho " + "x " * 300 + "ho ha ho ha ho.", "x " * 255 + "ho ho x ho ho" + " x" * 255 + " ho", "Nothing is in it."]
+    for _ in range(30):
+        texts.append("".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", ", ", "-"]) for _ in range(rng.randint(1, 900))) + "end.")
+    mine, theirs = found_and_searched(spark, texts, dims, same)
+    assert mine == theirs and len(mine) > 1000
+    # Without terms that match anywhere, only the words where matches start are looked up.
+    chained = (Dimension("c", "", {"a": ("ho ho", "ho ho ho", "ho ha ho")}, {}), Dimension("f", "", {"a": ("ha ho ha",)}, {}))
+    assert not any(row["anywhere"] for row in L.surface_lexicon(chained, expand=same).rows)
+    mine, theirs = found_and_searched(spark, texts, chained, same)
+    assert mine == theirs and len(mine) > 500
+
+
+def test_overlapping_terms_cost_little_more_than_others(spark):
+    """Only words that can start a match are walked through, not every word once a term."""
+    import time
+
+    from claimloom.catalog import base
+
+    rng = random.Random(10)
+    words = ["the", "of", "to", "in", "was", "that", *["house", "garden", "morning", "letter", "river"] * 4]
+    docs = [(f"d{i}", "t", None, "u", "speech", " ".join(rng.choices(words, k=4000))) for i in range(160)]
+    corpus = spark.createDataFrame(docs, SCHEMA).repartition(8).localCheckpoint()
+    took = {}
+    for name, lexicon in [("plain", base.study_lexicon()), ("overlapping", base.overlapping_lexicon())] * 3:
+        start = time.perf_counter()
+        M.surface_claims(corpus, lexicon).groupBy("category").agg(F.max("token_index")).collect()
+        took[name] = min(took.get(name, 1e9), time.perf_counter() - start)
+    assert took["overlapping"] < 3 * took["plain"] + 0.5, took
+
+
 def test_phrases_of_four_inflected_words(spark):
     """Thirty forms a word: 120 entries, where their products would be 810,000 a term."""
     endings = ["", *[a + b for a in "aeiou" for b in "stnrl"], "x", "-ed", "-ed-ly", "'s"]
@@ -154,6 +194,12 @@ def test_automaton_shares_forms():
     assert L.automaton([frozenset({"a", "b"}), frozenset({"b"})], L._written).chained
 
 
+def test_words_behind_the_first():
+    built = L.automaton([frozenset({"a", "b-c"}), frozenset({"b", "a"}), frozenset({"d"})], L._written)
+    assert built.seconds == {"a", "b", "c"}
+    assert L.automaton([frozenset({"a", "a-b"})], L._written).seconds is None
+
+
 def test_large_lexicon_is_joined_in_parts(spark, monkeypatch):
     docs = spark.createDataFrame(DOCS, SCHEMA)
     lexicon = L.surface_lexicon()
